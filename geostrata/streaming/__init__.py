@@ -1,0 +1 @@
+"""Intentionally empty: every supported input is a finite table or file set (see README)."""
