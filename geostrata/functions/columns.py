@@ -59,6 +59,12 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation; null for a constant side (the built-in fails on it in ANSI mode)."""
+    a, b = col(x), col(y)
+    return ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+
+
 def is_numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 

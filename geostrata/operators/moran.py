@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from geostrata.functions.columns import ratio
 from geostrata.functions.tails import normal_two_sided
 from geostrata.operators.skew import hot_key_join
-from geostrata.operators.weights import spatial_lag, weight_moments
+from geostrata.operators.distance import knn_edges
+from geostrata.operators.weights import row_standardised, spatial_lag, weight_moments
 from geostrata.session import cut
 
 
@@ -135,3 +136,29 @@ def moran_permutation(
     return nodes.sparkSession.createDataFrame(
         [(n, got["obs"], (as_high + 1) / (permutations + 1), permutations)], schema
     )
+
+
+def robustness(points: DataFrame, lat: str, lng: str, value: str, decimals=(1, 2), ks=(4, 8)) -> DataFrame:
+    """Moran's I of rounded-grid means for several grids and neighbour numbers, with a verdict.
+
+    Grid coordinates are whole numbers of grid steps, so equal distances tie exactly.
+    """
+    data = points.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull() & F.col(value).isNotNull())
+    out = None
+    for dec in decimals:
+        step = 10 ** dec
+        y, x = F.rint(F.col(lat) * step), F.rint(F.col(lng) * step)
+        cells = cut(
+            data.groupBy(y.alias("gy"), x.alias("gx")).agg(F.avg(value).alias("v"))
+            .withColumn("id", ((F.col("gy") + 100_000) * 1_000_000 + F.col("gx") + 100_000).cast("long"))
+        )
+        edges = cut(knn_edges(cells, max(ks), "id", "gy", "gx"))
+        for k in ks:
+            w = row_standardised(edges.filter(F.col("rank") <= k).select("src", "dst"))
+            row = moran(cells, w, "v").select(F.lit(dec).alias("decimals"), F.lit(k).alias("k"), "moran_i")
+            out = row if out is None else out.unionByName(row)
+    got = cut(out)
+    lo, hi = got.agg(F.min("moran_i"), F.max("moran_i")).first()
+    flips = lo is not None and lo < 0 < hi
+    level = "danger" if flips else "warn" if lo is not None and hi - lo > 0.1 else "ok"
+    return got.withColumn("level", F.lit(level))

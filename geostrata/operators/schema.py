@@ -212,7 +212,7 @@ def violations(df: DataFrame, specs: Iterable[FieldSpec], sample_n: int = 5,
         ]
         parts.append(counts.select(F.inline(F.array(*lines))))
         samples += [
-            df.filter(b).select(F.lit(i).alias("_rule"), F.col(s.name).cast("string").alias("v")).limit(sample_n)
+            df.filter(b).select(F.lit(i).alias("_rule"), F.coalesce(F.col(s.name).cast("string"), F.lit("null")).alias("v")).limit(sample_n)
             for i, s, _, b in simple
         ]
     for i, s, r, keys in keyed:
@@ -223,7 +223,7 @@ def violations(df: DataFrame, specs: Iterable[FieldSpec], sample_n: int = 5,
         )
         parts.append(one.select(*head(i, s, r), "violations", "_rows"))
         samples.append(
-            groups.filter("n > 1").select(F.lit(i).alias("_rule"), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]).alias("v")).limit(sample_n)
+            groups.filter("n > 1").select(F.lit(i).alias("_rule"), F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]).alias("v")).limit(sample_n)
         )
     if not parts:
         raise ValueError("no rule applies to this table")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.functions.columns import correlation
 from geostrata.functions.tails import chi2_1_upper
 from geostrata.operators.linear import Fit, cross_moments, linear_index, ols, with_const
 from geostrata.operators.weights import spatial_lag, weight_moments
@@ -113,7 +114,7 @@ def sar_2sls(nodes: DataFrame, weights: DataFrame, y: str, xs: Sequence[str], no
     pred = linear_index(z, beta)
     row = data.agg(
         F.count("*").alias("n"), F.sum(F.pow(F.col("y") - pred, F.lit(2))).alias("rss"),
-        F.corr("y", pred).alias("r"),
+        correlation("y", pred).alias("r"),
     ).first()
     n = row["n"]
     se = np.sqrt(np.maximum(np.diag(inv) * row["rss"] / n, 0))

@@ -1 +1,105 @@
-"""placeholder"""
+"""Roles and shape from content, and schema handling."""
+
+from pyspark.sql import functions as F
+
+from geostrata.operators import infer as I
+from geostrata.operators import schema as C
+from geostrata.operators import validate as V
+from geostrata.operators.profile import column_counts, null_table
+from geostrata.queries.registry import L, R, plain, query, table, view
+
+
+def _stats_sql(c, numeric):
+    v = f"TRY_CAST({c} AS DOUBLE)"
+    if numeric:
+        tail = f"{R(f'MIN({v})')} AS min, {R(f'MAX({v})')} AS max, {R(f'QUANTILE_CONT({v}, 0.01)')} AS q01, {R(f'QUANTILE_CONT({v}, 0.99)')} AS q99, {R(f'STDDEV_SAMP({v})', 4)} AS std, {R(f'CASE WHEN MAX(ABS({v} - ROUND({v}))) <= 1e-9 THEN 1 ELSE 0 END')} AS integer_like"
+    else:
+        tail = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS q01, CAST(NULL AS DOUBLE) AS q99, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS integer_like"
+    return f"""SELECT '{c}' AS "column", {L('COUNT(*)')} AS n, {L(f'COUNT({c})')} AS not_null, {R(f'1 - COUNT({c}) * 1.0 / COUNT(*)')} AS null_rate, {L(f'COUNT(DISTINCT {c})')} AS n_unique, CAST({int(numeric)} AS BIGINT) AS numeric, {tail} FROM fx_dirty"""
+
+
+@query("col_stats", " UNION ALL ".join(_stats_sql(c, n) for c, n in (("id", 1), ("year", 1), ("amount", 1), ("cat", 0), ("lat", 1), ("num_text", 1))))
+def col_stats(spark, sf):
+    rows = I.column_stats(view(spark, sf, "fx_dirty").select("id", "year", "amount", "cat", "lat", "num_text"))
+    num = lambda v: None if v is None else float(v)
+    out = [(s["column"], s["n"], s["not_null"], num(s["null_rate"]), s["n_unique"], int(s["numeric"]), *[num(s[k]) for k in ("min", "max", "q01", "q99")],
+            None if s["std"] is None else round(float(s["std"]), 4), num(s["integer_like"])) for s in rows]
+    return plain(spark.createDataFrame(out, "column string, n long, not_null long, null_rate double, n_unique long, numeric long, min double, max double, q01 double, q99 double, std double, integer_like double"))
+
+
+def _shape(spark, df):
+    roles = {r: c for r, c in I.infer_mapping(df).items() if r in I.ROLES}
+    return roles, I.detect_shape(df, roles)
+
+
+@query("role_by_content", f"""
+SELECT r.role, r.col AS "column", {L('COUNT(*)')} AS rows FROM fx_dim, (VALUES ('entity', 'k1'), ('time', 'k2'), ('lat', 'k3'), ('lon', 'k4')) r(role, col) WHERE lat IS NOT NULL GROUP BY 1, 2""")
+def role_by_content(spark, sf):
+    d = view(spark, sf, "fx_panel").join(view(spark, sf, "fx_dim").select("entity", "lat", "lng"), "entity").select(
+        F.col("entity").alias("k1"), F.col("year").alias("k2"), F.col("lat").alias("k3"), (F.col("lng") * 1.5).alias("k4"), F.col("value").alias("k5"))
+    roles = I.infer_mapping(d)
+    rows = view(spark, sf, "fx_dim").filter("lat is not null").count()
+    return plain(spark.createDataFrame([(r, roles[r], rows) for r in ("entity", "time", "lat", "lon")], "role string, column string, rows long"))
+
+
+@query("shape_detect", f"""
+SELECT 'panel' AS source, 'panel' AS kind, {L('COUNT(*)')} AS rows FROM fx_panel
+UNION ALL SELECT 'repeated', 'repeated_panel', {L('COUNT(*)')} FROM orders UNION ALL SELECT 'edges', 'network', {L('COUNT(*)')} FROM lineitem""")
+def shape_detect(spark, sf):
+    from geostrata.operators.infer import detect_shape
+
+    sets = [
+        ("panel", view(spark, sf, "fx_panel"), {"entity": "entity", "time": "year", "value": "value"}),
+        ("repeated", table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice"), {"entity": "o_custkey", "time": "year"}),
+        ("edges", table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), {}),
+    ]
+    return plain(spark.createDataFrame([(n, detect_shape(d, r)["kind"], d.count()) for n, d, r in sets], "source string, kind string, rows long"))
+
+
+@query("role_by_name", f"""
+SELECT role, {L('COUNT(*)')} AS fields, {L('SUM(z)')} AS nulls FROM (
+SELECT 'key' AS role, COUNT(*) - COUNT(id) AS z FROM fx_dirty UNION ALL SELECT 'numeric', COUNT(*) - COUNT(amount) FROM fx_dirty
+UNION ALL SELECT 'spatial', COUNT(*) - COUNT(lat) FROM fx_dirty UNION ALL SELECT 'numeric', COUNT(*) - COUNT(cat) FROM fx_dirty) GROUP BY role""")
+def role_by_name(spark, sf):
+    d = C.tag_roles(view(spark, sf, "fx_dirty").select("id", "amount", "lat", "cat"), C.infer_roles(["id", "amount", "lat", "cat"]))
+    roles = {f.name: f.metadata["role"] for f in d.schema.fields}
+    return plain(null_table(d, roles).groupBy("role").agg(F.count("*").alias("fields"), F.sum("null_count").alias("nulls")))
+
+
+@query("role_by_regex", f"""
+SELECT 'lat' AS role, 'lat' AS field, {L('COUNT(lat)')} AS non_null FROM fx_dim UNION ALL SELECT 'lon', 'lng', {L('COUNT(lng)')} FROM fx_dim
+UNION ALL SELECT 'year', 'first_year', {L('COUNT(first_year)')} FROM fx_dim""")
+def role_by_regex(spark, sf):
+    d = view(spark, sf, "fx_dim")
+    hits = {r: c for r, c in C.detect_columns(d.columns).items() if c}
+    pairs = [F.struct(F.lit(r).alias("role"), F.lit(c).alias("field"), F.count(c).alias("non_null")) for r, c in hits.items()]
+    return plain(d.agg(*[F.count(c).alias(f"n_{r}") for r, c in hits.items()]).select(F.inline(F.array(*[
+        F.struct(F.lit(r).alias("role"), F.lit(c).alias("field"), F.col(f"n_{r}").alias("non_null")) for r, c in hits.items()])))) if pairs else None
+
+
+DECLARED = [{"name": "id", "role": "key", "level": "required", "rules": [{"kind": "not_null"}]}, {"name": "amount", "level": "required", "rules": [{"kind": "non_negative"}]},
+            {"name": "absent", "level": "optional"}]
+
+
+@query("schema_load", f"SELECT 'amount' AS field, 'P0' AS severity, {L('COUNT(*)')} AS violations FROM fx_dirty WHERE amount < 0")
+def schema_load(spark, sf):
+    return plain(C.violations(view(spark, sf, "fx_dirty"), C.load_schema(DECLARED)).select("field", "severity", "violations"))
+
+
+@query("schema_diff", f"""
+SELECT 'absent' AS field, 'missing' AS state, CAST(0 AS BIGINT) AS non_null UNION ALL SELECT 'cat', 'undeclared', {L('COUNT(cat)')} FROM fx_dirty UNION ALL SELECT 'lat', 'undeclared', {L('COUNT(lat)')} FROM fx_dirty""")
+def schema_diff(spark, sf):
+    d = view(spark, sf, "fx_dirty").select("id", "amount", "cat", "lat")
+    specs = C.load_schema(DECLARED)
+    counts = column_counts(d).filter(F.col("field").isin(C.unregistered_fields(d, specs))).select("field", F.lit("undeclared").alias("state"), "non_null")
+    gone = spark.createDataFrame([(f, "missing", 0) for f in C.missing_fields(d, specs)], "field string, state string, non_null long")
+    return plain(counts.unionByName(gone))
+
+
+@query("schema_derive_assertions", f"""
+SELECT 'size' AS name, CAST(1 AS BIGINT) AS passed, {R('COUNT(*)')} AS actual FROM fx_dirty
+UNION ALL SELECT 'more keys than banks', CAST(1 AS BIGINT), NULL UNION ALL SELECT 'not registered', CAST(0 AS BIGINT), NULL""")
+def schema_derive_assertions(spark, sf):
+    config = [{"name": "size", "check": "row_count_ge", "min": 10, "severity": "P0"}, {"name": "more keys than banks", "check": "custom"}, {"name": "not registered", "check": "custom"}]
+    custom = {"more keys than banks": lambda df: (df.select("id").distinct().count() > 40, "")}
+    return plain(V.validate(view(spark, sf, "fx_dirty"), V.build_assertions(config, custom)).select("name", "passed", "actual"))

@@ -1 +1,269 @@
-"""placeholder"""
+"""Estimators and the jobs built from them."""
+
+from pyspark.sql import functions as F
+
+from geostrata.functions.columns import hex_center
+from geostrata.operators import hazard as H
+from geostrata.operators import moran as M
+from geostrata.operators import panel as N
+from geostrata.operators import rings as G
+from geostrata.operators import spatial_reg as S
+from geostrata.operators import twfe as T
+from geostrata.operators import weights as W
+from geostrata.operators.linear import ols
+from geostrata.plans import jobs as J
+from geostrata.queries.panels import DID, PERSON, TREATED, _treated, cross_section, did, did_inputs
+from geostrata.queries.registry import L, R, plain, query, table, view
+from geostrata.queries.spatial import _knn_sql
+from geostrata.session import cut
+
+
+@query("group_demean", f"""
+WITH p AS (SELECT *, value - AVG(value) OVER (PARTITION BY entity) - AVG(value) OVER (PARTITION BY year) + AVG(value) OVER () AS dm FROM fx_panel)
+SELECT {L('entity')} AS entity, {L('year')} AS year, {R('dm', 3)} AS value FROM p""")
+def group_demean(spark, sf):
+    return plain(T.demean(view(spark, sf, "fx_panel"), ["value"], "entity", "year").select("entity", "year", "value"), 3)
+
+
+@query("group_demean_exact")
+def group_demean_exact(spark, sf):
+    return plain(T.demean(view(spark, sf, "fx_panel"), ["value"], "entity", "year", "exact").select("entity", "year", "value"), 3)
+
+
+_dm = lambda c: f"{c} - AVG({c}) OVER (PARTITION BY entity) - AVG({c}) OVER (PARTITION BY year) + AVG({c}) OVER ()"
+TWFE = f"""{DID}, sm AS (SELECT entity, year, LEAST(GREATEST(chg_rate, -0.5), 0.5) AS y, post * s AS x1, post * 1.0 AS x2 FROM dp WHERE chg_rate IS NOT NULL AND (fe <= 0 OR year - fe BETWEEN -3 AND 4)),
+dmn AS (SELECT entity, year, {_dm('y')} AS y, {_dm('x1')} AS x1, {_dm('x2')} AS x2 FROM sm),
+mm AS (SELECT SUM(x1 * x1) AS a, SUM(x1 * x2) AS b, SUM(x2 * x2) AS c, SUM(x1 * y) AS p, SUM(x2 * y) AS q, COUNT(*) AS n, COUNT(DISTINCT entity) AS g FROM dmn),
+bt AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2, c / (a * c - b * b) AS i11, -b / (a * c - b * b) AS i12, a / (a * c - b * b) AS i22 FROM mm),
+sc AS (SELECT entity, SUM(x1 * (y - b1 * x1 - b2 * x2)) AS u1, SUM(x2 * (y - b1 * x1 - b2 * x2)) AS u2 FROM dmn, bt GROUP BY entity),
+mt AS (SELECT SUM(u1 * u1) AS m11, SUM(u1 * u2) AS m12, SUM(u2 * u2) AS m22 FROM sc),
+se AS (SELECT b1, b2, n, g, SQRT((g / (g - 1.0)) * ((n - 1.0) / (n - 2.0)) * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22)) AS s1,
+  SQRT((g / (g - 1.0)) * ((n - 1.0) / (n - 2.0)) * (i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22)) AS s2 FROM bt, mt)"""
+
+
+@query("twfe", f"WITH {TWFE} SELECT 'post_x_strength' AS term, {R('b1')} AS coef, {R('s1')} AS std_err, {R('b1 / s1', 4)} AS t FROM se UNION ALL SELECT 'post', {R('b2')}, {R('s2')}, {R('b2 / s2', 4)} FROM se")
+def twfe(spark, sf):
+    fit = T.twfe(cut(did(spark, sf)), "chg_rate", "entity", "year", method="one_pass")
+    return plain(fit.table(spark).select("term", "coef", "std_err", F.round("t", 4).alias("t")))
+
+
+@query("twfe_exact")
+def twfe_exact(spark, sf):
+    return plain(T.twfe(cut(did(spark, sf)), "chg_rate", "entity", "year", method="exact").table(spark))
+
+
+@query("event_study")
+def event_study(spark, sf):
+    rows, stats = T.event_study(cut(did(spark, sf)), "chg_rate", "entity", "year")
+    out = spark.createDataFrame(rows, "tau long, effect double, se double, p double")
+    return plain(out.withColumn("pre_trend_max_abs_t", F.lit(stats["pre_trend_max_abs_t"])))
+
+
+@query("ring_sensitivity")
+def ring_sensitivity(spark, sf):
+    panel, alive, _ = did_inputs(spark, sf)
+    dim = view(spark, sf, "fx_dim")
+    edges = (0, 1, 2, 3, 5, 10)
+    events = dim.filter("acq_year IS NOT NULL AND lat IS NOT NULL").withColumnRenamed("acq_year", "event_year")
+    counts = cut(G.event_counts(alive, events, edges))
+    treat = G.first_exposure(counts, edges=edges)
+    for name, rings in (("coarse", G.COARSE_REBINNED), ("linear", G.COARSE_LINEAR)):
+        treat = treat.join(G.first_exposure(counts, rings, edges, strength=f"strength_{name}").drop("first_event_year"), "entity")
+    d = cut(N.did_panel(panel, treat, alive, "entity", "year").withColumns({f"strength_{n}": F.coalesce(f"strength_{n}", F.lit(0.0)) for n in ("coarse", "linear")}))
+    rows, _ = T.ring_sensitivity(d, "chg_rate", "entity", "year", {"fine": "strength_t0", "coarse": "strength_coarse", "linear": "strength_linear"})
+    schema = "variant string, coef double, se double, post_coef double, strength_mean_treated double, slope_per_relative_exposure double, effect_at_treated_mean double, n_obs long"
+    return plain(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
+
+
+@query("marginal_effect", f"""
+WITH c AS (SELECT grp, AVG(risk) - 0.7 AS b0, STDDEV_SAMP(risk) / 10 AS se0, AVG(event) / 4 AS b1, STDDEV_SAMP(risk) / 40 AS se1 FROM fx_score GROUP BY grp),
+s AS (SELECT UNNEST(RANGE(0, 41)) * 0.125 AS s)
+SELECT grp, {R('s')} AS s, {R('b0 + b1 * s')} AS effect, {R('SQRT(se0 * se0 + s * s * se1 * se1)')} AS se, {R('b0 + b1 * s - 1.96 * SQRT(se0 * se0 + s * s * se1 * se1)')} AS ci_lo,
+  {R('b0 + b1 * s + 1.96 * SQRT(se0 * se0 + s * s * se1 * se1)')} AS ci_hi, {R('b0 + b1 * s - 1.96 * (ABS(se0) + ABS(s) * ABS(se1))')} AS worst_lo,
+  {R('b0 + b1 * s + 1.96 * (ABS(se0) + ABS(s) * ABS(se1))')} AS worst_hi, {R('-b0 / b1')} AS zero_crossing FROM c, s""")
+def marginal_effect(spark, sf):
+    c = view(spark, sf, "fx_score").groupBy("grp").agg(
+        (F.avg("risk") - 0.7).alias("b0"), (F.stddev_samp("risk") / 10).alias("se0"), (F.avg("event") / 4).alias("b1"), (F.stddev_samp("risk") / 40).alias("se1"))
+    return plain(T.marginal_effect(c))
+
+
+OLS = "r AS (SELECT COUNT(*) AS n, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_R2(y, x) AS r2, REGR_SXX(y, x) AS sxx, REGR_SYY(y, x) AS syy, AVG(x) AS mx FROM d), e AS (SELECT *, (1 - r2) * syy / (n - 2) AS s2 FROM r)"
+
+
+@query("ols", f"""
+WITH d AS (SELECT o_totalprice / 1000 AS y, o_orderkey * 0.001 AS x FROM orders), {OLS}
+SELECT 'const' AS term, {R('a', 5)} AS coef, {R('SQRT(s2 * (1.0 / n + mx * mx / sxx))', 5)} AS std_err, {R('r2', 5)} AS r2 FROM e
+UNION ALL SELECT 'x', {R('b', 5)}, {R('SQRT(s2 / sxx)', 5)}, {R('r2', 5)} FROM e""")
+def ols_query(spark, sf):
+    d = table(spark, sf, "orders").select((F.col("o_totalprice") / 1000).alias("y"), (F.col("o_orderkey") * 0.001).alias("x"))
+    fit = ols(d, "y", ["x"])
+    return plain(fit.table(spark).select("term", "coef", "std_err", F.lit(fit.extra["r2"]).alias("r2")), 5)
+
+
+def _nodes(spark, sf):
+    d = view(spark, sf, "fx_dim").filter("lat is not null")
+    return cut(d.select(F.col("entity").alias("id"), "lat", "lng", (F.col("last_year") - F.col("first_year") + F.col("lat")).alias("y"), (F.col("entity") % 7).cast("double").alias("x")))
+
+
+SLX = f"""{_knn_sql('plane', 6)}, nd AS (SELECT entity, last_year - first_year + lat AS y, CAST(entity % 7 AS DOUBLE) AS x FROM fx_dim WHERE lat IS NOT NULL),
+lx AS (SELECT a.entity, ANY_VALUE(a.y) AS y, ANY_VALUE(a.x) AS x, AVG(b.x) AS wx FROM nd a JOIN kn ON kn.src = a.entity JOIN nd b ON b.entity = kn.dst GROUP BY a.entity),
+cm AS (SELECT COUNT(*) AS n, VAR_POP(x) * COUNT(*) AS a, COVAR_POP(x, wx) * COUNT(*) AS b, VAR_POP(wx) * COUNT(*) AS c, COVAR_POP(x, y) * COUNT(*) AS p, COVAR_POP(wx, y) * COUNT(*) AS q, VAR_POP(y) * COUNT(*) AS yy, AVG(y) AS my, AVG(x) AS mx, AVG(wx) AS mw FROM lx),
+bb AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2, a * c - b * b AS det FROM cm),
+ss AS (SELECT *, (yy - b1 * p - b2 * q) / (n - 3) AS s2 FROM bb)"""
+
+
+@query("slx", f"""WITH {SLX}
+SELECT 'const' AS term, {R('my - b1 * mx - b2 * mw', 5)} AS coef, {R('SQRT(s2 * (1.0 / n + (mx * mx * c - 2 * mx * mw * b + mw * mw * a) / det))', 5)} AS std_err FROM ss
+UNION ALL SELECT 'x', {R('b1', 5)}, {R('SQRT(s2 * c / det)', 5)} FROM ss UNION ALL SELECT 'W_x', {R('b2', 5)}, {R('SQRT(s2 * a / det)', 5)} FROM ss""")
+def slx(spark, sf):
+    nodes = _nodes(spark, sf)
+    fit = S.slx(nodes, W.knn_weights(nodes, 6), "y", ["x"])
+    return plain(fit.table(spark).select("term", "coef", "std_err"), 5)
+
+
+@query("lm_tests")
+def lm_tests(spark, sf):
+    nodes = _nodes(spark, sf)
+    w = cut(W.knn_weights(nodes, 6))
+    rows = []
+    for form in ("anselin", "reference"):
+        got = S.lm_tests(nodes, w, "y", ["x"], form=form)
+        rows += [(form, k, got[k], got[f"{k}_p"], S.choose_model(got)) for k in ("lm_lag", "lm_error", "robust_lag", "robust_error")]
+    return plain(spark.createDataFrame(rows, "form string, test string, stat double, p double, choice string"))
+
+
+@query("sar_2sls")
+def sar_2sls(spark, sf):
+    nodes = _nodes(spark, sf)
+    return plain(S.sar_2sls(nodes, cut(W.knn_weights(nodes, 6)), "y", ["x"]).table(spark))
+
+
+@query("sem_gmm")
+def sem_gmm(spark, sf):
+    nodes = _nodes(spark, sf)
+    return plain(S.sem_gmm(nodes, cut(W.knn_weights(nodes, 6)), "y", ["x"]).table(spark).select("term", "coef", "std_err"))
+
+
+@query("effect_split")
+def effect_split(spark, sf):
+    nodes = _nodes(spark, sf)
+    w = cut(W.knn_weights(nodes, 6))
+    models = {"sar": S.sar_2sls(nodes, w, "y", ["x"]), "sem": S.sem_gmm(nodes, w, "y", ["x"]), "sdm": S.sar_2sls(nodes, w, "y", ["x"], durbin=True)}
+    rows = [tuple(r.values()) for r in S.split_effects(models, "x")]
+    return plain(spark.createDataFrame(rows, "model string, direct double, spillover double, total double, share double"))
+
+
+@query("spatial_entity_cs", f"""
+WITH {TREATED}, g AS (SELECT b.entity, CASE WHEN LAG(b.value) OVER w > 0 THEN LEAST(GREATEST((b.value - LAG(b.value) OVER w) / LAG(b.value) OVER w, -0.5), 0.5) END AS y, strength, treated, d.lat, d.lng FROM b JOIN fx_dim d ON d.entity = b.entity WINDOW w AS (PARTITION BY b.entity ORDER BY b.year))
+SELECT {L('entity')} AS id, {R('AVG(lat)')} AS lat, {R('AVG(lng)')} AS lng, {R('AVG(y)')} AS y, {R('MAX(strength)')} AS strength, {R('MAX(treated)')} AS treated FROM g WHERE y IS NOT NULL AND lat IS NOT NULL GROUP BY entity""")
+def spatial_entity_cs(spark, sf):
+    p = N.growth_abs(_treated(spark, sf), "value", "entity", "year").join(view(spark, sf, "fx_dim").select("entity", "lat", "lng"), "entity")
+    return plain(J.entity_cross_section(p, "entity", "lat", "lng"))
+
+
+# --- hazards -----------------------------------------------------------------------------------
+
+
+def risk_panel(spark, sf):
+    return N.person_period(view(spark, sf, "fx_dim"), keep=["class", "region", "bank", "lat", "lng"])
+
+
+@query("cloglog_glm")
+def cloglog_glm(spark, sf):
+    fit = H.fit_cloglog(cut(H.keep_events(risk_panel(spark, sf), "event", ["entity", "year"])), "event", ["age", "lat"], ["class"])
+    return plain(fit.table(spark).withColumns({"aic": F.lit(fit.stats["aic"]), "pseudo_r2": F.lit(fit.stats["pseudo_r2"])}), 5)
+
+
+@query("logit_hazard")
+def logit_hazard(spark, sf):
+    train, test = H.split_rows(cut(risk_panel(spark, sf)), ["entity", "year"])
+    fit = H.fit_logit(train, "event", ["age", "lat", "lng"], ["class"])
+    got = H.metrics(cut(fit.predict(test)), "event")
+    return plain(fit.table(spark).select("term", "kind", "level", "coef", F.lit(got["auc"]).alias("test_auc"), F.lit(got["brier"]).alias("test_brier")), 4)
+
+
+@query("risk_design", f"""WITH {PERSON} SELECT * FROM (VALUES ('age', 'numeric'), ('bank', 'numeric'), ('lat', 'numeric'), ('lng', 'numeric'), ('class', 'factor'), ('year', 'factor')) v(term, kind), (SELECT {L('COUNT(*)')} AS rows FROM pp)""")
+def risk_design(spark, sf):
+    p = risk_panel(spark, sf)
+    numeric, factors = H.risk_design(p, "event", ["entity", "region"], "class", "year")
+    terms = [(c, "numeric") for c in numeric if c != "right_censored"] + [(c, "factor") for c in factors]
+    rows = p.agg(F.count("*").alias("rows")).withColumn("_one", F.lit(1))
+    return plain(spark.createDataFrame(terms, "term string, kind string").withColumn("_one", F.lit(1)).join(rows, "_one").drop("_one"))
+
+
+@query("rolling_oot")
+def rolling_oot(spark, sf):
+    p = risk_panel(spark, sf).join(view(spark, sf, "fx_dim").select("entity", "first_year"), "entity")
+    rows, _ = H.rolling_out_of_time(p, "event", "year", ["entity", "year"], ["age", "lat"], ["class"], 10, 5)
+    out = [(int(r["year"]), int(r["n"]), int(r["events"]), r["auc"], r["brier"], r["log_loss"], int(r["n_dropped_unseen_level"])) for r in rows]
+    return plain(spark.createDataFrame(out, "year long, n long, events long, auc double, brier double, log_loss double, n_dropped_unseen_level long"), 4)
+
+
+# --- jobs --------------------------------------------------------------------------------------
+
+
+@query("job_workflow", f"""
+SELECT {L('COUNT(*)')} AS before_rows, {L('COUNT(amount)')} AS after_rows, {L('COUNT(*) - COUNT(amount)')} AS removed_rows, CAST(1 AS BIGINT) AS failed,
+  (SELECT {L('COUNT(DISTINCT year)')} FROM fx_dirty) AS years FROM fx_dirty""")
+def job_workflow(spark, sf):
+    from geostrata.operators.clean import CleanPlan
+    from geostrata.operators.mapping import MappingScheme
+
+    plan = CleanPlan().drop_na(["amount"]).clip("amount", 0.0)
+    checks = [{"name": "no negatives", "check": "no_negative", "field": "amount", "severity": "P0"}, {"name": "unique", "check": "unique", "field": "id", "severity": "P1"}]
+    got = J.run_workflow(view(spark, sf, "fx_dirty"), "id", plan=plan, assertions=checks, scheme=MappingScheme().aggregate(["year"], {"amount": "sum"}), order_by=["id", "copy"])
+    tag = lambda d: d.withColumn("_one", F.lit(1))
+    failed = got.report.agg(F.sum(F.when(F.col("status") == "fail", 1).otherwise(0)).alias("failed"))
+    years = got.mapped.data.agg(F.count("*").alias("years"))
+    return plain(tag(got.cleaned.stats).join(tag(failed), "_one").join(tag(years), "_one").drop("_one"))
+
+
+@query("job_closures")
+def job_closures(spark, sf):
+    got = J.run_closures(view(spark, sf, "fx_panel"), view(spark, sf, "fx_dim"))
+    rows = [("twfe", *r[:3]) for r in got.twfe.rows()] + [("event_study", f"tau {r[0]}", r[1], r[2]) for r in got.event_rows]
+    rows += [("slx", *r[:3]) for r in got.spatial["slx"].rows()] + [("sar", *r[:3]) for r in got.spatial["sar"].rows()]
+    rows.append(("resid_moran", "moran_i", got.spatial["resid_moran"]["moran_i"], None))
+    return plain(spark.createDataFrame(rows, "model string, term string, coef double, std_err double"), 5)
+
+
+@query("job_survival")
+def job_survival(spark, sf):
+    got = J.run_survival(view(spark, sf, "fx_dim"), permutations=49)
+    rows = [(k, float(v)) for k, v in got.test_metrics.items() if v is not None] + [(f"moran_{k}", float(v)) for k, v in got.residual_moran.items() if v is not None]
+    rows += [("cloglog_pseudo_r2", got.cloglog.stats["pseudo_r2"]), ("rows", float(got.panel.count()))]
+    return plain(spark.createDataFrame(rows, "metric string, value double"), 4)
+
+
+@query("job_ladder", f"""
+WITH p AS (SELECT {L('COUNT(*)')} AS n FROM fx_points), d AS (SELECT {L('COUNT(lat)')} AS n FROM fx_dim)
+SELECT 'points' AS dataset, n AS points, CAST(0 AS BIGINT) AS bad_rows FROM p UNION ALL SELECT 'entities', n, CAST(0 AS BIGINT) FROM d""")
+def job_ladder(spark, sf):
+    sets = {"points": view(spark, sf, "fx_points").select("lat", F.col("lng").alias("lon"), "value"),
+            "entities": view(spark, sf, "fx_dim").select("lat", F.col("lng").alias("lon"), F.when(F.col("acq_year").isNotNull(), 1.0).otherwise(0.0).alias("value"))}
+    got, _ = J.run_ladder(sets)
+    return plain(spark.createDataFrame([(n, int(t.points), int(t.weights_summary["bad_rows"])) for n, t in got.items()], "dataset string, points long, bad_rows long"))
+
+
+@query("job_analyze", f"SELECT 'entity' AS entity, 'year' AS time, 'panel' AS kind, {L('COUNT(*)')} AS rows FROM fx_panel")
+def job_analyze(spark, sf):
+    got = J.run_analyze(spark, view(spark, sf, "fx_panel"))
+    scale = got["health"].filter("key = 'scale'").select(F.col("value").alias("rows"))
+    return plain(scale.select(F.lit(got["roles"]["entity"]).alias("entity"), F.lit(got["roles"]["time"]).alias("time"), F.lit(got["shape"]["kind"]).alias("kind"), F.col("rows").cast("long").alias("rows")))
+
+
+@query("job_refit")
+def job_refit(spark, sf):
+    d = _treated(spark, sf).select("entity", "year", "value", "n_orders", "mark", "s").join(view(spark, sf, "fx_dim").select("entity", "lat", "lng", "class"), "entity")
+    roles = {"entity": "entity", "time": "year", "value": "value", "lat": "lat", "lon": "lng", "group": "class"}
+    got = J.run_refit(d, roles, mark="mark", strength="s", exit_col="mark")
+    rows = [("twfe", *r[:3]) for r in got["twfe"].rows()] + [("slx", *r[:3]) for r in got["spatial"]["slx"].rows()]
+    rows += [("risk", r[0], r[3], r[4]) for r in got["risk"].rows]
+    return plain(spark.createDataFrame(rows, "model string, term string, coef double, std_err double"), 4)
+
+
+@query("moran_residual")
+def moran_residual(spark, sf):
+    lat, lng = hex_center("cell", 7)
+    cs = cut(cross_section(spark, sf).withColumns({"lat": lat, "lng": lng}))
+    return plain(M.moran_inference(cs, W.knn_weights(cs, 6, "cell"), "growth_clip", "cell"))

@@ -1 +1,238 @@
-"""placeholder"""
+"""Readers, writers and discovery, each on files that Spark writes from the tables."""
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from geostrata.queries.registry import L, R, plain, query, table, view
+from geostrata.session import scratch_path
+from geostrata.sources import discover as D
+from geostrata.sources import readers as I
+from geostrata.sources import sinks as K
+
+CUSTOMER = f"SELECT {L('c_custkey')} AS c_custkey, c_name, {R('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
+
+
+def _customer(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+def _files(spark, path):
+    return D.expand(spark, [path])[0]
+
+
+def _round_trip(name, fmt, sql, reader):
+    @query(name, sql)
+    def run(spark, sf):
+        path = scratch_path(spark, name)
+        K.write(_customer(spark, sf), path, fmt)
+        return plain(reader(spark, path).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+
+
+_round_trip("src_csv", "csv", CUSTOMER, lambda s, p: I.read_csv(s, _files(s, p)))
+_round_trip("src_dispatch", "tsv", CUSTOMER, lambda s, p: I.union_all([I.read(s, f, sep="\t") for f in _files(s, p)]))
+_round_trip("src_json", "json", CUSTOMER, lambda s, p: I.read_json(s, _files(s, p)))
+_round_trip("src_csv_sniff", "tsv", CUSTOMER, lambda s, p: I.read_delimited(s, _files(s, p)))
+_round_trip("sink_table", "json", CUSTOMER, lambda s, p: s.read.json(p))
+_round_trip("sink_csv_table", "csv", CUSTOMER, lambda s, p: s.read.csv(p, header=True, inferSchema=True))
+
+
+@query("src_csv_headerless", f"SELECT {L('o_orderkey')} AS c0, {R('o_totalprice')} AS c1, {L('o_custkey')} AS c2 FROM orders")
+def src_csv_headerless(spark, sf):
+    path = scratch_path(spark, "headerless")
+    table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey").write.option("sep", "|").csv(path)
+    return plain(I.read_delimited(spark, _files(spark, path)))
+
+
+@query("src_xml", f"SELECT {L('n_nationkey')} AS id, n_name AS name, {L('n_regionkey')} AS region FROM nation")
+def src_xml(spark, sf):
+    path = scratch_path(spark, "xml")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("@id"), F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("region")).alias("at"))
+    n.write.format("xml").option("rootTag", "nations").option("rowTag", "nation").option("attributePrefix", "@").save(path)
+    got = I.read_xml(spark, path)
+    return plain(got.select(F.col("`@id`").cast("long").alias("id"), F.col("`name.#text`").alias("name"), F.col("`at_region.#text`").cast("long").alias("region")))
+
+
+@query("src_ntriples", """
+SELECT 'http://x/c/' || c_custkey AS subject, 'http://x/segment' AS predicate, c_mktsegment AS object FROM customer
+UNION SELECT 'http://x/c/' || c_custkey, 'http://x/nation', 'http://x/n/' || c_nationkey FROM customer""")
+def src_ntriples(spark, sf):
+    path = scratch_path(spark, "triples")
+    c = table(spark, sf, "customer")
+    lines = F.array(
+        F.format_string('<http://x/c/%d> <http://x/segment> "%s" .', "c_custkey", "c_mktsegment"),
+        F.format_string("<http://x/c/%d> <http://x/nation> <http://x/n/%d> . # nation", "c_custkey", "c_nationkey"),
+        F.lit("# a comment"), F.format_string('<http://x/c/%d> <http://x/segment> "%s" .', "c_custkey", "c_mktsegment"))
+    c.select(F.explode(lines)).write.text(path)
+    return I.read_ntriples(spark, path)
+
+
+@query("src_prune_cast", f"""
+SELECT {L('o_orderkey')} AS o_orderkey, {R('o_totalprice')} AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(NULL AS VARCHAR) AS absent,
+  {R("CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 100 END")} AS num FROM orders""")
+def src_prune_cast(spark, sf):
+    path = scratch_path(spark, "prune")
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a").alias("o_orderdate"),
+        F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise((F.col("o_orderkey") % 100).cast("string")).alias("num"))
+    K.write(o, path, "csv")
+    raw = I.read_csv(spark, _files(spark, path), infer=False)
+    got = I.prune_cast(raw, {"o_orderkey": "long", "o_totalprice": "number", "o_orderdate": "date", "absent": "string", "num": "number"})
+    return plain(got.withColumn("d", F.date_format("o_orderdate", "yyyy-MM-dd")).drop("o_orderdate"))
+
+
+YEARS = tuple(range(1995, 2002))
+
+
+def yearly(spark, sf):
+    """Orders as one folder of CSV files per year; early years lack a column."""
+    path = scratch_path(spark, "yearly")
+    o = table(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
+    cols = ["o_orderkey", "o_custkey", "o_totalprice"]
+    o.filter("yr < 1998").select(*cols, "yr").write.partitionBy("yr").option("header", True).csv(f"{path}/early")
+    o.filter("yr >= 1998").select(*cols, "o_orderpriority", "yr").write.partitionBy("yr").option("header", True).csv(f"{path}/late")
+    return path
+
+
+YEARLY = f"SELECT {L('o_orderkey')} AS o_orderkey, {R('o_totalprice')} AS o_totalprice, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END AS o_orderpriority FROM orders"
+
+
+@query("src_group_union", YEARLY)
+def src_group_union(spark, sf):
+    catalog = D.scan(spark, yearly(spark, sf)).withColumn("group", F.lit("orders_#"))
+    return plain(I.read_group(spark, catalog, "orders_#").select("o_orderkey", "o_totalprice", "o_orderpriority"))
+
+
+@query("src_multi_union", f"SELECT {L('COUNT(*)')} AS rows, {L('COUNT(CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END)')} AS with_priority, {L('COUNT(*)')} AS with_source FROM orders")
+def src_multi_union(spark, sf):
+    b = I.load_sources(spark, [yearly(spark, sf)])
+    return plain(b.data.agg(F.count("*").alias("rows"), F.count("o_orderpriority").alias("with_priority"), F.count(I.SOURCE_FILE).alias("with_source")))
+
+
+@query("src_expand", f"SELECT {L('COUNT(DISTINCT year(o_orderdate))')} AS folders, {L('COUNT(*)')} AS rows FROM orders")
+def src_expand(spark, sf):
+    files, _ = D.expand(spark, [yearly(spark, sf)])
+    folders = len({f.rsplit("/", 2)[-2] for f in files})
+    return plain(D.text_facts(spark, files).agg(F.lit(folders).alias("folders"), F.sum(F.col("lines") - 1).alias("rows")))
+
+
+@query("src_points", f"SELECT {R('lat')} AS lat, {R('lng')} AS lon, {R('CASE WHEN acq_year IS NOT NULL THEN 1 ELSE 0 END')} AS value FROM fx_dim")
+def src_points(spark, sf):
+    d = view(spark, sf, "fx_panel").select("entity", "year").join(view(spark, sf, "fx_dim").select("entity", "lat", "lng", "acq_year"), "entity")
+    return plain(I.entity_points(d, "entity", "year", "acq_year", "lat", "lng"))
+
+
+@query("src_day_sample", f"SELECT {L('COUNT(*)')} AS rows, {R('SUM(value)', 3)} AS total FROM events WHERE day(ts) = 15")
+def src_day_sample(spark, sf):
+    path = scratch_path(spark, "days")
+    e = table(spark, sf, "events").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
+    e.write.partitionBy("day").option("header", True).csv(path)
+    files = _files(spark, path)
+    folder = {f.rsplit("/", 2)[-2]: [] for f in files}
+    for f in files:
+        folder[f.rsplit("/", 2)[-2]].append(f)
+    kept = [f for d in D.with_day(sorted(folder), "15") for f in folder[d]]
+    got = I.read_csv(spark, kept)
+    return plain(got.agg(F.count("*").alias("rows"), F.sum("value").alias("total")), 3)
+
+
+@query("src_parquet_cache", CUSTOMER)
+def src_parquet_cache(spark, sf):
+    path = scratch_path(spark, "stage")
+    build = partial(_customer, spark, sf)
+    I.cached_stage(spark, path, build)
+    return plain(I.cached_stage(spark, path, lambda: build().limit(0)))
+
+
+@query("sink_parquet", f"SELECT {L('o_orderkey')} AS o_orderkey, {R('o_totalprice')} AS o_totalprice, {L('year(o_orderdate)')} AS yr FROM orders WHERE year(o_orderdate) = 1997")
+def sink_parquet(spark, sf):
+    path = scratch_path(spark, "parquet")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
+    K.write(o, path, "parquet", ["yr"])
+    return plain(spark.read.parquet(path).filter("yr = 1997"))
+
+
+@query("sink_report", f"SELECT 'cat' AS field, {L('COUNT(*) - COUNT(cat)')} AS null_count FROM fx_dirty UNION ALL SELECT 'amount', {L('COUNT(*) - COUNT(amount)')} FROM fx_dirty")
+def sink_report(spark, sf):
+    from geostrata.operators.profile import null_table
+
+    path = scratch_path(spark, "report")
+    K.write_report({"nulls": null_table(view(spark, sf, "fx_dirty").select("cat", "amount"))}, path)
+    return plain(spark.read.json(f"{path}/nulls").select("field", "null_count"))
+
+
+# --- discovery ---------------------------------------------------------------------------------
+
+
+def _listing(spark, sf):
+    path = yearly(spark, sf)
+    files = D.scan(spark, path)
+    facts = D.peek_columns(D.text_facts(spark, [r["path"] for r in files.select("path").collect()]))
+    key = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    year = F.regexp_extract("parent", r"yr=(\d+)", 1)
+    return files.withColumn("k", key(F.col("path"))).join(facts.select(key(F.col("path")).alias("k"), "lines", "columns"), "k").withColumns(
+        {"year": year, "group": F.regexp_replace("parent", r"\d+", "#")})
+
+
+@query("disc_scan", f"SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS year, 'csv' AS format FROM orders")
+def disc_scan(spark, sf):
+    files = D.scan(spark, yearly(spark, sf), ["csv"])
+    return files.select(F.regexp_extract("parent", r"yr=(\d+)", 1).alias("year"), "format").distinct()
+
+
+@query("disc_line_count", f"SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, {L('COUNT(*)')} AS data_lines FROM orders GROUP BY 1")
+def disc_line_count(spark, sf):
+    return plain(_listing(spark, sf).groupBy("year").agg(F.sum(F.col("lines") - 1).alias("data_lines")))
+
+
+@query("disc_peek_columns", """SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS year,
+  CASE WHEN year(o_orderdate) < 1998 THEN 'o_orderkey,o_custkey,o_totalprice' ELSE 'o_orderkey,o_custkey,o_totalprice,o_orderpriority' END AS columns FROM orders""")
+def disc_peek_columns(spark, sf):
+    return _listing(spark, sf).select("year", F.array_join("columns", ",").alias("columns")).distinct()
+
+
+@query("disc_group", r"SELECT regexp_replace(regexp_replace(regexp_replace(c_name || '_' || (c_custkey % 7) || '.csv.gz', '\.gz$', ''), '\.csv$', ''), '\d+', '#', 'g') AS grp, CAST(COUNT(*) AS BIGINT) AS n FROM customer GROUP BY 1")
+def disc_group(spark, sf):
+    name = F.concat("c_name", F.lit("_"), (F.col("c_custkey") % 7).cast("string"), F.lit(".csv.gz"))
+    return plain(table(spark, sf, "customer").groupBy(D.group_name(name).alias("grp")).agg(F.count("*").alias("n")))
+
+
+def _as_listing(spark, sf):
+    return table(spark, sf, "documents").select(F.col("source").alias("parent"), F.col("lang").alias("format"), F.col("n_chars").alias("size"))
+
+
+def _dist(name, by, col):
+    @query(name, f"""SELECT {col} AS {by}, {L('COUNT(*)')} AS files, {L('SUM(n_chars)')} AS bytes, {R('SUM(n_chars) * 1.0 / (SELECT SUM(n_chars) FROM documents)')} AS share,
+      STRING_AGG(DISTINCT lang, ',' ORDER BY lang) AS formats FROM documents GROUP BY 1""")
+    def run(spark, sf):
+        return plain(D.distribution(_as_listing(spark, sf), by))
+
+
+_dist("disc_format_dist", "format", "lang")
+_dist("disc_dir_dist", "parent", "source")
+
+
+@query("disc_group_summary", f"SELECT 'yr=#' AS grp, 'csv' AS formats, {L('COUNT(*)')} AS data_lines, 'o_custkey,o_orderkey,o_orderpriority,o_totalprice' AS columns FROM orders")
+def disc_group_summary(spark, sf):
+    files = _listing(spark, sf).withColumn("lines", F.col("lines") - 1)
+    g = D.group_summary(files)
+    return plain(g.select(F.col("group").alias("grp"), F.array_join("formats", ",").alias("formats"), F.col("lines").alias("data_lines"), F.array_join("columns", ",").alias("columns")))
+
+
+@query("disc_drift", f"""SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS year, CASE WHEN year(o_orderdate) >= 1998 THEN 'o_orderpriority' ELSE '' END AS added, '' AS missing,
+  CAST(CASE WHEN year(o_orderdate) >= 1998 THEN 0 ELSE 1 END AS BIGINT) AS consistent FROM orders""")
+def disc_drift(spark, sf):
+    d = D.drift(_listing(spark, sf))
+    return plain(d.select(F.regexp_extract("path", r"yr=(\d+)", 1).alias("year"), F.array_join("added", ",").alias("added"), F.array_join("missing", ",").alias("missing"), "consistent").distinct())
+
+
+@query("disc_schema_coverage", f"""SELECT 'o_orderpriority' AS "column", {L('COUNT(DISTINCT CASE WHEN year(o_orderdate) >= 1998 THEN year(o_orderdate) END)')} AS in_files, {L('COUNT(DISTINCT year(o_orderdate))')} AS of_files FROM orders""")
+def disc_schema_coverage(spark, sf):
+    files = _listing(spark, sf).groupBy(F.col("parent").alias("path")).agg(F.first("columns").alias("columns"))
+    return plain(D.schema_coverage(files))
+
+
+@query("disc_fingerprint", f"SELECT {L('COUNT(DISTINCT year(o_orderdate))')} AS folders, CAST(1 AS BIGINT) AS all_hashed FROM orders")
+def disc_fingerprint(spark, sf):
+    f = D.fingerprints(spark, _files(spark, yearly(spark, sf)))
+    return plain(f.agg(F.countDistinct(F.regexp_extract("path", r"yr=(\d+)", 1)).alias("folders"), F.bool_and(F.length("digest") == 32).alias("all_hashed")))
