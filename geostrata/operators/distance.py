@@ -299,15 +299,25 @@ def knn_edges(
 
     found, open_ = [], places
     while True:
-        top = cut(_nearest_in_radius(open_, cands, dims, radius, k + 1))
         last = radius >= reach
-        done = top if last else top.filter(
-            (F.size("near") == k + 1) & (F.col("worst") <= radius - 1e-8)
-        )
-        found.append(done.select(*dims, "near"))
         if last:
+            ready, waiting = open_, None
+        else:
+            # places in a thinly filled cell cannot be done yet and skip this round's search
+            cells = [F.floor(F.col(d) / (2 * radius)).alias(f"_g{i}") for i, d in enumerate(dims)]
+            full = cands.groupBy(*cells).agg(F.count("*").alias("_n")).filter(F.col("_n") > k)
+            marked = cut(
+                open_.select(*dims, *cells).join(full, [f"_g{i}" for i in range(len(dims))], "left")
+                .select(*dims, F.col("_n").isNotNull().alias("_go"))
+            )
+            ready, waiting = marked.filter("_go").select(*dims), marked.filter("not _go").select(*dims)
+        top = cut(_nearest_in_radius(ready, cands, dims, radius, k + 1))
+        if last:
+            found.append(top.select(*dims, "near"))
             break
-        open_ = top.filter(~((F.size("near") == k + 1) & (F.col("worst") <= radius - 1e-8))).select(*dims)
+        settled = (F.size("near") == k + 1) & (F.col("worst") <= radius - 1e-8)
+        found.append(top.filter(settled).select(*dims, "near"))
+        open_ = waiting.unionByName(top.filter(~settled).select(*dims))
         if open_.isEmpty():
             break
         radius = min(radius * 2, reach)
@@ -329,12 +339,13 @@ def _first_radius(cands, dims, spans, n, k, reach):
     """Start where an even spread gives about k+1 points, and shrink while any cell is crowded."""
     area = max(spans[0], 1e-9) * max(spans[1], 1e-9)
     radius = min(max(math.sqrt(area * (k + 1) / (math.pi * n)), 1e-9), reach)
+    goal = 4 * (k + 1)
     while radius > 1e-9:
         cells = cands.groupBy(*[F.floor(F.col(d) / radius).alias(d) for d in dims]).count()
         most = cells.agg(F.max("count")).first()[0]
-        if most <= 64 * (k + 1):
+        if most <= goal:
             break
-        radius /= 2
+        radius /= max(1.3, math.sqrt(most / goal))
     return radius
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.functions.columns import hex_cell, square_cell
+from geostrata.operators.ranks import group_quantile
 
 OPS = ("rename", "derive", "bin", "onehot", "code", "aggregate", "geocode", "drop")
 MAX_LEVELS = 1000
@@ -61,15 +62,32 @@ def coded(name: str, mapping: Mapping[Any, Any], default: Any = None) -> Column:
 
 
 AGGREGATES = {
-    "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "nunique": F.countDistinct,
-    "median": lambda c: F.expr(f"percentile({c}, 0.5)"), "std": F.stddev_samp, "first": F.first, "last": F.last,
+    "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "nunique": F.countDistinct, "std": F.stddev_samp,
 }
 
 
-def aggregate(df: DataFrame, group_by: Sequence[str], agg: Mapping[str, str]) -> DataFrame:
-    """Grouped aggregates under the source names; null keys are left out."""
+def aggregate(df: DataFrame, group_by: Sequence[str], agg: Mapping[str, str], order_by: Sequence[str] = ()) -> DataFrame:
+    """Grouped aggregates under the source names; null keys are left out.
+
+    ``first`` and ``last`` take non-null values and need ``order_by``.
+    """
     keep = df.na.drop(subset=list(group_by))
-    return keep.groupBy(*group_by).agg(*[AGGREGATES[f](c).alias(c) for c, f in agg.items()])
+    plain, medians = [], []
+    for c, f in agg.items():
+        if f == "median":
+            medians.append(c)
+        elif f in ("first", "last"):
+            if not order_by:
+                raise ValueError(f"{f} needs order_by")
+            pick = F.min_by if f == "first" else F.max_by
+            plain.append(pick(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order_by))).alias(c))
+        else:
+            plain.append(AGGREGATES[f](c).alias(c))
+    groups = keep.groupBy(*group_by)
+    out = groups.agg(*plain) if plain else keep.select(*group_by).distinct()
+    for c in medians:
+        out = out.join(group_quantile(keep, group_by, c, 0.5, c), list(group_by), "left")
+    return out.select(*group_by, *agg)
 
 
 class MappingScheme:
@@ -95,8 +113,8 @@ class MappingScheme:
     def code(self, name, mapping, default=None, reason=""):
         return self._add("code", reason, field=name, mapping=dict(mapping), default=default)
 
-    def aggregate(self, group_by, agg, reason=""):
-        return self._add("aggregate", reason, group_by=list(group_by), agg=dict(agg))
+    def aggregate(self, group_by, agg, order_by=(), reason=""):
+        return self._add("aggregate", reason, group_by=list(group_by), agg=dict(agg), order_by=list(order_by))
 
     def geocode(self, lat, lng, resolution: int | None = 8, size: float = 0.01, reason=""):
         """Add ``cell``: a hexagon id, or a square-grid id when ``resolution`` is None."""
@@ -151,7 +169,7 @@ def apply_scheme(df: DataFrame, scheme: MappingScheme) -> MapResult:
             df, note = df.withColumn(f"{name}_code", coded(name, p["mapping"], p["default"])), f"{name}_code"
             line(note, [name], "lookup", o.op)
         elif o.op == "aggregate":
-            df, note = aggregate(df, p["group_by"], p["agg"]), ",".join(p["group_by"])
+            df, note = aggregate(df, p["group_by"], p["agg"], p["order_by"]), ",".join(p["group_by"])
             for c, f in p["agg"].items():
                 line(c, [c], f, o.op)
         elif o.op == "geocode":

@@ -204,7 +204,7 @@ def _bisect(col: Column, points: list, base: int) -> Column:
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(2, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_total(
@@ -288,3 +288,18 @@ def carry_fill(
     )
     filled = F.coalesce(F.last(column, ignorenulls=True).over(w), F.col("_carry"))
     return joined.withColumn(column, filled).drop("_part", "_carry")
+
+
+def group_quantile(df: DataFrame, by: Sequence[str], column: str, p: float, name: str) -> DataFrame:
+    """Exact quantile per group; a group of any size is spread over many tasks."""
+    by = list(by)
+    counts = df.select(*by, _number(column).alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(
+        F.count("*").alias("_n")
+    )
+    ranked = running_total(counts, "_v", {"_upto": "_n"}, by=by)
+    totals = counts.groupBy(*by).agg(((F.sum("_n") - 1) * F.lit(float(p))).alias("_pos"))
+    keys = _all([F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in by])
+    both = ranked.alias("_a").join(totals.alias("_b"), keys).select("_a.*", "_b._pos")
+    at = lambda pos: F.min(F.when(F.col("_upto") > pos, F.col("_v")))
+    lo, hi = at(F.floor("_pos")), at(F.ceil("_pos"))
+    return both.groupBy(*by).agg((lo + (hi - lo) * (F.max("_pos") - F.floor(F.max("_pos")))).alias(name))

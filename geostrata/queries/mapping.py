@@ -54,9 +54,9 @@ def map_code(spark, sf):
 
 
 @query("map_aggregate", f"""
-SELECT cat, {R('SUM(amount)', 3)} AS amount, {R('AVG(lat)')} AS lat, {L('COUNT(DISTINCT entity)')} AS entity FROM fx_dirty WHERE cat IS NOT NULL GROUP BY cat""")
+SELECT cat, {R('SUM(amount)', 3)} AS amount, {R('AVG(lat)')} AS lat, {L('COUNT(DISTINCT entity)')} AS entity, {R('MEDIAN(year)')} AS year FROM fx_dirty WHERE cat IS NOT NULL GROUP BY cat""")
 def map_aggregate(spark, sf):
-    s = MappingScheme().aggregate(["cat"], {"amount": "sum", "lat": "mean", "entity": "nunique"})
+    s = MappingScheme().aggregate(["cat"], {"amount": "sum", "lat": "mean", "entity": "nunique", "year": "median"})
     return plain(_apply(view(spark, sf, "fx_dirty"), s).withColumn("amount", F.round("amount", 3)))
 
 
