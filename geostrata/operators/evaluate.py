@@ -213,16 +213,16 @@ def leak_scan(df: DataFrame, entity: str, time: str, limit: int = 12, min_rows:
 def panel_balance(df: DataFrame, entity: str, time: str) -> DataFrame:
     """Entities per period (least, most), periods per entity, single-period and full-span shares."""
     pairs = df.filter(F.col(entity).isNotNull() & F.col(time).isNotNull()).select(entity, time).distinct()
-    per_time = pairs.groupBy(time).agg(F.count("*").alias("n"))
-    per_entity = pairs.groupBy(entity).agg(F.count("*").alias("k"))
-    periods = per_time.agg(F.count("*").alias("periods"), F.min("n").alias("min_entities"), F.max("n").alias("max_entities"))
-    median = quantiles(per_entity, {"k": (0.5,)})["k", 0.5]
-    spread = per_entity.groupBy("k").agg(F.count("*").alias("m"))  # one row per number of periods
+    per_time = pairs.groupBy(time).agg(F.count("*").alias("_n"))
+    per_entity = pairs.groupBy(entity).agg(F.count("*").alias("_k"))
+    periods = per_time.agg(F.count("*").alias("periods"), F.min("_n").alias("min_entities"), F.max("_n").alias("max_entities"))
+    median = quantiles(per_entity, {"_k": (0.5,)})["_k", 0.5]
+    spread = per_entity.groupBy("_k").agg(F.count("*").alias("_m"))  # one row per number of periods
     tag = lambda d: d.withColumn("_one", F.lit(1))
     both = tag(spread).join(tag(periods), "_one").groupBy("periods", "min_entities", "max_entities").agg(
-        F.sum("m").alias("entities"),
-        ratio(F.sum(F.when(F.col("k") <= 1, F.col("m")).otherwise(0)), F.sum("m")).alias("single_period_share"),
-        ratio(F.sum(F.when(F.col("k") >= F.col("periods"), F.col("m")).otherwise(0)), F.sum("m")).alias("full_span_share"),
+        F.sum("_m").alias("entities"),
+        ratio(F.sum(F.when(F.col("_k") <= 1, F.col("_m")).otherwise(0)), F.sum("_m")).alias("single_period_share"),
+        ratio(F.sum(F.when(F.col("_k") >= F.col("periods"), F.col("_m")).otherwise(0)), F.sum("_m")).alias("full_span_share"),
     )
     return both.withColumn("periods_per_entity_median", F.lit(median).cast("double"))
 

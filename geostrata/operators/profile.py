@@ -240,8 +240,8 @@ def field_report(df: DataFrame, top_n: int = 5) -> DataFrame:
 def key_findings(panel: DataFrame, entity: str, year: str, secondary: str, survival: Sequence[str]) -> DataFrame:
     """First-year duplicates, entities whose second id changes, nulls of survival fields: one row."""
     first = panel.agg(F.min(year)).first()[0]
-    opening = panel.filter(F.col(year) == F.lit(first)).groupBy(entity).agg(F.count("*").alias("n"))
-    dup = opening.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("first_year_duplicates"))
+    opening = panel.filter(F.col(year) == F.lit(first)).groupBy(entity).agg(F.count("*").alias("_n"))
+    dup = opening.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("first_year_duplicates"))
     per = panel.groupBy(entity).agg((F.max(secondary) != F.min(secondary)).alias("_changes"))
     changed = per.agg(share_where(F.col("_changes")).alias("changed_share"))
     nulls = panel.agg(*[share_where(F.col(c).isNull()).alias(f"null_{c}") for c in survival])

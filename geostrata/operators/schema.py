@@ -176,8 +176,8 @@ def rule_breach(name: str, rule: Rule, now: datetime | None = None) -> Column |
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: how many rows belong to a key that occurs more than once (nulls are equal)."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("violations")
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias("violations")
     )
 
 
@@ -216,14 +216,14 @@ def violations(df: DataFrame, specs: Iterable[FieldSpec], sample_n: int = 5,
             for i, s, _, b in simple
         ]
     for i, s, r, keys in keyed:
-        groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
+        groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
         one = groups.agg(
-            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("violations"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"),
+            F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias("violations"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"),
         )
         parts.append(one.select(*head(i, s, r), "violations", "_rows"))
         samples.append(
-            groups.filter("n > 1").select(F.lit(i).alias("_rule"), F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]).alias("v")).limit(sample_n)
+            groups.filter("_n > 1").select(F.lit(i).alias("_rule"), F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]).alias("v")).limit(sample_n)
         )
     if not parts:
         raise ValueError("no rule applies to this table")

@@ -48,8 +48,8 @@ def _verdict(spec, actual: Column) -> tuple[Column, str]:
 
 def surplus_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows beyond the first of each key, one row; nulls are equal."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("double").alias("actual")
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("double").alias("actual")
     )
 
 
