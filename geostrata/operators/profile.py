@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geostrata.functions.columns import count_where, is_numeric, numeric_columns, ratio, share_where
-from geostrata.operators.ranks import quantiles
+from geostrata.operators.ranks import distinct_counts, quantiles
 from geostrata.operators.schema import NULL_MEANING, infer_roles
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -66,24 +66,25 @@ def datetime_range(df: DataFrame, columns: Sequence[str] | None = None, pattern:
 def column_counts(df: DataFrame, roles: Mapping[str, str] | None = None, approx: bool = False) -> DataFrame:
     """Rows, non-null, null and distinct counts per column."""
     roles = {**infer_roles(df.columns), **(roles or {})}
-    distinct = F.approx_count_distinct if approx else F.countDistinct
     cols = df.columns
-    row = df.agg(
-        F.count("*").alias("_n"),
-        *[F.count(c).alias(f"nn_{i}") for i, c in enumerate(cols)],
-        *[distinct(F.col(c)).alias(f"d_{i}") for i, c in enumerate(cols)],
-    )
     types = dict(df.dtypes)
-    return _lines(row, [
-        F.struct(
+    aggs = [F.count("*").alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(cols)]]
+    if approx:
+        aggs += [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d_{i}") for i, c in enumerate(cols)]
+
+    def line(i, c):
+        out = [
             F.lit(c).alias("field"), F.lit(types[c]).alias("dtype"), F.lit(roles[c]).alias("role"),
             F.col("_n").alias("count"), F.col(f"nn_{i}").alias("non_null"),
             (F.col("_n") - F.col(f"nn_{i}")).alias("null_count"),
             F.coalesce(ratio(F.col("_n") - F.col(f"nn_{i}"), F.col("_n")), F.lit(0.0)).alias("null_rate"),
-            F.col(f"d_{i}").alias("distinct"),
-        )
-        for i, c in enumerate(cols)
-    ])
+        ]
+        return F.struct(*out, F.col(f"d_{i}").alias("distinct")) if approx else F.struct(*out)
+
+    counts = _lines(df.agg(*aggs), [line(i, c) for i, c in enumerate(cols)])
+    if approx:
+        return counts
+    return counts.join(distinct_counts(df), "field", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def null_table(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:

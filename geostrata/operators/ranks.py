@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIRECT_ROWS = 200_000  # rows that may be sorted in one step
 APPROX_ACCURACY = 10_000  # rank error of the bracketing pass is n / accuracy
@@ -60,29 +61,34 @@ def quantile(df: DataFrame, column: str, p: float) -> float | None:
 
 
 def _order_statistics(base, sizes, ranks, direct_rows):
-    """Values at zero-based ranks. Brackets are closed value intervals that hold the rank."""
-    found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}
-    first = {(c, k): (-math.inf, math.inf, 0, sizes[c]) for c, ks in ranks.items() for k in ks}
-    small = {ck: b for ck, b in first.items() if sizes[ck[0]] <= direct_rows}
-    found.update(_pick(base, small))
-    open_ = {ck: b for ck, b in first.items() if ck not in small}
+    """Values at zero-based ranks, as {(column, rank): value}.
 
+    Neighbouring ranks form one unit (column, first, last). A unit's bracket is a closed value
+    interval (lo, hi) with the number of values below and inside it.
+    """
+    open_ = {}
+    for c, ks in ranks.items():
+        ordered = sorted(ks)
+        i = 0
+        while i < len(ordered):
+            j = i + 1 if i + 1 < len(ordered) and ordered[i + 1] == ordered[i] + 1 else i
+            open_[c, ordered[i], ordered[j]] = (-math.inf, math.inf, 0, sizes[c])
+            i = j + 1
+    found: dict[tuple[str, int], float] = {}
+    ready = {u: b for u, b in open_.items() if b[3] <= direct_rows}
+    open_ = {u: b for u, b in open_.items() if u not in ready}
     while open_:
-        tighter = _tighten(base, open_)
-        ready = {}
-        for ck, (lo, hi, below, inside) in tighter.items():
-            if lo == hi:
-                found[ck] = lo
-            elif inside <= direct_rows:
-                ready[ck] = (lo, hi, below, inside)
-        found.update(_pick(base, ready))
-        still = {ck: b for ck, b in tighter.items() if ck not in ready and b[0] != b[1]}
-        for ck, b in list(still.items()):
-            if b[:2] == open_[ck][:2]:  # no progress: few distinct values, sort them by value
-                found.update(_pick(base, {ck: b}))
-                del still[ck]
+        still = {}
+        for u, b in _tighten(base, open_).items():
+            if b[0] == b[1]:
+                found[u[0], u[1]] = found[u[0], u[2]] = b[0]
+            elif b[3] <= direct_rows or b[:2] == open_[u][:2]:
+                # small enough, or unchanged because few distinct values are left
+                ready[u] = b
+            else:
+                still[u] = b
         open_ = still
+    found.update(_pick(base, ready))
     return found
 
 
@@ -96,65 +102,61 @@ def _inside(c: str, lo: float, hi: float) -> Column:
 
 
 def _tighten(base, open_):
-    """One pass proposes new bounds per bracket, a second one counts below and inside them."""
-    keys = sorted(open_)
-    proposals = []
-    for i, (c, k) in enumerate(keys):
-        lo, hi, below, inside = open_[c, k]
-        p = (k - below) / max(inside - 1, 1)
+    """One pass proposes new bounds (one sketch per distinct bracket), a second one counts."""
+    shared: dict[tuple, list] = {}
+    for u, (lo, hi, below, inside) in open_.items():
+        shared.setdefault((u[0], lo, hi, below, inside), []).append(u)
+    sketches = []
+    for i, ((c, lo, hi, below, inside), units) in enumerate(shared.items()):
         pad = 2.0 / APPROX_ACCURACY
-        ps = [max(0.0, p - pad), min(1.0, p + pad)]
-        proposals.append(
-            F.percentile_approx(
-                F.when(_inside(c, lo, hi), F.col(c)), ps, APPROX_ACCURACY
-            ).alias(f"b{i}")
-        )
-        proposals.append(F.min(F.when(_inside(c, lo, hi), F.col(c))).alias(f"lo{i}"))
-        proposals.append(F.max(F.when(_inside(c, lo, hi), F.col(c))).alias(f"hi{i}"))
-    row = base.agg(*proposals).first()
-
-    counts, bounds = [], []
-    for i, (c, k) in enumerate(keys):
-        lo, hi = row[f"b{i}"]
-        bounds.append((lo, hi, row[f"lo{i}"], row[f"hi{i}"]))
-        counts.append(F.count(F.when(F.col(c) < lo, 1)).alias(f"n{i}"))
-        counts.append(F.count(F.when(_inside(c, lo, hi), 1)).alias(f"m{i}"))
+        ps = []
+        for _, k0, k1 in units:
+            span = max(inside - 1, 1)
+            ps += [max(0.0, (k0 - below) / span - pad), min(1.0, (k1 - below) / span + pad)]
+        value = F.col(c) if (lo, hi) == (-math.inf, math.inf) else F.when(_inside(c, lo, hi), F.col(c))
+        sketches.append(F.percentile_approx(value, ps, APPROX_ACCURACY).alias(f"b{i}"))
+    row = base.agg(*sketches).first()
+
+    bounds = {}
+    for i, units in enumerate(shared.values()):
+        for j, u in enumerate(units):
+            bounds[u] = (row[f"b{i}"][2 * j], row[f"b{i}"][2 * j + 1])
+    counts = []
+    for i, ((c, _, _), (lo, hi)) in enumerate(bounds.items()):
+        counts.append(F.sum(F.when(F.col(c) < lo, 1).otherwise(0)).alias(f"n{i}"))
+        counts.append(F.sum(F.when(_inside(c, lo, hi), 1).otherwise(0)).alias(f"m{i}"))
     got = base.agg(*counts).first()
 
     out = {}
-    for i, ck in enumerate(keys):
-        lo, hi, least, most = bounds[i]
+    for i, (u, (lo, hi)) in enumerate(bounds.items()):
+        old_lo, old_hi, old_below, old_inside = open_[u]
         below, inside = got[f"n{i}"], got[f"m{i}"]
-        if below <= ck[1] < below + inside:
-            out[ck] = (lo, hi, below, inside)
-        elif ck[1] < below:  # outside the proposal: the remaining side still holds the rank
-            out[ck] = (least, lo, open_[ck][2], below + inside - open_[ck][2])
+        if below <= u[1] and u[2] < below + inside:
+            out[u] = (lo, hi, below, inside)
+        elif u[2] < below + inside:  # some rank lies under the proposal
+            out[u] = (old_lo, hi, old_below, below + inside - old_below)
         else:
-            out[ck] = (hi, most, below, open_[ck][2] + open_[ck][3] - below)
+            out[u] = (lo, old_hi, below, old_below + old_inside - below)
     return out
 
 
 def _pick(base, brackets):
-    """Sort the (bounded) values inside each bracket and read off the wanted rank."""
+    """Sort the (bounded) values inside each bracket and read off the wanted ranks."""
     if not brackets:
         return {}
-    groups: dict[tuple, list[tuple[str, int]]] = {}
-    for ck, (lo, hi, below, _) in brackets.items():
-        groups.setdefault((ck[0], lo, hi, below), []).append(ck)
-    entries = [
-        F.when(
-            _inside(c, lo, hi), F.struct(F.lit(i).alias("g"), F.col(c).alias("v"))
-        )
-        for i, (c, lo, hi, _) in enumerate(groups)
-    ]
-    targets = F.lit(None).cast("boolean")
-    for i, ((c, lo, hi, below), cks) in enumerate(groups.items()):
-        hits = F.lit(False)
-        for _, k in cks:
-            hits = hits | ((F.col("before") <= k - below) & (F.lit(k - below) < F.col("upto")))
-        targets = F.when(F.col("g") == i, hits).otherwise(targets)
+    groups: dict[tuple, list] = {}
+    for u, (lo, hi, below, _) in brackets.items():
+        groups.setdefault((u[0], lo, hi, below), []).append(u)
+    entries, hits, useful = [], F.lit(False), F.lit(False)
+    for i, ((c, lo, hi, below), units) in enumerate(groups.items()):
+        entries.append(F.when(_inside(c, lo, hi), F.struct(F.lit(i).alias("g"), F.col(c).alias("v"))))
+        useful = useful | _inside(c, lo, hi)
+        wanted = F.lit(False)
+        for k in sorted({k for _, k0, k1 in units for k in (k0, k1)}):
+            wanted = wanted | ((F.col("before") <= k - below) & (F.lit(k - below) < F.col("upto")))
+        hits = F.when(F.col("g") == i, wanted).otherwise(hits)
     values = (
-        base.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        base.filter(useful).select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy(F.col("e.g").alias("g"), F.col("e.v").alias("v"))
         .agg(F.count("*").alias("n"))
     )
@@ -162,15 +164,45 @@ def _pick(base, brackets):
     rows = (
         values.withColumn("upto", F.sum("n").over(w))
         .withColumn("before", F.col("upto") - F.col("n"))
-        .filter(targets)
+        .filter(hits)
         .collect()
     )
     out = {}
-    for i, ((c, lo, hi, below), cks) in enumerate(groups.items()):
-        for ck in cks:
-            for r in rows:
-                if r["g"] == i and r["before"] <= ck[1] - below < r["upto"]:
-                    out[ck] = r["v"]
+    for i, ((c, _, _, below), units) in enumerate(groups.items()):
+        mine = [r for r in rows if r["g"] == i]
+        for _, k0, k1 in units:
+            for k in (k0, k1):
+                out[c, k] = next(r["v"] for r in mine if r["before"] <= k - below < r["upto"])
+    return out
+
+
+# --- distinct values ---------------------------------------------------------------------------
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(field, distinct) for many columns at once.
+
+    Columns of one kind become narrow (field, value) pairs, so every pair is hashed once and the
+    partial aggregation shrinks it before the shuffle; a multi-column COUNT(DISTINCT) would send
+    rows as wide as the table instead.
+    """
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if columns is None or f.name in columns:
+            if isinstance(f.dataType, T.IntegralType):
+                kinds.setdefault("long", []).append(f.name)
+            elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                kinds.setdefault("double", []).append(f.name)
+            else:
+                kinds.setdefault("string", []).append(f.name)
+    parts = []
+    for kind, names in kinds.items():
+        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast(kind).alias("value")) for c in names])
+        seen = df.select(F.inline(pairs)).groupBy("field", "value").agg(F.lit(1).alias("one"))
+        parts.append(seen.groupBy("field").agg(F.count("value").alias("distinct")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
