@@ -240,12 +240,21 @@ def score_hazard(spark, sf):
     return plain(got.select("entity", "status", "eta", "hazard", "hazard_conservative"))
 
 
-@query("calibrate_intercept")
+def _newton_sql(rounds=12):
+    """Newton steps on the intercept, written out."""
+    ctes = ["n0 AS (SELECT CAST(0 AS DOUBLE) AS b)"]
+    p = "(1 / (1 + EXP(-(risk + b))))"
+    for i in range(rounds):
+        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT ANY_VALUE(b) - (AVG({p}) - AVG(event)) / AVG({p} * (1 - {p})) AS b FROM fx_score, n{i})")
+    return f"WITH {', '.join(ctes)} SELECT {R('ANY_VALUE(b)')} AS intercept, {R(f'AVG({p})')} AS mean_predicted, {R('AVG(event)')} AS event_rate FROM fx_score, n{rounds}"
+
+
+@query("calibrate_intercept", _newton_sql())
 def calibrate_intercept(spark, sf):
     s = _score(spark, sf)
     b = H.calibrate_intercept(s, "risk", "event")
     p = 1 / (1 + F.exp(-(F.col("risk") + F.lit(b))))
-    return plain(s.agg(F.lit(b).alias("intercept"), F.avg(p).alias("mean_predicted"), F.avg("event").alias("event_rate")), 8)
+    return plain(s.agg(F.lit(b).alias("intercept"), F.avg(p).alias("mean_predicted"), F.avg("event").alias("event_rate")))
 
 
 @query("evidence_grade", f"""

@@ -15,6 +15,7 @@ from geostrata.plans import jobs as J
 from geostrata.queries.panels import DID, PERSON, TREATED, _treated, cross_section, did, did_inputs
 from geostrata.queries.registry import L, R, plain, query, table, view
 from geostrata.queries.spatial import _knn_sql
+from geostrata.queries.sqltext import clustered_ols, demean_steps
 from geostrata.session import cut
 
 
@@ -25,7 +26,7 @@ def group_demean(spark, sf):
     return plain(T.demean(view(spark, sf, "fx_panel"), ["value"], "entity", "year").select("entity", "year", "value"), 3)
 
 
-@query("group_demean_exact")
+@query("group_demean_exact", f"""WITH {demean_steps('fx_panel', ['value'])} SELECT {L('entity')} AS entity, {L('year')} AS year, {R('value', 3)} AS value FROM dx""")
 def group_demean_exact(spark, sf):
     return plain(T.demean(view(spark, sf, "fx_panel"), ["value"], "entity", "year", "exact").select("entity", "year", "value"), 3)
 
@@ -47,16 +48,46 @@ def twfe(spark, sf):
     return plain(fit.table(spark).select("term", "coef", "std_err", F.round("t", 4).alias("t")))
 
 
-@query("twfe_exact")
+SAMPLE = "sm AS (SELECT entity, year, LEAST(GREATEST(chg_rate, -0.5), 0.5) AS y, post * s AS x1, post * 1.0 AS x2, year - fe AS tau, fe FROM dp WHERE chg_rate IS NOT NULL AND (fe <= 0 OR year - fe BETWEEN -3 AND 4))"
+
+
+@query("twfe_exact", f"""WITH {DID}, {SAMPLE}, {demean_steps('sm', ['y', 'x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'])}
+SELECT CASE gj.i WHEN 0 THEN 'post_x_strength' ELSE 'post' END AS term, {R('coef')} AS coef, {R('std_err')} AS std_err FROM gj JOIN ce ON ce.i = gj.i""")
 def twfe_exact(spark, sf):
-    return plain(T.twfe(cut(did(spark, sf)), "chg_rate", "entity", "year", method="exact").table(spark))
+    fit = T.twfe(cut(did(spark, sf)), "chg_rate", "entity", "year", method="exact")
+    return plain(fit.table(spark).select("term", "coef", "std_err"))
+
+
+TAUS = (-3, -2, 0, 1, 2, 3, 4)
+
+
+def _event_sql(steps):
+    xs = [f"d{j}" for j in range(len(TAUS))]
+    dummies = ", ".join(f"CASE WHEN fe > 0 AND tau = {t} THEN 1.0 ELSE 0.0 END AS {x}" for t, x in zip(TAUS, xs))
+    case = "CASE gj.i " + " ".join(f"WHEN {j} THEN {t}" for j, t in enumerate(TAUS)) + " END"
+    return f"""WITH {DID}, {SAMPLE}, ed AS (SELECT entity, year, y, {dummies} FROM sm), {steps(xs)}, {clustered_ols('dx', 'y', xs)},
+rt AS (SELECT {case} AS tau, coef, std_err FROM gj JOIN ce ON ce.i = gj.i UNION ALL SELECT -1, 0, 0)
+SELECT {L('tau')} AS tau, {R('coef')} AS effect, {R('std_err')} AS se, (SELECT {R('MAX(ABS(coef / std_err))', 4)} FROM rt WHERE tau < -1) AS pre_trend_max_abs_t FROM rt"""
 
 
-@query("event_study")
+def _one_pass(xs):
+    return f"dx AS MATERIALIZED (SELECT entity, year, {', '.join(f'{_dm(c)} AS {c}' for c in ['y', *xs])} FROM ed)"
+
+
+def _event_rows(spark, sf, method):
+    rows, stats = T.event_study(cut(did(spark, sf)), "chg_rate", "entity", "year", method)
+    out = spark.createDataFrame(rows, "tau long, effect double, se double, p double").drop("p")
+    return plain(out.withColumn("pre_trend_max_abs_t", F.round(F.lit(stats["pre_trend_max_abs_t"]), 4)))
+
+
+@query("event_study", _event_sql(_one_pass))
 def event_study(spark, sf):
-    rows, stats = T.event_study(cut(did(spark, sf)), "chg_rate", "entity", "year")
-    out = spark.createDataFrame(rows, "tau long, effect double, se double, p double")
-    return plain(out.withColumn("pre_trend_max_abs_t", F.lit(stats["pre_trend_max_abs_t"])))
+    return _event_rows(spark, sf, "one_pass")
+
+
+@query("event_study_exact", _event_sql(lambda xs: demean_steps("ed", ["y", *xs])))
+def event_study_exact(spark, sf):
+    return _event_rows(spark, sf, "exact")
 
 
 @query("ring_sensitivity")

@@ -51,3 +51,51 @@ def hex_disk(k=5, name="disk"):
 
 
 HEX_DISK = hex_disk()
+
+
+def demean_steps(source, columns, rounds=30, entity="entity", time="year"):
+    """CTEs that take entity and period means off in turn until both vanish; the last one is ``dx``."""
+    keys = f"{entity}, {time}"
+    ctes, prev = [], source
+    for i in range(rounds):
+        by = entity if i % 2 == 0 else time
+        name = "dx" if i == rounds - 1 else f"dx{i}"
+        cols = ", ".join(f"{c} - AVG({c}) OVER (PARTITION BY {by}) AS {c}" for c in columns)
+        ctes.append(f"{name} AS MATERIALIZED (SELECT {keys}, {cols} FROM {prev})")
+        prev = name
+    return ",\n".join(ctes)
+
+
+def clustered_ols(source, y, xs, entity="entity"):
+    """CTEs for least squares with clustered errors: ``gj`` (i, coef) and ``ce`` (i, std_err).
+
+    Gauss-Jordan elimination on the moment matrix in long form (row, column, value).
+    """
+    k = len(xs)
+    names = [*xs, y]
+    moments = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, SUM({names[i]} * {names[j]}) AS v FROM {source}" for i in range(k) for j in range(k + 1)
+    )
+    eye = " UNION ALL ".join(f"SELECT {i}, {k + 1 + j}, {1.0 if i == j else 0.0}" for i in range(k) for j in range(k))
+    steps, prev = [f"g0 AS MATERIALIZED ({moments} UNION ALL {eye})"], "g0"
+    for p in range(k):
+        pivot = f"(SELECT v FROM {prev} WHERE i = {p} AND j = {p})"
+        steps.append(
+            f"g{p + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {p} THEN a.v / {pivot} ELSE a.v - f.v * r.v / {pivot} END AS v FROM {prev} a "
+            f"JOIN {prev} r ON r.i = {p} AND r.j = a.j JOIN {prev} f ON f.i = a.i AND f.j = {p})"
+        )
+        prev = f"g{p + 1}"
+    fitted = " + ".join(f"{x} * (SELECT v FROM {prev} WHERE i = {i} AND j = {k})" for i, x in enumerate(xs))
+    steps.append(f"gj AS (SELECT i, v AS coef FROM {prev} WHERE j = {k})")
+    steps.append(f"iv AS (SELECT i, j - {k + 1} AS j, v FROM {prev} WHERE j > {k})")
+    steps.append(f"rs AS MATERIALIZED (SELECT *, {y} - ({fitted}) AS r FROM {source})")
+    score = ", ".join(f"SUM({x} * r) AS u{i}" for i, x in enumerate(xs))
+    steps.append(f"us AS MATERIALIZED (SELECT {entity}, {score} FROM rs GROUP BY {entity})")
+    meat = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, SUM(u{i} * u{j}) AS v FROM us" for i in range(k) for j in range(k))
+    steps.append(f"mt AS MATERIALIZED ({meat})")
+    steps.append(f"sz AS (SELECT COUNT(*) * 1.0 AS n, COUNT(DISTINCT {entity}) * 1.0 AS g FROM {source})")
+    steps.append(
+        f"ce AS (SELECT a.i, SQRT(SUM(a.v * m.v * b.v) * ANY_VALUE((g / (g - 1)) * ((n - 1) / (n - {k})))) AS std_err "
+        "FROM iv a JOIN mt m ON m.i = a.j JOIN iv b ON b.i = m.j AND b.j = a.i, sz GROUP BY a.i)"
+    )
+    return ",\n".join(steps)
