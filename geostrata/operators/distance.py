@@ -25,7 +25,7 @@ from geostrata.functions.columns import (
     in_ring,
     sphere_xyz,
 )
-from geostrata.operators.skew import hot_key_join
+from geostrata.operators.skew import hot_key_join, spread_join
 from geostrata.session import cut
 
 AXES = ("x", "y", "z")
@@ -209,8 +209,8 @@ def ring_counts(
         .agg(*[F.sum(c).cast("long").alias(c) for c in ring_cols])
         .filter(" + ".join(ring_cols) + " > 0")
     )
-    # a hot location on the source side is split by adaptive skew handling in this last join
-    return here.join(per_place, [*match, "lat", "lng"]).select(*source_id, *split, *ring_cols)
+    place = [*match, "lat", "lng"]
+    return spread_join(here, per_place, place, s_loc, "n").select(*source_id, *split, *ring_cols)
 
 
 def distance_pairs(

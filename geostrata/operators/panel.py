@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.columns import as_number, clipped, count_where, ratio
 from geostrata.operators.ranks import quantiles
+from geostrata.operators.skew import hot_key_join
 
 
 def previous(value: str, entity: str, time: str) -> Column:
@@ -92,8 +93,10 @@ def survival_fields(dim: DataFrame, panel_start: int, missing_birth_truncated: b
 
 def local_density(dim: DataFrame, cell: str, name: str = "neighbor_count") -> DataFrame:
     """Entities per cell including the entity itself; 0 without a cell."""
-    counts = dim.filter(F.col(cell).isNotNull()).groupBy(cell).agg(F.count("*").alias(name))
-    return dim.join(counts, cell, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    placed = dim.filter(F.col(cell).isNotNull())
+    counts = placed.groupBy(cell).agg(F.count("*").alias(name))
+    rest = dim.filter(F.col(cell).isNull()).withColumn(name, F.lit(0).cast("long"))
+    return hot_key_join(placed, counts, [cell], name).unionByName(rest)
 
 
 def group_fragility(dim: DataFrame, group: str, closed: Column, lat: str = "lat", lng: str = "lng",

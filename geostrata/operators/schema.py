@@ -165,7 +165,7 @@ def rule_breach(name: str, rule: Rule, now: datetime | None = None) -> Column |
             out = out | (number > float(upper))
         return out
     if rule.kind == "no_future_date":
-        limit = F.lit(now) if now else F.current_timestamp()
+        limit = F.to_timestamp(F.lit(now.strftime("%Y-%m-%d %H:%M:%S"))) if now else F.current_timestamp()
         return F.try_to_timestamp(c.cast("string")) > limit
     if rule.kind == "allowed_values":
         return c.isNotNull() & ~c.isin(list(p.get("values") or []))

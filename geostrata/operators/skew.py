@@ -11,6 +11,16 @@ MAX_HOT_KEYS = 1000
 SMALL_TOTAL = 2_000_000
 
 
+def hot_keys(sizes: DataFrame, keys: Sequence[str], size: str, small_total: int) -> DataFrame | None:
+    """Keys above 1/1000 of all rows (at most 1000 of them), or None for small or even data."""
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    if total <= small_total:
+        return None
+    hot = sizes.filter(F.col(size) > total / MAX_HOT_KEYS).select(*keys)
+    rows = hot.limit(MAX_HOT_KEYS).collect()
+    return sizes.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def hot_key_join(
     big: DataFrame,
     unique: DataFrame,
@@ -25,16 +35,32 @@ def hot_key_join(
     join is broadcast and the frequent rows never meet in one task; the rest joins normally.
     """
     keys = list(keys)
-    total = unique.agg(F.sum(size)).first()[0] or 0
-    if total <= small_total:
-        return big.join(unique, keys, how)
-    hot = unique.filter(F.col(size) > total / MAX_HOT_KEYS)
-    rows = hot.select(*keys).limit(MAX_HOT_KEYS).collect()
-    if not rows:
+    found = hot_keys(unique, keys, size, small_total)
+    if found is None:
         return big.join(unique, keys, how)
-    names = F.broadcast(big.sparkSession.createDataFrame(rows, hot.select(*keys).schema))
-    frequent = big.join(names, keys, "left_semi").join(F.broadcast(hot), keys, "inner")
-    rest = big.join(names, keys, "left_anti").join(
-        unique.join(names, keys, "left_anti"), keys, how
-    )
+    names = F.broadcast(found)
+    few = unique.join(names, keys, "left_semi")  # at most MAX_HOT_KEYS rows
+    frequent = big.join(names, keys, "left_semi").join(F.broadcast(few), keys, "inner")
+    rest = big.join(names, keys, "left_anti").join(unique.join(names, keys, "left_anti"), keys, how)
     return frequent.unionByName(rest)
+
+
+def spread_join(
+    big: DataFrame, other: DataFrame, keys: Sequence[str], sizes: DataFrame, size: str,
+    salts: int = 64, small_total: int = SMALL_TOTAL,
+) -> DataFrame:
+    """Inner join whose other side may hold several rows per key.
+
+    Rows of a frequent key (``sizes`` counts them in ``big``) are dealt over ``salts`` tasks and
+    the matching rows of the other side are repeated in each of them.
+    """
+    keys = list(keys)
+    found = hot_keys(sizes, keys, size, small_total)
+    if found is None:
+        return big.join(other, keys)
+    names = F.broadcast(found.withColumn("_hot", F.lit(True)))
+    deal = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    left = big.join(names, keys, "left").withColumn("_salt", F.when(F.col("_hot"), deal).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(names, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")

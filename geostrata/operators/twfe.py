@@ -35,9 +35,9 @@ def demean(
     )
     joined = hot_key_join(data, per_entity, [entity], "_n").drop("_n")
     if method == "one_pass":
-        stats = data.groupBy(time).agg(*[F.avg(c).alias(f"_t_{c}") for c in columns])
+        stats = data.groupBy(time).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_t_{c}") for c in columns])
         grand = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
-        out = joined.join(stats, time)
+        out = hot_key_join(joined, stats, [time], "_n").drop("_n")
         new = {
             c: F.col(c) - F.col(f"_e_{c}") - F.col(f"_t_{c}") + F.lit(grand[c]) for c in columns
         }

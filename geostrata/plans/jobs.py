@@ -24,6 +24,7 @@ from geostrata.operators.infer import ROLES, detect_shape, infer_mapping
 from geostrata.operators.linear import linear_index, ols
 from geostrata.operators.mapping import MappingScheme, MapResult, apply_scheme
 from geostrata.operators.profile import Profile, profile
+from geostrata.operators.skew import hot_key_join
 from geostrata.session import cut
 from geostrata.sources.readers import load_sources
 
@@ -118,7 +119,7 @@ def run_survival(dim: DataFrame, entity: str = "entity", group: str = "bank", pa
     base = dim.withColumn("cell", hex_cell("lat", "lng", cell_km_resolution))
     base = N.local_density(base, "cell")
     tiers = N.group_fragility(base, group, F.col("acq_year").isNotNull()).select(group, "n_branches", "tier", "closed_rate")
-    base = base.join(tiers, group, "left").withColumns({
+    base = hot_key_join(base, tiers, [group], "n_branches", "left").withColumns({
         "class": F.coalesce("class", F.lit("MISSING")), "tier": F.coalesce("tier", F.lit("single"))})
     keep = ["class", "tier", "neighbor_count", "lat", "lng", "n_branches", "closed_rate"]
     panel = cut(N.person_period(base, entity, keep))

@@ -39,8 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A path below the shared folder that no other run uses; one folder per application."""
+    folder = f"geostrata-{spark.sparkContext.applicationId}"
+    return os.path.join(shared_dir(spark), folder, f"{label}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:

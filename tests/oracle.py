@@ -63,7 +63,7 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.01"
     wanted = argv[1:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": os.environ.get("SHUFFLE", "8"), "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{TESTDATA}/sf{sf}"
     con, sqls, failed = connect(sf_dir), oracle_sql(), 0
