@@ -107,7 +107,8 @@ def group_fragility(dim: DataFrame, group: str, closed: Column, lat: str = "lat"
     if total:
         aggs.append(F.sum(total).alias("total"))
     g = dim.filter(F.col(group).isNotNull()).groupBy(group).agg(*aggs).withColumn(
-        "geo_spread", F.sqrt(F.col("lat_std") * F.col("lat_std") + F.col("lng_std") * F.col("lng_std"))
+        # rounded, so that the group that is the median never falls on either side of it by chance
+        "geo_spread", F.round(F.sqrt(F.col("lat_std") * F.col("lat_std") + F.col("lng_std") * F.col("lng_std")), 9)
     )
     median = quantiles(g.filter("n_branches > 1"), {"geo_spread": (0.5,)})["geo_spread", 0.5]
     tier = (

@@ -70,7 +70,7 @@ def local_density(spark, sf):
 
 @query("group_fragility", f"""
 WITH g AS (SELECT bank, COUNT(*) AS n, SUM(CASE WHEN acq_year IS NOT NULL THEN 1 ELSE 0 END) AS nc,
-  SQRT(STDDEV_SAMP(lat) * STDDEV_SAMP(lat) + STDDEV_SAMP(lng) * STDDEV_SAMP(lng)) AS sp, SUM(last_year) AS total FROM fx_dim GROUP BY bank),
+  ROUND(SQRT(STDDEV_SAMP(lat) * STDDEV_SAMP(lat) + STDDEV_SAMP(lng) * STDDEV_SAMP(lng)), 9) AS sp, SUM(last_year) AS total FROM fx_dim GROUP BY bank),
 m AS (SELECT MEDIAN(sp) AS med FROM g WHERE n > 1)
 SELECT {L('bank')} AS bank, {L('n')} AS n_branches, {L('nc')} AS n_closed, {R('sp')} AS geo_spread, {L('total')} AS total, {R('nc * 1.0 / n')} AS closed_rate,
   CASE WHEN n = 1 THEN 'single' WHEN sp < med THEN 'concentrated' ELSE 'dispersed' END AS tier FROM g, m""")
