@@ -22,7 +22,7 @@ FROM (SELECT rid, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(t
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS text FROM documents),
 m AS ({' UNION ALL '.join(arms)}),
-s AS (SELECT rid, ord, kind, list_sum(list_transform(gaps[1:k], x -> length(x))) + COALESCE(list_sum(list_transform(hits[1:k - 1], x -> length(x))), 0) AS a,
+s AS (SELECT rid, ord, kind, list_sum([length(x) for x in gaps[1:k]]) + COALESCE(list_sum([length(x) for x in hits[1:k - 1]]), 0) AS a,
              length(hits[k]) AS n FROM m WHERE length(judged[k]) >= least),
 t AS (SELECT rid, ord, a, kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR) AS span FROM s)
 SELECT d.doc_id, {counts},
@@ -33,12 +33,12 @@ FROM d LEFT JOIN t ON t.rid = d.rid GROUP BY d.rid, d.doc_id"""
 
 _GOOD = """
 SELECT vec_id, label, embedding FROM embeddings
-WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"""
 
 _EMBEDDINGS = f"""
 WITH RECURSIVE good AS ({_GOOD}),
-e AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM good WHERE label IS NOT NULL),
-u AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM e),
+e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM good WHERE label IS NOT NULL),
+u AS (SELECT vec_id, label, v, sqrt(list_sum([x * x for x in v])) AS n FROM e),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
       WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
 r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
@@ -49,8 +49,8 @@ FROM embeddings g"""
 
 _TOPK = f"""
 WITH good AS ({_GOOD}),
-w AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM good),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+w AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM good),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)]) AS BIGINT) AS score
       FROM w q JOIN w c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""

@@ -219,7 +219,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     columns are not used; an empty table gives no rows.
     """
     base = F.filter("found", lambda s: s["order"] < len(BASE))
-    counts = [F.size(F.filter("found", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    of_kind = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(r.kind).alias(f"n_{r.kind}") for r in BASE]
     rows = found(docs.select("doc_id", "text"), rules)
     return rows.select("row.doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
