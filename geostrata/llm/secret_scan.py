@@ -106,9 +106,13 @@ def _sequence(nodes) -> tuple[set[str] | None, object]:
         if own is not None and len(strings) * len(own) <= MOST_STRINGS:
             strings = {a + b for a, b in product(strings, own)}
             continue
+        # a repeat begins and ends with its body, so the body joins what stands before and after it
+        body = _sequence(node[1][2])[0] if own is None and str(node[0]).endswith("_REPEAT") and node[1][0] >= 1 else None
+        if body is not None and len(strings) * len(body) <= MOST_STRINGS:
+            strings = {a + b for a, b in product(strings, body)}
         needs.append(_of_strings(strings))
         exact = False
-        strings = own if own is not None else {""}
+        strings = own or body or {""}
     if exact:
         return strings, None
     return None, _both("and", [*needs, _of_strings(strings)])
