@@ -25,6 +25,7 @@ from geostrata.session import cut
 WEIGHTS = (5, 2, 1)
 FINE = 52  # the upper 12 bits of a mark: 4096 stretches of a source's order
 SPREAD_LEVELS = 8
+SALTS = 64
 
 
 def measured(docs: DataFrame, seed: int) -> DataFrame:
@@ -155,8 +156,13 @@ def allocate(
     gaps = goal.join(held, "src").select("src", (F.col("quota") - F.when(again, F.col("source_size")).otherwise(F.lit(0)) - F.col("held")).alias("gap"))
     out = ~F.when(again, F.col("two")).otherwise(F.col("one")) & (F.col("size") > 0)
     miss = F.abs(F.col("size") - F.col("gap"))
-    fillers = placed.join(gaps.where("gap > 0"), "src").where(out & (miss < F.col("gap"))).groupBy("src").agg(F.min(F.struct(miss, "mark", "doc_id", "size", "at")).alias("f"))
+    # a large source is spread over salts: first the best of each salt, then of the source
+    salted = gaps.where("gap > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    best = F.min(F.struct(miss.alias("miss"), "mark", "doc_id", "size", "at")).alias("f")
+    fillers = placed.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(salted, ["src", "salt"])
+    fillers = fillers.where(out & (miss < F.col("gap"))).groupBy("src", "salt").agg(best).groupBy("src").agg(F.min("f").alias("f"))
     fillers = gaps.join(fillers, "src", "left").select("src", "gap", F.col("f.at").alias("f_at"), F.col("f.mark").alias("f_mark"), F.col("f.size").alias("f_size"))
+    fillers = cut(fillers)  # a table of its own: adaptive execution can then split the large source's side of the join
     chosen = (F.col("mark") == F.col("f_mark")) & (F.col("at") == F.col("f_at")) & (F.col("size") == F.col("f_size"))
     extra = F.coalesce(chosen, F.lit(False)) & out
     block = lambda words: F.least(F.floor(words / block_words), F.col("n") - 1).cast("long")
