@@ -192,9 +192,9 @@ def risk_histogram(df: DataFrame, score: str, year: str, bins: int = 33) -> Data
 # --- panel health ------------------------------------------------------------------------------
 
 
-def leak_scan(df: DataFrame, entity: str, time: str, limit: int = 12, min_rows: int = 50, min_entities: int = 10,
+def leak_scan(df: DataFrame, entity: str, time: str, limit: int | None = None, min_rows: int = 50, min_entities: int = 10,
               constant: float = 0.95) -> DataFrame:
-    """Numeric columns that hardly change inside an entity; suspicious names first."""
+    """Numeric columns that hardly change inside an entity; suspicious names first. ``limit`` cuts the report only."""
     cols = [f.name for f in df.schema.fields if is_numeric(f) and f.name not in (entity, time)]
     if not cols:
         return df.sparkSession.createDataFrame([], "field string, entity_constant_rate double, name_hint boolean")
@@ -207,7 +207,8 @@ def leak_scan(df: DataFrame, entity: str, time: str, limit: int = 12, min_rows:
         for c in cols
     ])
     kept = row.filter((F.col("_rows") >= min_rows) & (F.col("_e") >= min_entities)).select(F.inline(lines)).filter(F.col("_r") >= constant)
-    return kept.orderBy(F.col("name_hint").desc(), F.col("_r").desc(), "field").limit(limit).drop("_r")
+    report = kept.orderBy(F.col("name_hint").desc(), F.col("_r").desc(), "field").drop("_r")
+    return report if limit is None else report.limit(limit)
 
 
 def panel_balance(df: DataFrame, entity: str, time: str) -> DataFrame:

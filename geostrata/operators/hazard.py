@@ -184,17 +184,19 @@ def probability(df: DataFrame, vector: str = "probability") -> Column:
 
 
 def risk_design(df: DataFrame, target: str, exclude: Sequence[str], group: str | None = None, time: str | None = None,
-                max_numeric: int = 12, max_group: int = 30, max_time: int = 60) -> tuple[list[str], list[str]]:
-    """Usable regressors: up to 12 varying numbers, the group and the period when small enough."""
+                max_numeric: int | None = None, max_group: int | None = None, max_time: int | None = None) -> tuple[list[str], list[str], list[str]]:
+    """Usable regressors: varying numbers, then the group and the period; and the names that a given cap leaves out."""
     skip = {*exclude, target, group, time, "__source_file"}
     cand = [f.name for f in df.schema.fields if is_numeric(f) and f.name not in skip and not f.name.startswith("_")]
     facs = [c for c in (group, time) if c]
     row = df.agg(
         *[F.countDistinct(c).alias(f"d_{c}") for c in [*cand, *facs]], *[F.stddev_samp(F.col(c).cast("double")).alias(f"s_{c}") for c in cand]
     ).first()
-    numeric = [c for c in cand if row[f"d_{c}"] > 2 and (row[f"s_{c}"] or 0) > 0][:max_numeric]
+    numeric = [c for c in cand if row[f"d_{c}"] > 2 and (row[f"s_{c}"] or 0) > 0]
     limits = {group: max_group, time: max_time}
-    return numeric, [c for c in facs if row[f"d_{c}"] <= limits[c]]
+    small = [c for c in facs if limits[c] is None or row[f"d_{c}"] <= limits[c]]
+    kept = numeric if max_numeric is None else numeric[:max_numeric]
+    return kept, small, [c for c in [*numeric, *facs] if c not in kept and c not in small]
 
 
 # --- coefficient tables ------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -185,13 +184,3 @@ def split_effects(models: dict[str, Fit], term: str) -> list[dict]:
         share = spill / total if abs(total) > 1e-12 else None
         out.append({"model": name, "direct": direct, "spillover": spill, "total": total, "share": share})
     return out
-
-
-def adjusted_r2(fit: Fit) -> float | None:
-    r2 = fit.extra.get("r2")
-    k = len(fit.terms)
-    return None if r2 is None or fit.n <= k else 1 - (1 - r2) * (fit.n - 1) / (fit.n - k)
-
-
-def log_likelihood(fit: Fit) -> float:
-    return -fit.n / 2 * (math.log(2 * math.pi * fit.extra["sigma2"]) + 1)

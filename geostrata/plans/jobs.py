@@ -176,8 +176,9 @@ def run_ladder(points: Mapping[str, DataFrame], resolution: int = 8, top_n: int
 def run_analyze(spark: SparkSession, source: DataFrame | Sequence[str], override: Mapping[str, str] | None = None) -> dict[str, Any]:
     """Union the sources, find roles and shape, and run the checks that fit; the user may override roles."""
     bundle = None if isinstance(source, DataFrame) else load_sources(spark, source)
-    df = cut(source if bundle is None else bundle.data)
-    roles = {r: infer_mapping(df)[r] for r in ROLES} | dict(override or {})
+    df = source if bundle is None else cut(bundle.data)  # text is parsed once; a table is read in place
+    found = infer_mapping(df)
+    roles = {r: found[r] for r in ROLES} | dict(override or {})
     shape = detect_shape(df, roles)
     return {"data": df, "sources": bundle.sources if bundle else None, "roles": roles, "shape": shape,
             "health": E.health_checks(df, roles, shape["kind"])}
@@ -243,7 +244,9 @@ def run_refit(df: DataFrame, roles: Mapping[str, str | None], y_col: str | None
             target = "_exit"
         d = d.withColumn(target, F.when(as_number(target).isNotNull(), (as_number(target) > 0).cast("int"))).filter(F.col(target).isNotNull())
         skip = [c for c in (ent, tim, roles.get("lat"), roles.get("lon"), val) if c]
-        numeric, factors = H.risk_design(d, target, skip, roles.get("group"), tim)
+        numeric, factors, dropped = H.risk_design(d, target, skip, roles.get("group"), tim, max_group=30, max_time=60)
+        if dropped:
+            out["risk_dropped"] = dropped  # a factor with more levels has no usable estimate per level
         if not numeric:
             raise ValueError("no usable regressors")
         return H.fit_cloglog(d, target, numeric, factors)

@@ -216,7 +216,7 @@ def logit_hazard(spark, sf):
 @query("risk_design", f"""WITH {PERSON} SELECT * FROM (VALUES ('age', 'numeric'), ('bank', 'numeric'), ('lat', 'numeric'), ('lng', 'numeric'), ('class', 'factor'), ('year', 'factor')) v(term, kind), (SELECT {L('COUNT(*)')} AS rows FROM pp)""")
 def risk_design(spark, sf):
     p = risk_panel(spark, sf)
-    numeric, factors = H.risk_design(p, "event", ["entity", "region"], "class", "year")
+    numeric, factors, _ = H.risk_design(p, "event", ["entity", "region"], "class", "year")
     terms = [(c, "numeric") for c in numeric if c != "right_censored"] + [(c, "factor") for c in factors]
     rows = p.agg(F.count("*").alias("rows")).withColumn("_one", F.lit(1))
     return plain(spark.createDataFrame(terms, "term string, kind string").withColumn("_one", F.lit(1)).join(rows, "_one").drop("_one"))

@@ -29,10 +29,12 @@ def build_session(app: str = "geostrata", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only when the cluster names none."""
+    """The cluster's shared folder. Only a local session without one gets a fresh folder of this machine."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="geostrata-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir() or own

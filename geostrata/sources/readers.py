@@ -19,13 +19,6 @@ from geostrata.sources.formats import UnsupportedFormat, detect_format
 ENCODINGS = ("utf-8", "gb18030", "latin-1")  # tried in this order
 
 
-def stamp_order(df: DataFrame) -> DataFrame:
-    """Add ``_ord``, the position of a row in its files, for operations that depend on row order."""
-    return df.withColumn("_ord", F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("pos")))
-
-
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
@@ -112,8 +105,8 @@ def read_json(spark: SparkSession, path: str | Sequence[str], lines: bool | None
     """A JSON array, or JSON Lines when the first non-blank line opens an object."""
     paths = _paths(path)
     if lines is None:
-        first = next((s for s in (v.lstrip() for v in _first_lines(spark, paths[0])) if s), "")
-        lines = first.startswith("{")
+        first = spark.read.text(paths[0]).filter(F.trim("value") != "").first()
+        lines = first is not None and first[0].lstrip("\ufeff \t").startswith("{")
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(paths)
 
