@@ -94,6 +94,8 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], infer: bool =
     Files without a header get the names ``c0 .. cn``.
     """
     paths = _paths(path)
+    if len(paths) > 1:  # each file has a separator and a header of its own
+        return union_all(_by_header(spark, paths, infer))
     sep, names = sniff(spark, paths[0])
     if headerless(names):
         raw = read_csv(spark, paths, sep=sep, header=False, infer=infer)

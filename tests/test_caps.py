@@ -7,7 +7,7 @@ from geostrata.operators import hazard as H
 from geostrata.operators.infer import infer_mapping
 from geostrata.plans import jobs
 from geostrata.session import shared_dir
-from geostrata.sources.readers import read_json
+from geostrata.sources.readers import read_delimited, read_json
 
 
 def test_json_lines_after_many_blank_lines(spark, tmp_path):
@@ -19,6 +19,14 @@ def test_json_lines_after_many_blank_lines(spark, tmp_path):
     assert read_json(spark, str(other)).count() == 2
 
 
+def test_files_of_different_separators(spark, tmp_path):
+    one, two = tmp_path / "one.txt", tmp_path / "two.txt"
+    one.write_text("a,b\n1,2\n")
+    two.write_text("a;b\n3;4\n")
+    got = read_delimited(spark, [str(one), str(two)])
+    assert sorted((int(r.a), int(r.b)) for r in got.collect()) == [(1, 2), (3, 4)]
+
+
 def panel(spark, wide):
     rows = [(e, y, e % 2, *[float(e * (i + 1) % 97) for i in range(wide)]) for e in range(30) for y in range(2000, 2004)]
     return spark.createDataFrame(rows, ["entity", "year", "event", *[f"x{i}" for i in range(wide)]])
