@@ -179,9 +179,9 @@ def run_analyze(spark: SparkSession, source: DataFrame | Sequence[str], override
     df = source if bundle is None else cut(bundle.data)  # text is parsed once; a table is read in place
     found = infer_mapping(df)
     roles = {r: found[r] for r in ROLES} | dict(override or {})
-    shape = detect_shape(df, roles)
-    return {"data": df, "sources": bundle.sources if bundle else None, "roles": roles, "shape": shape,
-            "health": E.health_checks(df, roles, shape["kind"])}
+    shape = detect_shape(df, roles, found["_stats"])
+    return {"data": df, "sources": bundle.sources if bundle else None, "roles": roles, "scores": found["_scores"],
+            "shape": shape, "health": E.health_checks(df, roles, shape["kind"])}
 
 
 def run_refit(df: DataFrame, roles: Mapping[str, str | None], y_col: str | None = None, treat_year: str | None = None, mark: str | None = None,

@@ -27,33 +27,64 @@ def col_stats(spark, sf):
     return plain(spark.createDataFrame(out, "column string, n long, not_null long, null_rate double, n_unique long, numeric long, min double, max double, q01 double, q99 double, std double, integer_like double"))
 
 
-def _shape(spark, df):
-    roles = {r: c for r, c in I.infer_mapping(df).items() if r in I.ROLES}
-    return roles, I.detect_shape(df, roles)
+_CANDIDATES = " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS v, k2 AS t FROM d" for c in ("k1", "k2", "k3", "k4", "k5"))
 
 
 @query("role_by_content", f"""
-SELECT r.role, r.col AS "column", {L('COUNT(*)')} AS rows FROM fx_dim, (VALUES ('entity', 'k1'), ('time', 'k2'), ('lat', 'k3'), ('lon', 'k4')) r(role, col) WHERE lat IS NOT NULL GROUP BY 1, 2""")
+WITH d AS (SELECT p.entity AS k1, p.year AS k2, m.lat AS k3, m.lng * 1.5 AS k4, p.value AS k5 FROM fx_panel p JOIN fx_dim m ON p.entity = m.entity),
+cells AS ({_CANDIDATES}),
+s AS (SELECT c, COUNT(DISTINCT v) AS u, MIN(v) AS lo, MAX(v) AS hi, QUANTILE_CONT(v, 0.01) AS a, QUANTILE_CONT(v, 0.99) AS b, STDDEV_SAMP(v) AS sd,
+  MAX(ABS(v - ROUND(v))) <= 1e-9 AS whole, COUNT(*) FILTER (WHERE v = 0) * 1.0 / COUNT(*) AS zero FROM cells GROUP BY c),
+r AS (SELECT c, AVG(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END) AS rep FROM (SELECT c, v, COUNT(DISTINCT t) AS n FROM cells WHERE v IS NOT NULL GROUP BY c, v) GROUP BY c),
+q AS (SELECT 'time' AS role, c, 6.0 + CASE WHEN u >= 2 THEN 2 ELSE 0 END AS score, whole, b - a AS span FROM s WHERE whole AND lo >= 1600 AND hi <= 2200
+UNION ALL SELECT 'entity', s.c, 2.0 + 8 * rep - CASE WHEN rep < 0.05 THEN 6 ELSE 0 END, whole, b - a FROM s JOIN r ON r.c = s.c WHERE whole AND u >= 20
+UNION ALL SELECT 'lat', c, CASE WHEN whole THEN 1.0 ELSE 3.0 END, whole, b - a FROM s WHERE a >= -90 AND b <= 90 AND b - a > 0.5
+UNION ALL SELECT 'lon', c, CASE WHEN whole THEN 1.0 ELSE 3.0 END, whole, b - a FROM s WHERE a >= -180 AND b <= 180 AND b - a > 0.5
+UNION ALL SELECT 'value', c, 2.0 + LEAST(2.0, LOG10(u)) - CASE WHEN zero > 0.5 THEN 1.5 ELSE 0 END, whole, b - a FROM s WHERE sd > 0 AND u >= 3
+UNION ALL SELECT 'group', c, 2.0, whole, b - a FROM s WHERE NOT whole AND u BETWEEN 2 AND 60),
+g1 AS (SELECT c FROM q WHERE role = 'time' ORDER BY score DESC, c LIMIT 1),
+g2 AS (SELECT c FROM q WHERE role = 'entity' AND c NOT IN (SELECT c FROM g1) ORDER BY score DESC, c LIMIT 1),
+used AS (SELECT c FROM g1 UNION ALL SELECT c FROM g2),
+g3 AS (SELECT c, span FROM q WHERE role = 'lat' AND NOT whole AND c NOT IN (SELECT c FROM used) ORDER BY score DESC, c LIMIT 1),
+g4 AS (SELECT c, span FROM q WHERE role = 'lon' AND NOT whole AND c NOT IN (SELECT c FROM used UNION ALL SELECT c FROM g3) ORDER BY score DESC, c LIMIT 1),
+pair AS (SELECT g3.c AS lat, g4.c AS lon FROM g3, g4 WHERE g4.span >= g3.span),
+g5 AS (SELECT c FROM q WHERE role = 'value' AND c NOT IN (SELECT c FROM used UNION ALL SELECT lat FROM pair UNION ALL SELECT lon FROM pair) ORDER BY score DESC, c LIMIT 1),
+won AS (SELECT 'time' AS role, c FROM g1 UNION ALL SELECT 'entity', c FROM g2 UNION ALL SELECT 'lat', lat FROM pair UNION ALL SELECT 'lon', lon FROM pair UNION ALL SELECT 'value', c FROM g5)
+SELECT q.role, q.c AS "column", {R('q.score')} AS score, CAST(CASE WHEN won.c IS NULL THEN 0 ELSE 1 END AS BIGINT) AS chosen
+FROM q LEFT JOIN won ON won.role = q.role AND won.c = q.c""")
 def role_by_content(spark, sf):
     d = view(spark, sf, "fx_panel").join(view(spark, sf, "fx_dim").select("entity", "lat", "lng"), "entity").select(
         F.col("entity").alias("k1"), F.col("year").alias("k2"), F.col("lat").alias("k3"), (F.col("lng") * 1.5).alias("k4"), F.col("value").alias("k5"))
-    roles = I.infer_mapping(d)
-    rows = view(spark, sf, "fx_dim").filter("lat is not null").count()
-    return plain(spark.createDataFrame([(r, roles[r], rows) for r in ("entity", "time", "lat", "lon")], "role string, column string, rows long"))
+    found = I.infer_mapping(d)
+    rows = [(role, c, float(score), int(found[role] == c)) for role, scores in found["_scores"].items() for c, score in scores.items()]
+    return plain(spark.createDataFrame(rows, "role string, column string, score double, chosen long"))
+
+
+def _panel_sql(name, entity, time, frame):
+    dups = f"COUNT(*) - COUNT(DISTINCT ({entity}, {time}))"
+    return f"SELECT '{name}' AS source, CASE WHEN {dups} = 0 THEN 'panel' ELSE 'repeated_panel' END AS kind, {L(dups)} AS dups, {L('COUNT(*)')} AS rows FROM {frame}"
 
 
 @query("shape_detect", f"""
-SELECT 'panel' AS source, 'panel' AS kind, {L('COUNT(*)')} AS rows FROM fx_panel
-UNION ALL SELECT 'repeated', 'repeated_panel', {L('COUNT(*)')} FROM orders UNION ALL SELECT 'edges', 'network', {L('COUNT(*)')} FROM lineitem""")
+{_panel_sql('panel', 'entity', 'year', 'fx_panel')}
+UNION ALL {_panel_sql('repeated', 'o_custkey', 'year(o_orderdate)', 'orders')}
+UNION ALL SELECT 'edges', CASE WHEN LEAST(COUNT(DISTINCT l_orderkey), COUNT(DISTINCT l_partkey)) >= GREATEST(50, 0.005 * COUNT(*)) THEN 'network' ELSE 'unknown' END,
+  CAST(0 AS BIGINT), {L('COUNT(*)')} FROM lineitem
+UNION ALL SELECT 'log', CASE WHEN COUNT(*) > 3 * COUNT(DISTINCT user_id) THEN 'event_log' ELSE 'unknown' END, CAST(0 AS BIGINT), {L('COUNT(*)')} FROM events
+UNION ALL SELECT 'places', CASE WHEN COUNT(lat) > 0 THEN 'cross_section' END, CAST(0 AS BIGINT), {L('COUNT(*)')} FROM fx_dim""")
 def shape_detect(spark, sf):
-    from geostrata.operators.infer import detect_shape
-
     sets = [
         ("panel", view(spark, sf, "fx_panel"), {"entity": "entity", "time": "year", "value": "value"}),
         ("repeated", table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice"), {"entity": "o_custkey", "time": "year"}),
         ("edges", table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), {}),
+        ("log", table(spark, sf, "events").select("user_id", "value"), {"entity": "user_id", "value": "value"}),
+        ("places", view(spark, sf, "fx_dim").select("lat", "lng"), {"lat": "lat", "lon": "lng"}),
     ]
-    return plain(spark.createDataFrame([(n, detect_shape(d, r)["kind"], d.count()) for n, d, r in sets], "source string, kind string, rows long"))
+    rows = []
+    for name, df, roles in sets:
+        shape = I.detect_shape(df, roles)
+        rows.append((name, shape["kind"], shape.get("dup_entity_time", 0), df.count()))
+    return plain(spark.createDataFrame(rows, "source string, kind string, dups long, rows long"))
 
 
 @query("role_by_name", f"""

@@ -260,7 +260,7 @@ def job_closures(spark, sf):
 
 @query("job_survival")
 def job_survival(spark, sf):
-    got = J.run_survival(view(spark, sf, "fx_dim"), permutations=49)
+    got = J.run_survival(view(spark, sf, "fx_dim"))
     rows = [(k, float(v)) for k, v in got.test_metrics.items() if v is not None] + [(f"moran_{k}", float(v)) for k, v in got.residual_moran.items() if v is not None]
     rows += [("cloglog_pseudo_r2", got.cloglog.stats["pseudo_r2"]), ("rows", float(got.panel.count()))]
     return plain(spark.createDataFrame(rows, "metric string, value double"), 4)
@@ -276,11 +276,18 @@ def job_ladder(spark, sf):
     return plain(spark.createDataFrame([(n, int(t.points), int(t.weights_summary["bad_rows"])) for n, t in got.items()], "dataset string, points long, bad_rows long"))
 
 
-@query("job_analyze", f"SELECT 'entity' AS entity, 'year' AS time, 'panel' AS kind, {L('COUNT(*)')} AS rows FROM fx_panel")
+@query("job_analyze", f"""
+WITH k AS (SELECT COUNT(*) AS n, COUNT(*) - COUNT(DISTINCT (entity, year)) AS dups, COUNT(DISTINCT entity) AS entities FROM fx_panel),
+e AS (SELECT AVG(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END) AS rep FROM (SELECT entity, COUNT(DISTINCT year) AS n FROM fx_panel GROUP BY entity))
+SELECT 'entity' AS entity, {R('2 + 8 * rep - CASE WHEN rep < 0.05 THEN 6 ELSE 0 END')} AS entity_score, 'year' AS time,
+CASE WHEN dups = 0 THEN 'panel' ELSE 'repeated_panel' END AS kind, {L('dups')} AS dups, {L('n')} AS rows FROM k, e WHERE entities >= 20""")
 def job_analyze(spark, sf):
     got = J.run_analyze(spark, view(spark, sf, "fx_panel"))
+    roles, shape = got["roles"], got["shape"]
     scale = got["health"].filter("key = 'scale'").select(F.col("value").alias("rows"))
-    return plain(scale.select(F.lit(got["roles"]["entity"]).alias("entity"), F.lit(got["roles"]["time"]).alias("time"), F.lit(got["shape"]["kind"]).alias("kind"), F.col("rows").cast("long").alias("rows")))
+    return plain(scale.select(
+        F.lit(roles["entity"]).alias("entity"), F.lit(got["scores"]["entity"][roles["entity"]]).alias("entity_score"), F.lit(roles["time"]).alias("time"),
+        F.lit(shape["kind"]).alias("kind"), F.lit(shape["dup_entity_time"]).alias("dups"), F.col("rows").cast("long").alias("rows")))
 
 
 @query("job_refit")
