@@ -56,7 +56,7 @@ class CleanPlan:
         return self._add("drop_na", subset, reason)
 
     def fill(self, name: str, method: str = "constant", value: Any = None, reason: str = "",
-             order_by: str | None = None, partition_by: Sequence[str] = ()) -> CleanPlan:
+             order_by: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> CleanPlan:
         return self._add("fill", [name], reason, method=method, value=value, order_by=order_by,
                          partition_by=tuple(partition_by))
 
@@ -129,8 +129,8 @@ def fill_value(df: DataFrame, name: str, method: str, value: Any = None) -> Any:
 
 
 def fill(df: DataFrame, name: str, method: str = "constant", value: Any = None,
-         order_by: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Fill nulls; ``ffill``/``bfill`` need the column that defines the row order."""
+         order_by: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Fill nulls; ``ffill``/``bfill`` need the columns that define the row order."""
     if method in ("ffill", "bfill"):
         if not order_by:
             raise ValueError(f"{method} needs order_by")
@@ -244,7 +244,7 @@ def clean(df: DataFrame, plan: CleanPlan, order_by: Sequence[str] = ()) -> Clean
             name = names[0]
             if a.op == "fill":
                 df = touch(F.col(name).isNull(), df)
-                order = p.get("order_by") or (order_by[0] if order_by else None)
+                order = p.get("order_by") or list(order_by)
                 df = fill(df, name, p.get("method", "constant"), p.get("value"), order, p.get("partition_by") or ())
             elif a.op == "clip":
                 df = touch(outside(name, p.get("lower"), p.get("upper")), df)

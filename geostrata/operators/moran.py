@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.columns import ratio
 from geostrata.functions.tails import normal_two_sided
-from geostrata.operators.skew import hot_key_join
+from geostrata.operators.skew import spread_join
 from geostrata.operators.distance import knn_edges
 from geostrata.operators.weights import row_standardised, spatial_lag, weight_moments
 from geostrata.session import cut
@@ -118,9 +118,7 @@ def moran_permutation(
     values = cut(real.join(slots, "id").select("id", F.concat("own", "zs").alias("zs")))
 
     indegree = weights.groupBy("dst").agg(F.count("*").alias("_n"))
-    ends = hot_key_join(
-        weights, values.withColumnRenamed("id", "dst").join(indegree, "dst"), ["dst"], "_n"
-    ).withColumnRenamed("zs", "zd").join(values.withColumnRenamed("id", "src"), "src")
+    ends = spread_join(weights, values.withColumnRenamed("id", "dst"), ["dst"], indegree, "_n").withColumnRenamed("zs", "zd").join(values.withColumnRenamed("id", "src"), "src")
     # sum over edges of w z_src z_dst, for all replicates at once; partial sums leave each task
     products = F.zip_with("zs", "zd", lambda x, y: x * y * F.col("w"))
     square = values.agg(F.sum(F.pow(F.element_at("zs", 1), F.lit(2)))).first()[0]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.columns import as_number, clipped, count_where, ratio
 from geostrata.operators.ranks import quantiles
-from geostrata.operators.skew import hot_key_join
+from geostrata.operators.skew import hot_key_join, spread_join
+from geostrata.session import cut
 
 
 def previous(value: str, entity: str, time: str) -> Column:
@@ -143,7 +144,10 @@ def person_period(dim: DataFrame, entity: str = "entity", keep: Sequence[str] =
 
 def assign_treatment(panel: DataFrame, entity: str, time: str, treat_year: str | None = None,
                      mark: str | None = None, event_date: str | None = None, strength: str | None = None) -> DataFrame:
-    """First treatment time per entity from a year, a 0/1 mark or a date; then post and strength."""
+    """First treatment time per entity from a year, a 0/1 mark or a date; then post and strength.
+
+    Rows without an entity are kept, untreated.
+    """
     if treat_year:
         when = as_number(treat_year)
     elif mark:
@@ -152,15 +156,15 @@ def assign_treatment(panel: DataFrame, entity: str, time: str, treat_year: str |
         when = F.year(F.try_to_timestamp(F.col(event_date).cast("string"))).cast("double")
     else:
         raise ValueError("treatment needs a year, a mark or an event date")
-    first = panel.groupBy(entity).agg(F.min(when).alias("first_event_year"))
-    out = panel.drop("first_event_year").join(first, entity)
+    first = cut(panel.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.min(when).alias("first_event_year"), F.count("*").alias("_n")))
+    out = hot_key_join(panel.drop("first_event_year"), first, [entity], "_n", "left").drop("_n")
     treated = F.col("first_event_year").isNotNull() & (F.col("first_event_year") > 0)
     out = out.withColumn("treated", F.when(treated, 1).otherwise(0)).withColumn(
         "post", F.when(treated & (F.col(time) >= F.col("first_event_year")), 1).otherwise(0)
     )
     if strength:
         mean = out.filter("post = 1").groupBy(entity).agg(F.avg(as_number(strength)).alias("_s"))
-        out = out.join(mean, entity, "left").withColumn("strength_t0", F.coalesce("_s", F.lit(0.0))).drop("_s")
+        out = spread_join(out, mean, [entity], first, "_n", "left").withColumn("strength_t0", F.coalesce("_s", F.lit(0.0))).drop("_s")
     else:
         out = out.withColumn("strength_t0", F.col("treated").cast("double"))
     return out.withColumn("post_x_strength", F.col("post") * F.col("strength_t0"))

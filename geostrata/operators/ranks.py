@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geostrata.session import cut
+
 DIRECT_ROWS = 200_000  # rows that may be sorted in one step
 APPROX_ACCURACY = 10_000  # rank error of the bracketing pass is n / accuracy
 
@@ -298,28 +300,30 @@ def _all(conditions):
 
 
 def carry_fill(
-    df: DataFrame, column: str, order: str, by: Sequence[str] = (), forward: bool = True,
+    df: DataFrame, column: str, order: str | Sequence[str], by: Sequence[str] = (), forward: bool = True,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Fill nulls with the previous (or next) value along ``order``; same bucket scheme."""
-    by = list(by)
-    points = split_points(df, F.col(order).cast("double"), buckets or default_buckets(df))
-    parts = df.withColumn("_part", bucket_of(F.col(order).cast("double"), points))
-    edge = (F.max_by if forward else F.min_by)(
-        F.col(column), F.when(F.col(column).isNotNull(), F.col(order))
-    )
+    """Fill nulls with the previous (or next) value along ``order``, one column or several of any sortable type.
+
+    Rows equal in ``order`` follow a hash of the row, so the result does not hang on task order and a constant order
+    column is spread as well. The table is written once in ranges of the order; whole ranges are carried first, then
+    each is filled on its own. Null order values come first.
+    """
+    by, order = list(by), [order] if isinstance(order, str) else list(order)
+    tied = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    parts = cut(tied.repartitionByRange(max(2, buckets or default_buckets(df)), *by, *order, "_tie").withColumn("_part", F.spark_partition_id()))
+    place = F.struct(*order, "_tie")
+    edge = (F.max_by if forward else F.min_by)(F.col(column), F.when(F.col(column).isNotNull(), place))
     ends = parts.groupBy(*by, "_part").agg(edge.alias("_end"))
     seq = F.col("_part").asc() if forward else F.col("_part").desc()
-    w0 = Window.partitionBy(*by, F.lit(0)).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    w0 = Window.partitionBy(*by, F.lit(0)).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     carry = ends.select(*by, "_part", F.last("_end", ignorenulls=True).over(w0).alias("_carry"))
     keys = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*by, "_part"]]
     joined = parts.alias("_l").join(carry.alias("_r"), on=_all(keys)).select("_l.*", "_r._carry")
-    direction = F.col(order).asc() if forward else F.col(order).desc()
-    w = Window.partitionBy(*by, "_part").orderBy(direction).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    direction = [F.col(c).asc() if forward else F.col(c).desc() for c in [*order, "_tie"]]
+    w = Window.partitionBy(*by, "_part").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last(column, ignorenulls=True).over(w), F.col("_carry"))
-    return joined.withColumn(column, filled).drop("_part", "_carry")
+    return joined.withColumn(column, filled).select(*df.columns)
 
 
 def group_quantile(df: DataFrame, by: Sequence[str], column: str, p: float, name: str) -> DataFrame:

@@ -1,66 +1,38 @@
-"""Joining a many-row side to one-row-per-key data when a few keys may be very frequent."""
+"""Joins that a few very frequent keys cannot hold up, in one plan for tables of every size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1000
-SMALL_TOTAL = 2_000_000
-
-
-def hot_keys(sizes: DataFrame, keys: Sequence[str], size: str, small_total: int) -> DataFrame | None:
-    """Keys above 1/1000 of all rows (at most 1000 of them), or None for small or even data."""
-    total = sizes.agg(F.sum(size)).first()[0] or 0
-    if total <= small_total:
-        return None
-    hot = sizes.filter(F.col(size) > total / MAX_HOT_KEYS).select(*keys)
-    rows = hot.limit(MAX_HOT_KEYS).collect()
-    return sizes.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
-
-def hot_key_join(
-    big: DataFrame,
-    unique: DataFrame,
-    keys: Sequence[str],
-    size: str,
-    how: str = "inner",
-    small_total: int = SMALL_TOTAL,
-) -> DataFrame:
-    """Join ``big`` to ``unique`` (one row per key, ``size`` = its rows in ``big``).
-
-    Keys holding more than 1/1000 of all rows are at most 1000 by counting, so their side of the
-    join is broadcast and the frequent rows never meet in one task; the rest joins normally.
-    """
-    keys = list(keys)
-    found = hot_keys(unique, keys, size, small_total)
-    if found is None:
-        return big.join(unique, keys, how)
-    names = F.broadcast(found)
-    few = unique.join(names, keys, "left_semi")  # at most MAX_HOT_KEYS rows
-    frequent = big.join(names, keys, "left_semi").join(F.broadcast(few), keys, "inner")
-    rest = big.join(names, keys, "left_anti").join(unique.join(names, keys, "left_anti"), keys, how)
-    return frequent.unionByName(rest)
+SALTS = 64
 
 
 def spread_join(
-    big: DataFrame, other: DataFrame, keys: Sequence[str], sizes: DataFrame, size: str,
-    salts: int = 64, small_total: int = SMALL_TOTAL,
+    big: DataFrame, other: DataFrame, keys: Sequence[str], sizes: DataFrame, size: str, how: str = "inner",
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join whose other side may hold several rows per key.
+    """Join ``big`` to ``other`` (inner or left), where ``sizes`` has one row per key with its rows in ``big``.
 
-    Rows of a frequent key (``sizes`` counts them in ``big``) are dealt over ``salts`` tasks and
-    the matching rows of the other side are repeated in each of them.
+    The ``MAX_HOT_KEYS`` most frequent keys are named by a broadcast, so every key above 1/1000 of all rows is among
+    them. Their rows are dealt over ``salts`` tasks by a hash of the row, and the matching rows of the other side are
+    repeated in each. Rows of ``big`` without a key match nothing and are dealt the same way.
     """
     keys = list(keys)
-    found = hot_keys(sizes, keys, size, small_total)
-    if found is None:
-        return big.join(other, keys)
-    names = F.broadcast(found.withColumn("_hot", F.lit(True)))
-    deal = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    left = big.join(names, keys, "left").withColumn("_salt", F.when(F.col("_hot"), deal).otherwise(0)).drop("_hot")
+    top = sizes.orderBy(F.col(size).desc(), *keys).limit(MAX_HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
+    names = F.broadcast(top)  # at most MAX_HOT_KEYS rows
+    loose = reduce(Column.__or__, [F.col(k).isNull() for k in keys], F.col("_hot"))
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    left = big.join(names, keys, "left").withColumn("_salt", F.when(loose, deal).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = other.join(names, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_key_join(big: DataFrame, unique: DataFrame, keys: Sequence[str], size: str, how: str = "inner") -> DataFrame:
+    """``spread_join`` to one-row-per-key data that holds the key's rows in ``big`` itself, as ``size``."""
+    return spread_join(big, unique, keys, unique, size, how)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.columns import hex_ring_cells
 from geostrata.operators.distance import knn_edges
-from geostrata.operators.skew import hot_key_join
+from geostrata.operators.skew import spread_join
 
 
 def contiguity_edges(cells: DataFrame, cell: str = "cell") -> DataFrame:
@@ -51,7 +51,7 @@ def spatial_lag(nodes: DataFrame, weights: DataFrame, values: dict[str, str], no
     named = nodes.select(F.col(node).alias("dst"), *[F.col(v).alias(f"_v_{o}") for o, v in values.items()])
     indegree = weights.groupBy("dst").agg(F.count("*").alias("_n"))
     sums = (
-        hot_key_join(weights, named.join(indegree, "dst"), ["dst"], "_n")
+        spread_join(weights, named, ["dst"], indegree, "_n")
         .groupBy(F.col("src").alias(node))
         .agg(*[F.sum(F.col("w") * F.col(f"_v_{o}")).alias(o) for o in values])
     )

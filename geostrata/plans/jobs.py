@@ -133,8 +133,8 @@ def run_survival(dim: DataFrame, entity: str = "entity", group: str = "bank", pa
     terms = logit.design.terms()
     wide = panel.select(*[c.cast("double").alias(t[0]) for c, t in zip(logit.design.columns(), terms)])
     shap = H.linear_shap(wide, {t[0]: b for t, b in zip(terms, logit.coefs)}, {t[0]: (t[0] if t[1] == "numeric" else t[1]) for t in terms})
-    sample = logit.predict(H.keep_events(panel, "event", key, 4).filter("lat is not null"))
-    nodes = cut(sample.select((F.col(entity) * 10_000 + F.col("year")).alias("id"), "lat", "lng", (F.col("event") - F.col("risk")).alias("resid")))
+    located = logit.predict(panel.filter("lat is not null and lng is not null"))  # all rows, one node per place
+    nodes = cut(located.groupBy("lat", "lng").agg(F.min(entity).alias("id"), F.avg(F.col("event") - F.col("risk")).alias("resid")).filter("resid is not null"))
     weights = cut(W.knn_weights(nodes, moran_k))
     moran = M.moran_permutation(nodes, weights, "resid", permutations=permutations, min_nodes=moran_k + 2).first().asDict()
     return SurvivalResult(panel, logit, got, cloglog, shap, moran)

@@ -47,18 +47,14 @@ def clean_fill_mode(spark, sf):
     return _out(C.fill(_dirty(spark, sf), "cat", "mode"), "cat")
 
 
-def _ordered(spark, sf):
-    return _dirty(spark, sf).withColumn("pos", F.col("id") * 2 + F.col("copy"))
-
-
-@query("clean_ffill", _sql("LAST_VALUE(cat IGNORE NULLS) OVER (ORDER BY id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cat"))
+@query("clean_ffill", _sql("LAST_VALUE(cat IGNORE NULLS) OVER (ORDER BY year, id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cat"))
 def clean_ffill(spark, sf):
-    return _out(C.fill(_ordered(spark, sf), "cat", "ffill", order_by="pos"), "cat")
+    return _out(C.fill(_dirty(spark, sf), "cat", "ffill", order_by=["year", "id", "copy"]), "cat")
 
 
-@query("clean_bfill", _sql(f"{R('FIRST_VALUE(amount IGNORE NULLS) OVER (PARTITION BY year ORDER BY id, copy ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS amount"))
+@query("clean_bfill", _sql(f"{R('FIRST_VALUE(amount IGNORE NULLS) OVER (PARTITION BY year ORDER BY num_text, id, copy ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS amount"))
 def clean_bfill(spark, sf):
-    return _out(C.fill(_ordered(spark, sf), "amount", "bfill", order_by="pos", partition_by=["year"]), "amount")
+    return _out(C.fill(_dirty(spark, sf), "amount", "bfill", order_by=["num_text", "id", "copy"], partition_by=["year"]), "amount")
 
 
 @query("clean_clip", _sql(f"{R('CASE WHEN amount < 0 THEN 0 WHEN amount > 400000 THEN 400000 ELSE amount END')} AS amount"))

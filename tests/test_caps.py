@@ -4,7 +4,9 @@ import pytest
 
 from geostrata.operators import evaluate as E
 from geostrata.operators import hazard as H
+from geostrata.operators.clean import CleanPlan, clean
 from geostrata.operators.infer import infer_mapping
+from geostrata.operators.panel import assign_treatment
 from geostrata.plans import jobs
 from geostrata.session import shared_dir
 from geostrata.sources.readers import read_delimited, read_json
@@ -69,3 +71,15 @@ class Cluster:
 def test_a_cluster_must_name_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Cluster)
+
+
+def test_clean_carries_along_the_whole_order(spark):
+    df = spark.createDataFrame([(1, 1, 5.0), (1, 2, None), (1, 3, None), (2, 1, None)], "id long, copy long, v double")
+    got = clean(df, CleanPlan().fill("v", "ffill"), order_by=["id", "copy"])
+    assert [r.v for r in got.data.orderBy("id", "copy").collect()] == [5.0] * 4
+
+
+def test_treatment_keeps_rows_without_an_entity(spark):
+    df = spark.createDataFrame([("a", 2000, 0), ("a", 2001, 1), (None, 2000, 1)], "e string, y long, m long")
+    got = {(r.e, r.y): (r.treated, r.post) for r in assign_treatment(df, "e", "y", mark="m").collect()}
+    assert got == {("a", 2000): (1, 0), ("a", 2001): (1, 1), (None, 2000): (0, 0)}

@@ -57,3 +57,20 @@ def test_group_quantile(spark, frame):
 def test_no_global_window(spark, frame):
     plan = running_total(spark.createDataFrame(frame).groupBy("b").agg(F.count("*").alias("n")), "b", {"s": "n"})._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan or "hashpartitioning" in plan
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_carry_fill_along_several_columns_of_text_and_number(spark, forward):
+    rows = [(1, f"g{i // 7:03d}", i % 7, float(i) if i % 11 == 0 else None) for i in range(300)]
+    df = spark.createDataFrame(rows[::-1], "same long, name string, pos long, v double")
+    got = carry_fill(df, "v", ["same", "name", "pos"], forward=forward, buckets=5).orderBy("name", "pos").toPandas()["v"]
+    s = pd.Series([r[3] for r in rows])
+    np.testing.assert_allclose(got.to_numpy(), (s.ffill() if forward else s.bfill()).to_numpy(), equal_nan=True)
+
+
+def test_carry_fill_spreads_a_constant_order(spark):
+    df = spark.range(4000).select(F.lit("x").alias("o"), "id", F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
+    plan = carry_fill(df, "v", "o", buckets=8)
+    parts = spark.read.parquet(*plan.inputFiles()).groupBy("_part").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 1000
+    assert plan.filter("v is null").count() < 4000 and plan.count() == 4000
