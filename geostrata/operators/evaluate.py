@@ -29,14 +29,23 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranked.agg(ratio(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def brier_of(label: str, score: str) -> Column:
+    """The Brier score as an aggregate."""
+    return F.avg(F.pow(F.col(score) - F.col(label), F.lit(2)))
+
+
+def log_loss_of(label: str, score: str, eps: float = 1e-6) -> Column:
+    """The mean log loss as an aggregate, scores kept ``eps`` off 0 and 1."""
+    p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps))
+    return F.avg(F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(1 - p)))
+
+
 def brier(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.agg(F.avg(F.pow(F.col(score) - F.col(label), F.lit(2))).alias("brier"))
+    return df.agg(brier_of(label, score).alias("brier"))
 
 
 def log_loss(df: DataFrame, label: str, score: str, eps: float = 1e-6) -> DataFrame:
-    p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps))
-    term = F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(1 - p))
-    return df.agg(F.avg(term).alias("log_loss"))
+    return df.agg(log_loss_of(label, score, eps).alias("log_loss"))
 
 
 def c_index(df: DataFrame, score: str, duration: str, event: str, ties: str = "none") -> DataFrame:

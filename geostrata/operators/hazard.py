@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.functions.columns import is_numeric
-from geostrata.operators.evaluate import auc, brier, log_loss
-from geostrata.operators.ranks import _order_statistics, quantiles
+from geostrata.operators.evaluate import auc, brier_of, log_loss_of
+from geostrata.operators.ranks import _order_statistics, distinct_counts, quantiles
 from geostrata.session import cut
 
 MAX_LEVELS = 1000
@@ -189,12 +189,11 @@ def risk_design(df: DataFrame, target: str, exclude: Sequence[str], group: str |
     skip = {*exclude, target, group, time, "__source_file"}
     cand = [f.name for f in df.schema.fields if is_numeric(f) and f.name not in skip and not f.name.startswith("_")]
     facs = [c for c in (group, time) if c]
-    row = df.agg(
-        *[F.countDistinct(c).alias(f"d_{c}") for c in [*cand, *facs]], *[F.stddev_samp(F.col(c).cast("double")).alias(f"s_{c}") for c in cand]
-    ).first()
-    numeric = [c for c in cand if row[f"d_{c}"] > 2 and (row[f"s_{c}"] or 0) > 0]
+    levels = {d["field"]: d["distinct"] for d in distinct_counts(df, [*cand, *facs]).collect()} if cand or facs else {}
+    spread = df.agg(F.count("*"), *[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cand]).first()
+    numeric = [c for c in cand if levels.get(c, 0) > 2 and (spread[c] or 0) > 0]
     limits = {group: max_group, time: max_time}
-    small = [c for c in facs if limits[c] is None or row[f"d_{c}"] <= limits[c]]
+    small = [c for c in facs if limits[c] is None or levels.get(c, 0) <= limits[c]]
     kept = numeric if max_numeric is None else numeric[:max_numeric]
     return kept, small, [c for c in [*numeric, *facs] if c not in kept and c not in small]
 
@@ -296,16 +295,17 @@ def calibrate_intercept(df: DataFrame, score: str, event: str, tolerance: float
 
 
 def metrics(df: DataFrame, event: str, score: str = "risk") -> dict:
-    row = df.agg(F.count("*").alias("n"), F.sum(event).alias("events"), F.avg(event).alias("event_rate"), F.avg(score).alias("mean_pred")).first().asDict()
-    row["auc"] = auc(df, event, score).first()[0]
-    row["brier"] = brier(df, event, score).first()[0]
-    row["log_loss"] = log_loss(df, event, score).first()[0]
-    return row
+    """Rows, events, means, Brier score and log loss in one aggregation, and the AUC."""
+    row = df.agg(
+        F.count("*").alias("n"), F.sum(event).alias("events"), F.avg(event).alias("event_rate"), F.avg(score).alias("mean_pred"),
+        brier_of(event, score).alias("brier"), log_loss_of(event, score).alias("log_loss"),
+    ).first().asDict()
+    return {**row, "auc": auc(df, event, score).first()[0]}
 
 
 def _window(train: DataFrame, test: DataFrame, event, key, numeric, factors, seed):
     fit = fit_cloglog(keep_events(train, event, key, seed=seed), event, numeric, factors)
-    scored = fit.predict(test.filter(fit.design.known()))
+    scored = cut(fit.predict(test.filter(fit.design.known())).select(event, "risk"))
     out = metrics(scored, event)
     out["n_dropped_unseen_level"] = test.count() - out["n"]
     return out

@@ -40,6 +40,9 @@ def lm_tests(nodes: DataFrame, weights: DataFrame, y: str, xs: Sequence[str], no
     work = with_const(d.withColumn("e", e))
     fitted = work.withColumn("xb", F.col("y") - F.col("e"))
     lagged = cut(spatial_lag(fitted, weights, {"wy": "y", "we": "e", "wxb": "xb"}))
+    means = lagged.agg(F.avg("wy").alias("wy"), F.avg("wxb").alias("wxb")).first()
+    # residuals do not change with a constant taken off, and small differences stay exact
+    lagged = lagged.withColumns({c: F.col(c) - F.lit(means[c]) for c in ("wy", "wxb")})
     terms = fit.terms
     m = cross_moments(lagged, [*terms, "e", "wy", "we", "wxb"])
     k = len(terms)

@@ -152,36 +152,110 @@ def slx(spark, sf):
     return plain(fit.table(spark).select("term", "coef", "std_err"), 5)
 
 
-@query("lm_tests")
+_S = lambda a, b: f"(COVAR_POP({a}, {b}) * COUNT(*))"  # centred sum of products
+LAGGED = f"""{_knn_sql('plane', 6)}, nd AS (SELECT entity, last_year - first_year + lat AS y, CAST(entity % 7 AS DOUBLE) AS x FROM fx_dim WHERE lat IS NOT NULL),
+l1 AS MATERIALIZED (SELECT a.entity, ANY_VALUE(a.y) AS y, ANY_VALUE(a.x) AS x, AVG(b.y) AS wy, AVG(b.x) AS wx FROM nd a JOIN kn ON kn.src = a.entity JOIN nd b ON b.entity = kn.dst GROUP BY a.entity),
+l2 AS MATERIALIZED (SELECT a.*, q.wwx, q.wwy FROM l1 a JOIN (SELECT kn.src AS e, AVG(b.wx) AS wwx, AVG(b.wy) AS wwy FROM kn JOIN l1 b ON b.entity = kn.dst GROUP BY kn.src) q ON q.e = a.entity)"""
+LIMIT_5 = 3.841458820694124  # chi-square with one degree of freedom, five per cent
+
+
+def _lm_sql(form, lag, err, robust_lag, robust_error, source):
+    stats = f"{form}_s AS (SELECT {lag} AS lag, {err} AS err, {robust_lag} AS rl, {robust_error} AS re FROM {source})"
+    choice = f"CASE WHEN rl > {LIMIT_5} AND rl > re THEN 'lag' WHEN re > {LIMIT_5} AND re > rl THEN 'error' WHEN lag > {LIMIT_5} AND err > {LIMIT_5} THEN 'sdm' ELSE 'ols' END"
+    rows = " UNION ALL ".join(
+        f"SELECT '{form}' AS form, '{name}' AS test, {R(c, 5)} AS stat, {L(f'CASE WHEN {c} > {LIMIT_5} THEN 1 ELSE 0 END')} AS significant, {choice} AS choice FROM {form}_s"
+        for name, c in (("lm_lag", "lag"), ("lm_error", "err"), ("robust_lag", "rl"), ("robust_error", "re")))
+    return stats, rows
+
+
+_REF = _lm_sql("reference", "e_wy * e_wy / rwy", "e_we * e_we / (we_we * (n - 2))", *2 * (
+    "POW((e_wy - e_we) / ee, 2) / (s2 / rwy + s2 / we_we)",), "(SELECT *, ee / (n - 2) AS s2 FROM c)")
+_ANS = _lm_sql("anselin", "dl * dl / nj", "de * de / tr", "POW(dl - de, 2) / (nj - tr)", "POW(de - tr / nj * dl, 2) / (tr * (1 - tr / nj))",
+               "(SELECT *, e_wy / s2 AS dl, e_we / s2 AS de, rwxb / s2 + tr AS nj FROM (SELECT *, ee / n AS s2 FROM c))")
+
+
+@query("lm_tests", f"""WITH {LAGGED}, f AS (SELECT REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a FROM l1),
+r AS (SELECT y - a - b * x AS e, wy - a - b * wx AS we, a + b * wx AS wxb, x, wy FROM l1, f),
+pw AS (SELECT COUNT(*) / 6.0 AS bw FROM kn GROUP BY LEAST(src, dst), GREATEST(src, dst)),
+c AS (SELECT COUNT(*) * 1.0 AS n, SUM(e * e) AS ee, SUM(e * wy) AS e_wy, SUM(e * we) AS e_we, SUM(we * we) AS we_we,
+  {_S('wy', 'wy')} - POW({_S('x', 'wy')}, 2) / {_S('x', 'x')} AS rwy, {_S('wxb', 'wxb')} - POW({_S('x', 'wxb')}, 2) / {_S('x', 'x')} AS rwxb, (SELECT SUM(bw * bw) FROM pw) AS tr FROM r),
+{_REF[0]}, {_ANS[0]} {_REF[1]} UNION ALL {_ANS[1]}""")
 def lm_tests(spark, sf):
     nodes = _nodes(spark, sf)
     w = cut(W.knn_weights(nodes, 6))
     rows = []
     for form in ("anselin", "reference"):
         got = S.lm_tests(nodes, w, "y", ["x"], form=form)
-        rows += [(form, k, got[k], got[f"{k}_p"], S.choose_model(got)) for k in ("lm_lag", "lm_error", "robust_lag", "robust_error")]
-    return plain(spark.createDataFrame(rows, "form string, test string, stat double, p double, choice string"))
+        rows += [(form, k, got[k], int(got[f"{k}_p"] < 0.05), S.choose_model(got)) for k in ("lm_lag", "lm_error", "robust_lag", "robust_error")]
+    return plain(spark.createDataFrame(rows, "form string, test string, stat double, significant long, choice string"), 5)
 
 
-@query("sar_2sls")
-def sar_2sls(spark, sf):
-    nodes = _nodes(spark, sf)
-    return plain(S.sar_2sls(nodes, cut(W.knn_weights(nodes, 6)), "y", ["x"]).table(spark))
+# two-stage least squares with as many instruments as unknowns: H'Zb = H'y, here after taking means off
+SAR = f"""sm AS (SELECT COUNT(*) * 1.0 AS n, AVG(y) AS my, AVG(x) AS mx, AVG(wy) AS mw, {_S('x', 'x')} AS a11, {_S('x', 'wy')} AS a12, {_S('wx', 'x')} AS a21, {_S('wx', 'wy')} AS a22,
+  {_S('x', 'wx')} AS c12, {_S('wx', 'wx')} AS c22, {_S('x', 'y')} AS p, {_S('wx', 'y')} AS q FROM l2),
+sb AS (SELECT *, a11 * a22 - a12 * a21 AS det, (p * a22 - a12 * q) / (a11 * a22 - a12 * a21) AS b, (a11 * q - a21 * p) / (a11 * a22 - a12 * a21) AS rho FROM sm),
+sr AS (SELECT SUM(POW(y - (my - b * mx - rho * mw) - b * x - rho * wy, 2)) / ANY_VALUE(n) AS s2 FROM l2, sb),
+sv AS (SELECT *, (a22 * a22 * a11 - 2 * a22 * a12 * c12 + a12 * a12 * c22) / (det * det) AS v11, (a21 * a21 * a11 - 2 * a21 * a11 * c12 + a11 * a11 * c22) / (det * det) AS v22,
+  (-a22 * a21 * a11 + (a22 * a11 + a12 * a21) * c12 - a12 * a11 * c22) / (det * det) AS v12 FROM sb, sr)"""
 
 
-@query("sem_gmm")
+@query("sar_2sls", f"""WITH {LAGGED}, {SAR}
+SELECT 'const' AS term, {R('my - b * mx - rho * mw', 5)} AS coef, {R('SQRT(s2 * (1 / n + mx * mx * v11 + 2 * mx * mw * v12 + mw * mw * v22))', 5)} AS std_err FROM sv
+UNION ALL SELECT 'x', {R('b', 5)}, {R('SQRT(s2 * v11)', 5)} FROM sv UNION ALL SELECT 'rho', {R('rho', 5)}, {R('SQRT(s2 * v22)', 5)} FROM sv""")
+def sar_2sls(spark, sf):
+    nodes = _nodes(spark, sf)
+    return plain(S.sar_2sls(nodes, cut(W.knn_weights(nodes, 6)), "y", ["x"]).table(spark).select("term", "coef", "std_err"), 5)
+
+
+def _lambda_sql(levels=5, points=200):
+    """CTEs down to ``sl`` (lam): the minimum of the moment loss over ever finer grids."""
+    loss = """(POW(s1 - d1 - g1 * k, 2) + POW(s2 - d2 - g2 * k, 2) + POW(s3 - d3 - g3 * k, 2))"""
+    ctes = [f"""uf AS (SELECT REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a FROM l2),
+uu AS (SELECT y - a - b * x AS u, wy - a - b * wx AS v, wwy - a - b * wwx AS w FROM l2, uf),
+um AS (SELECT AVG(u * u) AS s1, AVG(v * v) AS s2, AVG(u * v) AS s3, AVG(v * w) AS vw, AVG(w * w) AS ww, AVG(u * w) AS uw, CAST(1.0 AS DOUBLE) AS g1, CAST(1.0 AS DOUBLE) / 6 AS g2, CAST(0.0 AS DOUBLE) AS g3 FROM uu),
+sl0 AS (SELECT CAST(0.0 AS DOUBLE) AS lam)"""]
+    half = 0.99
+    for i in range(levels):
+        ctes.append(f"""gr{i} AS (SELECT lam + CAST({half!r} AS DOUBLE) * j / {points} AS lam FROM sl{i}, (SELECT UNNEST(RANGE(-{points}, {points + 1})) AS j)),
+dr{i} AS (SELECT *, 2 * s3 * lam - s2 * lam * lam AS d1, 2 * vw * lam - ww * lam * lam AS d2, (uw + s2) * lam - vw * lam * lam AS d3 FROM gr{i}, um),
+kr{i} AS (SELECT *, (g1 * (s1 - d1) + g2 * (s2 - d2) + g3 * (s3 - d3)) / (g1 * g1 + g2 * g2 + g3 * g3) AS k FROM dr{i}),
+sl{i + 1} AS MATERIALIZED (SELECT ARG_MIN(lam, {loss}) AS lam FROM kr{i})""")
+        half = half / points * 2
+    return ",\n".join(ctes) + f",\nsl AS (SELECT lam FROM sl{levels})"
+
+
+SEM = f"""{_lambda_sql()},
+sf AS (SELECT y - lam * wy AS y, x - lam * wx AS x, lam FROM l2, sl),
+se AS (SELECT ANY_VALUE(lam) AS lam, COUNT(*) * 1.0 AS n, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_SXX(y, x) AS sxx, AVG(x) AS mx, (1 - REGR_R2(y, x)) * REGR_SYY(y, x) / (COUNT(*) - 2) AS s2 FROM sf)"""
+
+
+@query("sem_gmm", f"""WITH {LAGGED}, {SEM}
+SELECT 'const' AS term, {R('a / (1 - lam)', 4)} AS coef, {R('SQRT(s2 * (1 / n + mx * mx / sxx)) / (1 - lam)', 4)} AS std_err FROM se
+UNION ALL SELECT 'x', {R('b', 4)}, {R('SQRT(s2 / sxx)', 4)} FROM se UNION ALL SELECT 'lambda', {R('lam', 4)}, {R('0', 4)} FROM se""")
 def sem_gmm(spark, sf):
     nodes = _nodes(spark, sf)
-    return plain(S.sem_gmm(nodes, cut(W.knn_weights(nodes, 6)), "y", ["x"]).table(spark).select("term", "coef", "std_err"))
+    return plain(S.sem_gmm(nodes, cut(W.knn_weights(nodes, 6)), "y", ["x"]).table(spark).select("term", "coef", "std_err"), 4)
+
+
+# the lag's own instrument (WWx) freed of x and Wx gives rho, then x and Wx follow by least squares
+SDM = f"""dm AS (SELECT {_S('x', 'x')} AS a, {_S('x', 'wx')} AS b, {_S('wx', 'wx')} AS c, {_S('x', 'wwx')} AS p, {_S('wx', 'wwx')} AS q, AVG(x) AS mx, AVG(wx) AS mw, AVG(wwx) AS mz FROM l2),
+dz AS (SELECT y, x, wx, wy, wwx - mz - (c * p - b * q) / (a * c - b * b) * (x - mx) - (a * q - b * p) / (a * c - b * b) * (wx - mw) AS z FROM l2, dm),
+dp AS (SELECT SUM(z * y) / SUM(z * wy) AS rho FROM dz),
+dy AS (SELECT y - rho * wy AS t, x, wx, rho FROM l2, dp),
+dn AS (SELECT ANY_VALUE(rho) AS rho, {_S('x', 'x')} AS a, {_S('x', 'wx')} AS b, {_S('wx', 'wx')} AS c, {_S('x', 't')} AS p, {_S('wx', 't')} AS q FROM dy),
+db AS (SELECT rho, (c * p - b * q) / (a * c - b * b) AS bx, (a * q - b * p) / (a * c - b * b) AS bw FROM dn)"""
 
 
-@query("effect_split")
+@query("effect_split", f"""WITH {LAGGED}, {SAR}, {SEM}, {SDM},
+ef AS (SELECT 'sar' AS model, b / (1 - rho) AS direct, b * rho / POW(1 - rho, 2) AS spillover, rho FROM sv UNION ALL SELECT 'sem', b, 0, 0 FROM se
+UNION ALL SELECT 'sdm', bx / (1 - rho), (bx + bw) * rho / POW(1 - rho, 2), rho FROM db)
+SELECT model, {R('direct', 3)} AS direct, {R('spillover', 3)} AS spillover, {R('direct + spillover', 3)} AS total, {R('spillover / (direct + spillover)', 3)} AS share FROM ef WHERE ABS(rho) < 0.99""")
 def effect_split(spark, sf):
     nodes = _nodes(spark, sf)
     w = cut(W.knn_weights(nodes, 6))
     models = {"sar": S.sar_2sls(nodes, w, "y", ["x"]), "sem": S.sem_gmm(nodes, w, "y", ["x"]), "sdm": S.sar_2sls(nodes, w, "y", ["x"], durbin=True)}
     rows = [tuple(r.values()) for r in S.split_effects(models, "x")]
-    return plain(spark.createDataFrame(rows, "model string, direct double, spillover double, total double, share double"))
+    return plain(spark.createDataFrame(rows, "model string, direct double, spillover double, total double, share double"), 3)
 
 
 @query("spatial_entity_cs", f"""
