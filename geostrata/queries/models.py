@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from geostrata.functions.columns import hex_center
+from geostrata.functions.columns import EARTH_RADIUS_KM, HEX_EDGE_KM, hex_center
 from geostrata.operators import hazard as H
 from geostrata.operators import moran as M
 from geostrata.operators import panel as N
@@ -12,10 +12,10 @@ from geostrata.operators import twfe as T
 from geostrata.operators import weights as W
 from geostrata.operators.linear import ols
 from geostrata.plans import jobs as J
-from geostrata.queries.panels import DID, PERSON, TREATED, _treated, cross_section, did, did_inputs
+from geostrata.queries.panels import CELLS, DID, PERSON, TREATED, _treated, cross_section, did, did_inputs
 from geostrata.queries.registry import L, R, plain, query, table, view
 from geostrata.queries.spatial import _knn_sql
-from geostrata.queries.sqltext import clustered_ols, demean_steps
+from geostrata.queries.sqltext import RING_W, clustered_ols, demean_steps
 from geostrata.session import cut
 
 
@@ -90,7 +90,18 @@ def event_study_exact(spark, sf):
     return _event_rows(spark, sf, "exact")
 
 
-@query("ring_sensitivity")
+def _variant_sql(name, weights):
+    """Two-way effects under other ring weights, one row."""
+    return f"""SELECT * FROM (WITH {DID.replace(RING_W, weights)}, {SAMPLE}, {demean_steps('sm', ['y', 'x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'])},
+fin AS (SELECT (SELECT coef FROM gj WHERE i = 0) AS b, (SELECT std_err FROM ce WHERE i = 0) AS s, (SELECT coef FROM gj WHERE i = 1) AS p, (SELECT AVG(s) FROM dp WHERE fe > 0) AS m, (SELECT COUNT(*) FROM sm) AS n)
+SELECT '{name}' AS variant, {R('b')} AS coef, {R('s')} AS se, {R('p')} AS post_coef, {R('m')} AS strength_mean_treated, {R('b * m')} AS slope_per_relative_exposure, {R('p + b * m')} AS effect_at_treated_mean, {L('n')} AS n_obs FROM fin)"""
+
+
+_COARSE = "CASE WHEN d < 2 THEN 1.0 WHEN d < 5 THEN 0.6 WHEN d < 10 THEN {last} ELSE 0.0 END"
+
+
+@query("ring_sensitivity", " UNION ALL ".join(_variant_sql(n, w) for n, w in (
+    ("fine", RING_W), ("coarse", _COARSE.format(last=0.3)), ("linear", _COARSE.format(last=0.2)))))
 def ring_sensitivity(spark, sf):
     panel, alive, _ = did_inputs(spark, sf)
     dim = view(spark, sf, "fx_dim")
@@ -374,8 +385,25 @@ def job_refit(spark, sf):
     return plain(spark.createDataFrame(rows, "model string, term string, coef double, std_err double"), 4)
 
 
-@query("moran_residual")
+_ROW = "(cell % 8388608 - 4194304)"
+_X = f"((CAST(FLOOR(cell / 8388608) AS BIGINT) - 4194304) + {_ROW} / 2.0) * SQRT(3) * {HEX_EDGE_KM[7]!r}"
+CELL_NODES = f"""{CELLS}, rv AS (SELECT cell, SUM(CASE WHEN year = 1996 THEN value END) AS v0, SUM(CASE WHEN year = 1999 THEN value END) AS v1
+  FROM fx_panel p JOIN hc ON hc.entity = p.entity WHERE year IN (1996, 1999) GROUP BY cell),
+cs AS MATERIALIZED (SELECT cell, LEAST(GREATEST(v1 / v0 - 1, -0.5), 0.5) AS g, DEGREES({_ROW} * 1.5 * {HEX_EDGE_KM[7]!r} / {EARTH_RADIUS_KM!r}) AS lat,
+  DEGREES({_X} / ({EARTH_RADIUS_KM!r} * COS(RADIANS(37.0)))) AS lng FROM rv WHERE v0 IS NOT NULL AND v1 IS NOT NULL AND v0 <> 0)"""
+
+
+@query("moran_residual", f"""
+WITH {CELL_NODES}, {_knn_sql('plane', 6, 'cs', 'cell')}, z AS (SELECT cell, g - AVG(g) OVER () AS z FROM cs),
+l AS (SELECT a.cell, ANY_VALUE(a.z) AS z, AVG(b.z) AS wz FROM z a JOIN kn ON kn.src = a.cell JOIN z b ON b.cell = kn.dst GROUP BY a.cell),
+p AS (SELECT COUNT(*) / 6.0 AS bw FROM kn GROUP BY LEAST(src, dst), GREATEST(src, dst)),
+d AS (SELECT SUM(c) AS t FROM (SELECT src AS id, 1.0 AS c FROM kn WHERE rk = 1 UNION ALL SELECT dst, 1 / 6.0 FROM kn) GROUP BY id),
+c AS (SELECT COUNT(*) * 1.0 AS n, SUM(z * wz) / SUM(z * z) AS i, COUNT(*) * SUM(POW(z, 4)) / POW(SUM(z * z), 2) AS k, (SELECT SUM(bw * bw) FROM p) AS s1, (SELECT SUM(t * t) FROM d) AS s2 FROM l),
+v AS (SELECT *, -1 / (n - 1) AS e, (n * n * s1 - n * s2 + 3 * n * n) / ((n * n - 1) * n * n) - 1 / POW(n - 1, 2) AS vn,
+  (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * n * n) - k * ((n * n - n) * s1 - 2 * n * s2 + 6 * n * n)) / ((n - 1) * (n - 2) * (n - 3) * n * n) - 1 / POW(n - 1, 2) AS vr FROM c)
+SELECT {L('n')} AS n, {R('i')} AS moran_i, {R('e')} AS e_i, {R('vn')} AS var_norm, {R('(i - e) / SQRT(vn)', 5)} AS z_norm, {R('vr')} AS var_rand, {R('(i - e) / SQRT(vr)', 5)} AS z_rand FROM v""")
 def moran_residual(spark, sf):
     lat, lng = hex_center("cell", 7)
     cs = cut(cross_section(spark, sf).withColumns({"lat": lat, "lng": lng}))
-    return plain(M.moran_inference(cs, W.knn_weights(cs, 6, "cell"), "growth_clip", "cell"))
+    got = M.moran_inference(cs, W.knn_weights(cs, 6, "cell"), "growth_clip", "cell")
+    return plain(got.select("n", "moran_i", "e_i", "var_norm", F.round("z_norm", 5).alias("z_norm"), "var_rand", F.round("z_rand", 5).alias("z_rand")))
