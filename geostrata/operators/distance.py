@@ -213,47 +213,6 @@ def ring_counts(
     return spread_join(here, per_place, place, s_loc, "n").select(*source_id, *split, *ring_cols)
 
 
-def distance_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    radius_km: float,
-    match: Sequence[str] = (),
-    left_on: tuple[str, str] = ("lat", "lng"),
-    right_on: tuple[str, str] = ("r_lat", "r_lng"),
-) -> DataFrame:
-    """Every (left, right) pair within ``radius_km`` with its distance ``dist_km``.
-
-    The output is as large as the number of pairs; use ``ring_counts`` when only counts or weights
-    per source are needed. Column names of both sides must differ outside ``match``.
-    """
-    match = list(match)
-    size = max(MIN_TILE_KM, radius_km / 4)
-
-    def tiled(df, on, tag):
-        lat, lng = on
-        xyz = dict(zip(AXES, sphere_xyz(lat, lng)))
-        named = df.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumns(xyz)
-        return named.withColumn(f"{tag}tile", _tile(size))
-
-    a, b = tiled(left, left_on, "s_"), tiled(right, right_on, "t_")
-    boxes_a = _boxes(a.withColumn("n", F.lit(1)), match, size, None, "s_")
-    boxes_b = _boxes(b.withColumn("n", F.lit(1)), match, size, None, "t_")
-    near, _ = _box_distances()
-    reach = chord_km(radius_km) + SLACK_KM
-    tiles = (
-        _near_boxes(boxes_a, boxes_b, match, size, reach).filter(near <= reach)
-        .select(*match, "s_tile", "t_tile")
-    )
-    dist = haversine_km(*left_on, *right_on)
-    return (
-        a.drop(*AXES).join(tiles, [*match, "s_tile"])
-        .join(b.drop(*AXES), [*match, "t_tile"])
-        .withColumn("dist_km", dist)
-        .filter(F.col("dist_km") <= radius_km)
-        .drop("s_tile", "t_tile")
-    )
-
-
 # --- nearest neighbours ------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from geostrata.operators.distance import distance_pairs, knn_edges, ring_counts
+from geostrata.operators.distance import knn_edges, ring_counts
 from geostrata.operators.rings import FINE, event_counts, first_exposure, ring_exposure
 
 R = 6371.0088
@@ -69,18 +69,6 @@ def test_first_exposure_adds_weights_of_the_first_year_only(spark):
     assert [(r["entity"], r["first_event_year"], r["strength_t0"]) for r in row] == [(1, 1995, 1.6)]
 
 
-def test_distance_pairs(spark):
-    p = cloud(7, 120)
-    left, right = spark.createDataFrame(p), spark.createDataFrame(p.rename(columns={"id": "r_id", "lat": "r_lat", "lng": "r_lng"}))
-    pairs = distance_pairs(left, right, 3.0, ["k"])
-    got = {(r["id"], r["r_id"]) for r in pairs.select("id", "r_id").collect()}
-    d = haversine(p["lat"].to_numpy()[:, None], p["lng"].to_numpy()[:, None], p["lat"].to_numpy(), p["lng"].to_numpy())
-    same = p["k"].to_numpy()[:, None] == p["k"].to_numpy()
-    assert got == set(zip(*np.where(same & (d <= 3.0))))
-    plan = pairs._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
-
-
 @pytest.mark.parametrize("metric", ["plane", "sphere"])
 @pytest.mark.parametrize("k", [1, 5])
 def test_knn_equals_brute_force(spark, metric, k):
