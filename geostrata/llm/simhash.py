@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geostrata.llm import shingle_sets
 from geostrata.llm.common import components, ship, text_of
 from geostrata.session import cut
 
@@ -147,12 +148,14 @@ def near_duplicates(docs: DataFrame, crowd: int = 64) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "group_fp")
 
 
-def keep_one(docs: DataFrame, crowd: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
+def keep_one(docs: DataFrame, crowd: int = 64, broadcast_rows: int = 500_000, size: int | None = None, least: float = 0.8) -> DataFrame:
     """One row of every group: the row whose id is the group's smallest (of several such rows the smallest row).
 
-    The ids to drop are broadcast while they number at most ``broadcast_rows``; beyond that the join shuffles.
+    Groups are those of ``near_duplicates``; with ``size``, those of texts whose shingles of that many words have a
+    Jaccard similarity of ``least`` or more. The ids to drop are broadcast while they number at most
+    ``broadcast_rows``; beyond that the join shuffles.
     """
-    groups = cut(near_duplicates(docs, crowd))
+    groups = cut(near_duplicates(docs, crowd) if size is None else shingle_sets.near_duplicates(docs, size, least, crowd, broadcast_rows))
     best = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(best).alias("best"))
     out = cut(ids.where("n > 1 OR NOT best").select(F.col("doc_id").alias("id"), (F.col("n") > 1).alias("several")))
@@ -165,18 +168,21 @@ def keep_one(docs: DataFrame, crowd: int = 64, broadcast_rows: int = 500_000) ->
     # ids that stand in several rows do not tell which row is meant; these rows are told apart by fingerprint
     again = rows.join(out.where("several"), own, "left_semi").select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row")
     chosen = groups.where(best).select("doc_id", "fp", "group_fp").distinct()
-    marked = _with_rows(again).alias("m").join(chosen.alias("c"), F.col("m.row.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("m.fp") == F.col("c.fp")))
+    marked = _with_rows(again, size).alias("m").join(chosen.alias("c"), F.col("m.row.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("m.fp") == F.col("c.fp")))
     first = marked.groupBy("c.group_fp").agg(F.min("m.row").alias("row")).select("row")
     return single.union(first).select("row.*")
 
 
-def _with_rows(rows: DataFrame) -> DataFrame:
+def _with_rows(rows: DataFrame, size: int | None = None) -> DataFrame:
     """``(row, fp)`` of rows ``(doc_id, text, row)``."""
     kind = T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())])
 
+    def name(text: str) -> int:
+        return int(np.uint64(fingerprint(text)).view(np.int64)) if size is None else shingle_sets.mark(shingle_sets.shingles(text, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(marks)], ["row", "fp"])
+            marks = pa.array([name(t.as_py()) for t in batch.column(0)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), marks], ["row", "fp"])
 
     return rows.select(text_of().alias("text"), "row").mapInArrow(run, kind)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geostrata.llm import mixing, packing, quality, secret_scan, sharding, simhash, token_counts
+from geostrata.llm import mixing, packing, quality, secret_scan, sharding, shingle_sets, simhash, token_counts
 from geostrata.llm.tokens import default_tokenizer, encoder
 
 DOCS = T.StructType([
@@ -134,6 +134,40 @@ def test_links_of_crowded_and_random_fingerprints(spark, crowd):
     assert all(len({labels[m] for m in labels if want[m] == g}) == 1 for g in {want[m] for m in labels})
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_near_copies_of_five_word_shingles(spark, docs, nothing, monkeypatch, crowd):
+    monkeypatch.setattr(shingle_sets, "BLOCK_SETS", 16)
+    rng = np.random.default_rng(3)
+    texts = [r[1] for r in rows()]
+    for b in range(6):
+        base = [f"v{x}" for x in rng.integers(0, 3000, 200)]
+        for _ in range(20):  # zero to five words changed: similarities on both sides of 0.8
+            copy = list(base)
+            for at in rng.choice(200, rng.integers(0, 6), replace=False):
+                copy[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    sets = [plain_shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and (x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j])):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(df, crowd=crowd).collect()}
+    assert got == dict(enumerate(group))
+    assert sorted(r.doc_id for r in simhash.keep_one(df, crowd=crowd, size=5).collect()) == sorted(set(group))
+    assert simhash.keep_one(df).count() > 2 * len(set(group))  # two bits of three-word shingles leave most copies
+    kept = simhash.keep_one(docs, size=5)
+    assert kept.columns == docs.columns and len({plain_shingles(r.text) for r in kept.collect()}) == kept.count()
+    assert shingle_sets.near_duplicates(nothing).collect() == [] and simhash.keep_one(nothing, size=5).collect() == []
+
+
 def test_golay_words_two_bits_apart_share_a_codeword():
     near = simhash.near_errors()
     assert sorted(Counter((near >= 0).sum(1)).items()) == [(1, 277), (6, 1771)]
