@@ -6,7 +6,8 @@ places, so memory is bounded.
 
 Ids come from the tokenizer file's own library. Where the file's merges are in the order of their ids, a rank encoder
 made from the same file gives the same ids several times faster; it takes the stretches in Latin letters, on which
-both agree about what a letter is.
+both agree about what a letter is. A stretch on which the rank encoder gives up, as with a million white-space
+characters in a row, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -84,7 +85,11 @@ class Encoder:
         return b"".join([(self._fast if latin else self._slow)("".join(run)) for latin, run in parts])
 
     def _fast(self, text: str) -> bytes:
-        return self.ranks.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        try:
+            ids = self.ranks.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern gives up on about a million white-space characters in a row
+            return self._slow(text)
+        return ids.astype("<u4", copy=False).tobytes()
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()

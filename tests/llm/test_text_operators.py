@@ -75,6 +75,11 @@ def test_long_texts_are_encoded_in_stretches(monkeypatch):
     assert enc.encode(LONG) == whole == np.array(ids_of(LONG), "<u4").tobytes()
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "one two" + " \n\t" * 700_000 + "three"], ids=["spaces", "newlines", "mixed"])
+def test_long_runs_of_white_space_have_the_library_ids(text):
+    assert encoder(default_tokenizer()).encode(text) == np.array(ids_of(text), "<u4").tobytes()
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
