@@ -15,6 +15,7 @@ twice, and shuffles them locally.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,6 +120,36 @@ def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.inline("blocks"))
 
 
+def _filled(fits: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One reading of ``fits (src, size, mark, doc_id, at)``, none larger than its source's gap in ``gaps (src, gap)``.
+
+    Taken are the documents before the first that does not fit, ``(src, mark, at, short)`` with the words still open
+    at each; then the documents that fit what is left, and the gaps left. The first document is always taken.
+    """
+    rows = fits.withColumn("stretch", F.shiftrightunsigned("mark", FINE))
+    upto = Window.partitionBy("src").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begin = rows.groupBy("src", "stretch").agg(F.sum("size").alias("sum")).select("src", "stretch", F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("src", "stretch").orderBy("mark", "at").rowsBetween(Window.unboundedPreceding, -1)
+    # stretches that begin beyond the gap hold nothing to take: they need no order
+    ahead = rows.join(begin.join(gaps, "src").where("begin < gap"), ["src", "stretch"])
+    ahead = ahead.withColumn("short", F.col("gap") - F.col("begin") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    taken = cut(ahead.where("size <= short").select("src", "mark", "at", "size", "short"))
+    sums = taken.groupBy("src").agg(F.sum("size").alias("sum"))
+    gaps = cut(gaps.join(sums, "src", "left").select("src", (F.col("gap") - F.coalesce("sum", F.lit(0))).alias("gap")))
+    rest = fits.join(gaps, "src").where("size <= gap").drop("gap").join(taken.select("src", "mark", "at"), ["src", "mark", "at"], "left_anti")
+    return taken.select("src", "mark", "at", "short"), cut(rest.select("src", "size", "mark", "doc_id", "at")), gaps
+
+
+def _read_on(fits: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All readings of ``_filled`` until no document fits: the documents taken, and the gaps left."""
+    taken = []
+    while fits.limit(1).count():
+        some, fits, gaps = _filled(fits, gaps)
+        taken.append(some)
+    none = fits.select("src", "mark", "at", F.col("at").alias("short"))
+    return reduce(DataFrame.union, taken, none), gaps
+
+
 def allocate(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0,
     block_words: int = 4096, shard_blocks: int = 1024, seed: int = 42,
@@ -126,8 +157,10 @@ def allocate(
     """One row per document: ``doc_id, source, size, source_size, target, taken, shard_1, shard_2, mark``.
 
     ``taken`` counts words, a document taken twice counting twice; ``shard_1`` and ``shard_2`` hold its copies (null:
-    not taken). Whole documents are taken in the source's order while they fit; the last gap goes to the
-    document, not taken in this reading, that comes nearest to filling it, if that is nearer than the gap itself.
+    not taken). Whole documents are taken in the source's order while they fit; documents larger than what is left
+    are skipped and the order is read on until none fits. Then the smallest document not taken in this reading goes
+    in, and for it documents from the end of the reading go out as long as they fit its excess, if that comes nearer
+    to the target than the gap does.
 
     Null sources are one source, the last. A null or empty text has size 0 and is taken where it stands in the
     order. Null or repeated ids and repeated rows are rows like any other; other columns are not read; an empty
@@ -150,27 +183,41 @@ def allocate(
     second = at + F.col("size") + F.col("source_size") <= F.col("quota")
     placed = cut(placed.join(goal, "src").select(
         "doc_id", "src", "size", "mark", "source_size", "target", "quota", "pos", "n", at.alias("at"), first.alias("one"), second.alias("two")))
-    # what the last reading leaves open, and who fills it best
+    # what the last reading leaves open: documents that still fit, on in the order, until none does
     again = F.col("quota") >= F.col("source_size")
-    held = placed.groupBy("src").agg(F.sum(F.when(F.when(again, F.col("two")).otherwise(F.col("one")), F.col("size")).otherwise(0)).alias("held"))
-    gaps = goal.join(held, "src").select("src", (F.col("quota") - F.when(again, F.col("source_size")).otherwise(F.lit(0)) - F.col("held")).alias("gap"))
-    out = ~F.when(again, F.col("two")).otherwise(F.col("one")) & (F.col("size") > 0)
-    miss = F.abs(F.col("size") - F.col("gap"))
+    last = F.when(again, F.col("two")).otherwise(F.col("one"))
+    held = placed.groupBy("src").agg(F.sum(F.when(last, F.col("size")).otherwise(0)).alias("held"))
+    gaps = cut(goal.join(held, "src").select("src", (F.col("quota") - F.when(again, F.col("source_size")).otherwise(F.lit(0)) - F.col("held")).alias("gap")))
+    fits = cut(placed.where(~last & (F.col("size") > 0)).join(gaps, "src").where("size <= gap").select("src", "size", "mark", "doc_id", "at"))
+    late, gaps = _read_on(fits, gaps)
+    # texts without words share their place with a neighbour's and are never late
+    key = ["src", "mark", "at"]
+    late = late.select(*key, "short", F.lit(True).alias("late"))
+    placed = cut(placed.join(late, key, "left").withColumn("late", F.coalesce("late", F.lit(False)) & ~last & (F.col("size") > 0)))
+    # the smallest of the others is larger than the rest: it is taken if that, less what can be left out for it, is nearer
+    out = ~last & ~F.col("late") & (F.col("size") > 0)
     # a large source is spread over salts: first the best of each salt, then of the source
     salted = gaps.where("gap > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    best = F.min(F.struct(miss.alias("miss"), "mark", "doc_id", "size", "at")).alias("f")
-    fillers = placed.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(salted, ["src", "salt"])
-    fillers = fillers.where(out & (miss < F.col("gap"))).groupBy("src", "salt").agg(best).groupBy("src").agg(F.min("f").alias("f"))
-    fillers = gaps.join(fillers, "src", "left").select("src", "gap", F.col("f.at").alias("f_at"), F.col("f.mark").alias("f_mark"), F.col("f.size").alias("f_size"))
-    fillers = cut(fillers)  # a table of its own: adaptive execution can then split the large source's side of the join
-    chosen = (F.col("mark") == F.col("f_mark")) & (F.col("at") == F.col("f_at")) & (F.col("size") == F.col("f_size"))
-    extra = F.coalesce(chosen, F.lit(False)) & out
+    best = F.min(F.struct("size", "mark", "doc_id", "at")).alias("f")
+    fillers = placed.where(out).withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(salted, ["src", "salt"])
+    fillers = fillers.groupBy("src", "salt").agg(best).groupBy("src").agg(F.min("f").alias("f"))
+    fillers = cut(gaps.join(fillers, "src", "left").select("src", "gap", F.col("f.at").alias("f_at"), F.col("f.mark").alias("f_mark"), F.col("f.size").alias("f_size")))
+    over = cut(fillers.where("f_size > gap").select("src", (F.col("f_size") - F.col("gap")).alias("gap")))
+    held = placed.where((last | F.col("late")) & (F.col("size") > 0)).join(over, "src").where("size <= gap")
+    # from the end of the order, so that no hole is left in it
+    less, over = _read_on(cut(held.select("src", "size", F.bitwise_not("mark").alias("mark"), "doc_id", "at")), over)
+    fillers = fillers.join(over.withColumnRenamed("gap", "over"), "src", "left")
+    fillers = cut(fillers.withColumn("use", F.coalesce(F.col("over") < F.col("gap"), F.lit(False))))
+    less = less.join(fillers.where("use"), "src", "left_semi").select("src", F.bitwise_not("mark").alias("mark"), "at", F.lit(True).alias("less"))
+    placed = placed.join(less, key, "left").withColumn("less", F.coalesce("less", F.lit(False)) & (F.col("size") > 0))
+    chosen = F.col("use") & (F.col("mark") == F.col("f_mark")) & (F.col("at") == F.col("f_at")) & (F.col("size") == F.col("f_size"))
+    extra = (F.coalesce(chosen, F.lit(False)) & out) | (F.col("late") & ~F.col("less"))
     block = lambda words: F.least(F.floor(words / block_words), F.col("n") - 1).cast("long")
-    filled = block(F.col("quota") - F.col("gap"))
+    filled = block(F.col("quota") - F.when(F.col("late"), F.col("short")).otherwise(F.col("gap")))
     copies = placed.join(fillers, "src").select(
         "doc_id", "src", "size", "source_size", "target", "pos", "mark",
-        F.when(F.col("one"), block(F.col("at"))).when(extra & ~again, filled).alias("block_1"),
-        F.when(F.col("two"), block(F.col("at") + F.col("source_size"))).when(extra & again, filled).alias("block_2"))
+        F.when(F.col("one") & (again | ~F.col("less")), block(F.col("at"))).when(extra & ~again, filled).alias("block_1"),
+        F.when(F.col("two") & ~F.col("less"), block(F.col("at") + F.col("source_size"))).when(extra & again, filled).alias("block_2"))
     # the tree deals the blocks to shards
     blocks = goal.agg(F.sum("n")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, blocks) / shard_blocks)))

@@ -236,6 +236,19 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(r.t - r.n) <= 20 for r in share)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing_goes_on_behind_a_long_document(spark, seed):
+    # in each of four sources one text is as long as all others together
+    size = F.when(F.col("id") < 4, 15_000).otherwise(F.lit(100) + F.col("id") % 3)
+    many = spark.range(604).withColumn("s", size).selectExpr("id AS doc_id", "repeat('w ', cast(s AS int)) AS text", "cast(id % 4 AS string) AS source")
+    got = mixing.allocate(many, weights=(5, 4, 3, 2), block_words=1000, shard_blocks=16, seed=seed).collect()
+    taken = Counter()
+    for r in got:
+        assert r.taken == r.size * ((r.shard_1 is not None) + (r.shard_2 is not None)) <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(r.target - taken[r.source]) <= 105 for r in got)  # one short text
+
+
 def test_splitting_tree_is_exact_and_fair(spark):
     quotas = spark.createDataFrame([(0, 700), (1, 123), (2, 1), (3, 0)], "pos int, n long")
     tree = mixing.split_tree(quotas, 3, 7).collect()
