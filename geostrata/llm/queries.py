@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, topk
+from geostrata.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, topk
 from geostrata.llm.common import table
 from geostrata.llm.oracles import ORACLES
+from geostrata.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,4 +78,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, end_id=2)
+    return token_files.read(spark, folder)
+
+
 __all__ = ["ORACLES", "QUERIES"]
