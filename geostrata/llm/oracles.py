@@ -56,3 +56,62 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 ORACLES = {"op5_embedding_dedup": _EMBEDDINGS, "op7_secrets": _secrets(), "op10_topk": _TOPK}
+
+# reads a checksum's bits one by one; repairs by carrying whole strings forward, state by state
+_REPAIR = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+cases AS (
+  SELECT *, xor(list_reduce([4294967295] || flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(key, '')]),
+                lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 20 AS k FROM keyed),
+dealt AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM cases WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM dealt),
+judged AS (
+  SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
+emits(s, x, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+more(s, t, letters, names) AS (VALUES
+  (0, 0, '', []::VARCHAR[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']),
+  (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+  (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])),
+ways AS (
+  SELECT s, 'D' AS letter, s AS t, NULL AS x, 2 AS cost FROM (VALUES (0), (1), (2), (3)) v(s)
+  UNION ALL SELECT s, 'K', t, x, 0 FROM emits
+  UNION ALL SELECT s, 'R', t, x, 1 FROM emits WHERE x <> 's'),
+walk AS (
+  SELECT conv_id, 0 AS i, 0 AS s, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM placed WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, t, best.cost, best.audit, best.said FROM (
+    SELECT w.conv_id, j.i, y.t, min(struct_pack(
+             cost := w.cost + 5 * length(m.letters) + y.cost + CASE WHEN j.fault = 'truncated' AND y.letter <> 'D' THEN 5 ELSE 0 END,
+             audit := w.audit || m.letters || y.letter,
+             said := w.said || m.names || CASE y.letter WHEN 'D' THEN [] WHEN 'K' THEN [j.role || ':' || j.text]
+                                          ELSE [CASE y.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || j.text] END)) AS best
+    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+    JOIN more m ON m.s = w.s JOIN ways y ON y.s = m.t
+    WHERE y.letter = 'D' OR (j.fault IN ('fine', 'truncated') AND (y.letter = 'R' OR y.x = j.ini))
+    GROUP BY w.conv_id, j.i, y.t)),
+ended AS (
+  SELECT w.conv_id, min(struct_pack(cost := w.cost + 5 * length(m.letters), audit := w.audit || m.letters, said := w.said || m.names)) AS best
+  FROM walk w JOIN (SELECT conv_id, max(i) AS n FROM placed GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.n = w.i
+  JOIN more m ON m.s = w.s WHERE m.t IN (0, 3) GROUP BY w.conv_id),
+counted AS (
+  SELECT conv_id, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, CAST(COALESCE(blank, 0) AS BIGINT) AS blank,
+       CAST(COALESCE(duplicate, 0) AS BIGINT) AS duplicate, CAST(COALESCE(truncated, 0) AS BIGINT) AS truncated,
+       CAST(COALESCE(illegal, 0) AS BIGINT) AS illegal, CAST(COALESCE(best.cost, 0) AS BIGINT) AS cost,
+       COALESCE(best.audit, '') AS audit, sha256(COALESCE(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+ORACLES["op12_turn_repair"] = _REPAIR

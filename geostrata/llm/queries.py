@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, topk
+from geostrata.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, topk, turn_repair
 from geostrata.llm.common import table
 from geostrata.llm.oracles import ORACLES
 from geostrata.session import scratch_path
@@ -85,4 +85,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.audited(turn_repair.damaged(conversations), conversations.select("conv_id"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
