@@ -115,3 +115,21 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 ORACLES["op12_turn_repair"] = _REPAIR
+
+_TERMS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents),
+t AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(CAST(len(terms) AS BIGINT)) AS n, term, count(*) AS tf
+      FROM (SELECT rid, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY rid, term),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+q AS (SELECT iid, any_value(item_id) AS item_id, term, count(*) AS times
+      FROM (SELECT row_number() OVER () AS iid, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY iid, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term),
+s AS (SELECT iid, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id,
+             CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN w USING (term), c GROUP BY iid, rid),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+ORACLES["op13_lexical_search"] = _LEXICAL

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, embedding_dedup, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, topk, turn_repair
+from geostrata.llm import chat, embedding_dedup, lexical_search, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, topk, turn_repair
 from geostrata.llm.common import table
 from geostrata.llm.oracles import ORACLES
 from geostrata.session import scratch_path
@@ -91,4 +91,9 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.audited(turn_repair.damaged(conversations), conversations.select("conv_id"))
 
 
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
 __all__ = ["ORACLES", "QUERIES"]
