@@ -10,11 +10,14 @@ range and of earlier documents of the file.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import ship, text_of
+from geostrata.llm.tokens import NOT_LATIN
 from geostrata.llm.wavelet import WaveletFile, encode
 
 SHARD_TOKENS = 1 << 22
 MANIFEST = "part int, file_no int, file string, docs long, tokens long, bytes long"
-HELD_WORDS, LONGEST_WORD = 500_000, 64
+HELD_WORDS, LONGEST_WORD = 400_000, 64
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in a byte-level vocabulary
+SHOWN = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _OWN))}
 
 
 def default_tokenizer() -> str:
@@ -41,6 +47,9 @@ class WordEncoder(dict):
 
     Such a tokenizer's tokens never cross white space, so a text's ids are those of its words, each asked for once and
     then held. Words are parted at the six ASCII spaces only; the library sees to all others.
+
+    Where the file's normalizer only composes, folds white space and lower-cases, and its pattern takes letters together
+    and other signs apart, the library's model is asked for a Latin word's letters and the signs behind them directly.
     """
 
     def __init__(self, path: str):
@@ -48,16 +57,48 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model if self._plain(path) else None
         probe = self.ids("so it's a b\tc\nd")
         if probe != b"".join(self.ids(w) for w in "so it's a b c d".split()):
             raise ValueError("the tokenizer does not drop white space")
 
+    @staticmethod
+    def _plain(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        norm, pre, special = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}, file.get("added_tokens", [])
+        return (
+            [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [n["type"] for n in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and pre["pretokenizers"][0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and not any(t["content"].isalnum() or t["content"][:-1].isalnum() for t in special)
+        )
+
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(self.parts) >= HELD_WORDS:
+                self.parts.clear()
+            self.parts[part] = found
+        return found
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.model is not None and len(word) <= LONGEST_WORD and (text.isascii() or NOT_LATIN.search(text) is None):
+            low = text.lower()
+            letters = low.rstrip(punctuation)
+            if letters.isalpha():
+                return self._part(letters) + self._part(low[len(letters):]) if len(letters) < len(low) else self._part(low)
+        return self.ids(text)
+
     def __missing__(self, word: bytes) -> bytes:
-        found = self.ids(word.decode("utf-8", "replace"))
+        found = self._new(word)
         if len(word) <= LONGEST_WORD:
             if len(self) >= HELD_WORDS:
                 self.clear()
