@@ -167,9 +167,7 @@ class Search:
 
     def run(self, trie: Trie) -> None:
         every = np.flatnonzero(self.starts[1:] > self.starts[:-1])
-        if not len(every) or not trie.m.size:
-            return
-        todo = [(trie.root, every)]
+        todo = [(trie.root, every)] if len(every) else []
         while todo:
             node, items = todo.pop()
             flat, factor, edges = self._of(items)
@@ -235,6 +233,8 @@ def _searched(asked: Asked, weights: np.ndarray, rank: np.ndarray, total: int, l
         search, held, entries = Search(own, by_rank, k), {}, 0
 
         def finish() -> None:
+            if not held:
+                return
             keys = list(held)
             vectors = [(np.frombuffer(t, np.int64), np.frombuffer(c, np.int64)) for t, c, _ in keys]
             ids = [sorted(held[key], key=lambda x: (x is None, x))[:k] for key in keys]
