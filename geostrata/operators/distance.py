@@ -223,13 +223,19 @@ def knn_edges(
     lat: str = "lat",
     lng: str = "lng",
     metric: str = "plane",
+    report: dict | None = None,
 ) -> DataFrame:
     """``k`` nearest other points of each point: ``(src, dst, d, rank)``.
 
-    ``plane`` measures on raw (lng, lat) degrees, ``sphere`` on the unit sphere. Ties (equal to nine
-    decimals) go to the smaller id. The search radius doubles for places that are still short of
-    neighbours, so crowded and empty regions both stay near-linear; at one location only the k+1
-    smallest ids can be anybody's neighbour, which keeps stacked copies from pairing up.
+    ``plane`` measures on raw (lng, lat) degrees, ``sphere`` on the unit sphere. Ties (equal to nine decimals) go to the
+    smaller id. At one location only the k+1 smallest ids can be anybody's neighbour, which keeps stacked copies from
+    pairing up.
+
+    Space is split into cells by their counts (``_leaves``), so every place has a cell of its own scale. Its distance to
+    the k-th other point of that cell bounds the distance that has to be searched; the search then meets the cells that
+    a ball of that radius touches, at the level where these are at most two per axis. A thinly filled cell is only
+    searched from as few places as it holds, so the pairs stay in proportion to the points. ``report`` gets the
+    rounds of splitting and the number of pairs compared.
     """
     if metric == "plane":
         coords = [col(lng).cast("double"), col(lat).cast("double")]
@@ -246,43 +252,32 @@ def knn_edges(
         pts.withColumn("_rn", F.row_number().over(by_place)).filter(F.col("_rn") <= k + 1)
         .withColumnRenamed("src", "dst")
     )
-    places = cands.filter("_rn = 1").select(*dims)
-    extent = places.agg(
+    extent = cands.agg(
         F.count("*").alias("n"), *[F.min(d).alias(f"lo{d}") for d in dims], *[F.max(d).alias(f"hi{d}") for d in dims]
     ).first()
     if not extent["n"]:
         return pts.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
-    spans = sorted((extent[f"hi{d}"] - extent[f"lo{d}"] for d in dims), reverse=True)
-    reach = math.sqrt(sum(s * s for s in spans)) + 1e-6
-    radius = _first_radius(cands, dims, spans, extent["n"], k, reach)
-
-    found, open_ = [], places
-    while True:
-        last = radius >= reach
-        if last:
-            ready, waiting = open_, None
-        else:
-            # places in a thinly filled cell cannot be done yet and skip this round's search
-            cells = [F.floor(F.col(d) / (2 * radius)).alias(f"_g{i}") for i, d in enumerate(dims)]
-            full = cands.groupBy(*cells).agg(F.count("*").alias("_n")).filter(F.col("_n") > k)
-            marked = cut(
-                open_.select(*dims, *cells).join(full, [f"_g{i}" for i in range(len(dims))], "left")
-                .select(*dims, F.col("_n").isNotNull().alias("_go"))
-            )
-            ready, waiting = marked.filter("_go").select(*dims), marked.filter("not _go").select(*dims)
-        top = cut(_nearest_in_radius(ready, cands, dims, radius, k + 1))
-        if last:
-            found.append(top.select(*dims, "near"))
-            break
-        settled = (F.size("near") == k + 1) & (F.col("worst") <= radius - 1e-8)
-        found.append(top.filter(settled).select(*dims, "near"))
-        open_ = waiting.unionByName(top.filter(~settled).select(*dims))
-        if open_.isEmpty():
-            break
-        radius = min(radius * 2, reach)
-    near = found[0]
-    for f in found[1:]:
-        near = near.unionByName(f)
+    grid = _Grid(dims, [extent[f"lo{d}"] for d in dims], max(extent[f"hi{d}"] - extent[f"lo{d}"] for d in dims))
+    leaves, rounds = _leaves(cands, grid, extent["n"], k)
+    own, alone = leaves.filter("_own"), leaves.filter("not _own")
+    inside = grid.met(own.withColumns(grid.cell("_lev")), cands)
+    bounds = inside.groupBy(*dims).agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k)).alias("_r"))  # at most LEAF * (k + 1) each
+    bounds = bounds.withColumn("_r", F.coalesce("_r", grid.diagonal(F.lit(0))))
+    bounds = bounds.unionByName(alone.select(*dims, grid.diagonal(F.col("_lev")).alias("_r")))
+    balls = cut(bounds.withColumn("_r", F.col("_r") + 1e-8))
+    level = F.floor(F.log2(F.lit(grid.width) / (2 * F.col("_r"))))
+    balls = balls.withColumn("_lev", F.greatest(F.lit(0), F.least(F.lit(DEEPEST), level)).cast("int"))
+    for i, d in enumerate(dims):
+        ends = [F.call_function("shiftright", grid.place(F.col(d) + sign * F.col("_r"), i), F.lit(DEEPEST) - F.col("_lev")) for sign in (-1, 1)]
+        balls = balls.withColumn(f"_q{i}", F.explode(F.array_distinct(F.array(*ends))))
+    pairs = grid.met(balls, cands, ["_r"]).filter(F.col("d") <= F.col("_r"))
+    w = Window.partitionBy(*dims).orderBy("d", "dst")
+    near = cut(
+        pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k + 1)
+        .groupBy(*dims).agg(F.array_sort(F.collect_list(F.struct("d", "dst"))).alias("near"))
+    )
+    if report is not None:
+        report |= {"rounds": rounds, "pairs": inside.count() + grid.met(balls, cands, ["_r"]).count()}
 
     sizes = pts.groupBy(*dims).agg(F.count("*").alias("_n"))
     lists = near.join(sizes, dims)
@@ -294,42 +289,98 @@ def knn_edges(
     )
 
 
-def _first_radius(cands, dims, spans, n, k, reach):
-    """Start where an even spread gives about k+1 points, and shrink while any cell is crowded."""
-    area = max(spans[0], 1e-9) * max(spans[1], 1e-9)
-    radius = min(max(math.sqrt(area * (k + 1) / (math.pi * n)), 1e-9), reach)
-    goal = 4 * (k + 1)
-    while radius > 1e-9:
-        cells = cands.groupBy(*[F.floor(F.col(d) / radius).alias(d) for d in dims]).count()
-        most = cells.agg(F.max("count")).first()[0]
-        if most <= goal:
-            break
-        radius /= max(1.3, math.sqrt(most / goal))
-    return radius
+DEEPEST = 26  # halvings of an axis
+LEAF = 16  # times k + 1: points in a cell that is not split further
+STEP = 2  # halvings of an axis at a time
 
 
-def _nearest_in_radius(open_, cands, dims, radius, m):
-    steps = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-    left = open_.withColumns({f"_c{i}": F.floor(F.col(d) / radius) for i, d in enumerate(dims)})
-    for i in range(len(dims)):
-        left = left.withColumn("_s", F.explode(steps)).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_s"))
-    right = cands.select(
-        "dst",
-        *[F.col(d).alias(f"_y{i}") for i, d in enumerate(dims)],
-        *[F.floor(F.col(d) / radius).alias(f"_c{i}") for i, d in enumerate(dims)],
-    )
-    square = F.lit(0.0)
-    for i, d in enumerate(dims):
-        diff = F.col(d) - F.col(f"_y{i}")
-        square = square + diff * diff
-    pairs = (
-        left.drop("_s").join(right, [f"_c{i}" for i in range(len(dims))])
-        .select(*dims, "dst", F.round(F.sqrt(square), 9).alias("d"))
-        .filter(F.col("d") <= radius)
-    )
-    w = Window.partitionBy(*dims).orderBy("d", "dst")
-    return (
-        pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= m)
-        .groupBy(*dims)
-        .agg(F.array_sort(F.collect_list(F.struct("d", "dst"))).alias("near"), F.max("d").alias("worst"))
-    )
+class _Grid:
+    """Cells of 2**level per axis over the square (or cube) that holds all points."""
+
+    def __init__(self, dims: Sequence[str], low: Sequence[float], span: float):
+        self.dims, self.low, self.width = list(dims), low, max(span, 1e-9) * (1 + 1e-9)
+        self.keys = [f"_q{i}" for i in range(len(dims))]
+
+    def place(self, x: Column, axis: int) -> Column:
+        """Number of the deepest cell on an axis; never falls as x grows."""
+        at = F.floor((x - F.lit(self.low[axis])) / self.width * float(1 << DEEPEST))
+        return F.greatest(F.lit(0), F.least(F.lit((1 << DEEPEST) - 1), at)).cast("long")
+
+    def cell(self, level: str | int) -> dict[str, Column]:
+        up = F.lit(DEEPEST) - (F.col(level) if isinstance(level, str) else F.lit(level))
+        return {q: F.call_function("shiftright", self.place(F.col(d), i), up) for i, (q, d) in enumerate(zip(self.keys, self.dims))}
+
+    def diagonal(self, level: Column) -> Column:
+        return F.lit(self.width * math.sqrt(len(self.dims))) / F.pow(F.lit(2.0), level)
+
+    def met(self, asking: DataFrame, cands: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``(dims, keep, dst, d)``: every asking place with the candidates of the cells it names by level and keys."""
+        levels = [r[0] for r in asking.select("_lev").distinct().collect()]  # at most DEEPEST + 1
+        asked = asking.select(*self.dims, *keep, F.col("_lev").alias("_l"), *self.keys)
+        there = cands.select(
+            "dst", *[F.col(d).alias(f"_y{i}") for i, d in enumerate(self.dims)], *self.dims,
+            F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])).alias("_l"),
+        ).withColumns(self.cell("_l")).drop(*self.dims)
+        cells = asked.select("_l", *self.keys).distinct()
+        there = there.join(cells, ["_l", *self.keys], "left_semi")
+        square = F.lit(0.0)
+        for i, d in enumerate(self.dims):
+            diff = F.col(d) - F.col(f"_y{i}")
+            square = square + diff * diff
+        return asked.join(there, ["_l", *self.keys]).select(*self.dims, *keep, "dst", F.round(F.sqrt(square), 9).alias("d"))
+
+
+def _leaves(cands: DataFrame, grid: _Grid, n: int, k: int) -> tuple[DataFrame, int]:
+    """``(dims, _lev, _own)`` of every place and the rounds it took: the level of a cell around the place with more than k points.
+
+    Cells of the middle level are split while they hold more than ``LEAF * (k + 1)`` points and joined to their parents
+    while they hold k or fewer. ``_own``: the cell holds few enough points to be searched as a whole. A place
+    in an almost empty part of a crowded cell takes that cell's level without searching it.
+    """
+    most, keys = LEAF * (k + 1), grid.keys
+    start = max(0, min(DEEPEST, round(math.log2(max(1.0, n / (3.0 * (k + 1)))) / 2)))
+    counts = cut(cands.groupBy(*[c.alias(q) for q, c in grid.cell(start).items()]).agg(F.count("*").alias("_n")))
+    places = cands.filter("_rn = 1").select(*grid.dims)
+    found, rounds = [], 1
+
+    # upwards: the cells of the middle level that are too thin, with the level where they are not
+    up, thin, parents = start, counts.filter(F.col("_n") <= k).select(*keys), counts
+    thin_cells = None
+    while thin is not None:
+        if up == 0:
+            step, thin = thin.withColumns({"_lev": F.lit(0), "_own": F.lit(True)}), None
+        else:
+            lift, up, rounds = min(STEP, up), max(0, up - STEP), rounds + 1
+            parents = cut(parents.groupBy(*[F.shiftright(q, lift).alias(q) for q in keys]).agg(F.sum("_n").alias("_n")))
+            lifted = [F.shiftright(q, start - up).alias(f"_p{i}") for i, q in enumerate(keys)]
+            above = parents.select(*[F.col(q).alias(f"_p{i}") for i, q in enumerate(keys)], "_n")
+            seen = cut(thin.select(*keys, *lifted).join(above, [f"_p{i}" for i in range(len(keys))]))
+            step = seen.filter(F.col("_n") > k).select(*keys, F.lit(up).alias("_lev"), (F.col("_n") <= most).alias("_own"))
+            thin = seen.filter(F.col("_n") <= k).select(*keys)
+            if thin.isEmpty():
+                thin = None
+        thin_cells = step if thin_cells is None else thin_cells.unionByName(step)
+    even = counts.filter((F.col("_n") > k) & (F.col("_n") <= most)).select(*keys, F.lit(start).alias("_lev"), F.lit(True).alias("_own"))
+    settled = thin_cells.unionByName(even)
+    found.append(places.withColumns(grid.cell(start)).join(settled, keys).select(*grid.dims, "_lev", "_own"))
+
+    # downwards: points of crowded cells only
+    level, crowded = start, counts.filter(F.col("_n") > most).select(*keys)
+    while not crowded.isEmpty():
+        here = cands.withColumns(grid.cell(level)).join(crowded, keys, "left_semi").drop(*keys)
+        if level == DEEPEST:
+            found.append(here.filter("_rn = 1").select(*grid.dims, F.lit(level).alias("_lev"), F.lit(False).alias("_own")))
+            break
+        split = min(STEP, DEEPEST - level)
+        level, rounds = level + split, rounds + 1
+        here = cut(here.withColumns(grid.cell(level)))
+        sizes = cut(here.groupBy(*keys).agg(F.count("*").alias("_n")))
+        fits = sizes.filter(F.col("_n") <= most).select(
+            *keys, F.when(F.col("_n") <= k, level - split).otherwise(level).alias("_lev"), (F.col("_n") > k).alias("_own"))
+        found.append(here.filter("_rn = 1").join(fits, keys).select(*grid.dims, "_lev", "_own"))
+        crowded = sizes.filter(F.col("_n") > most).select(*keys)
+        cands = here.drop(*keys)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return cut(out), rounds

@@ -28,19 +28,23 @@ class Fit:
 
     def rows(self):
         out = []
-        for term, b, s in zip(self.terms, self.beta, self.se):
-            t = float(b / s) if s > 0 else None
-            out.append((term, float(b), float(s), t, two_sided(t, self.dof)))
+        for term in self.terms:
+            b, s = self.coef(term), self.std_err(term)
+            t = b / s if s else None
+            out.append((term, b, s, t, two_sided(t, self.dof)))
         return out
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows(), COEFFICIENTS)
 
-    def coef(self, term: str) -> float:
-        return float(self.beta[self.terms.index(term)])
+    def coef(self, term: str) -> float | None:
+        """Null for a term that was dropped."""
+        b = float(self.beta[self.terms.index(term)])
+        return None if math.isnan(b) else b
 
-    def std_err(self, term: str) -> float:
-        return float(self.se[self.terms.index(term)])
+    def std_err(self, term: str) -> float | None:
+        s = float(self.se[self.terms.index(term)])
+        return None if math.isnan(s) else s
 
 
 def cross_moments(df: DataFrame, columns: Sequence[str | Column]) -> np.ndarray:

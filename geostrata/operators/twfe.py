@@ -1,9 +1,12 @@
 """Two-way fixed effects, event studies and the tables around them.
 
-``exact`` removes entity and period effects fully on unbalanced panels without iterating: the
-period effects solve a (periods x periods) system whose entries are sums over entities, so three
-aggregations replace a sequence of alternating projections. ``one_pass`` is the balanced-panel
-shortcut x - mean_entity - mean_period + mean.
+``exact`` removes entity and period effects fully on unbalanced panels. Entity effects are means, so only the period
+effects are unknown; their normal equations are solved by conjugate gradients without ever forming the matrix. A step is
+one aggregation over the presence patterns of entities: a number per pattern, then a sum per period. All columns move
+in the same passes. ``one_pass`` is the balanced-panel shortcut x - mean_entity - mean_period + mean.
+
+A regressor that the effects or earlier regressors explain is dropped: its coefficient and error are null and its name
+stands in the fit's ``dropped``.
 """
 
 from __future__ import annotations
@@ -22,12 +25,17 @@ from geostrata.session import cut
 
 PRE, POST = 3, 4
 MAX_PERIODS = 2000
+COLLINEAR = 1e-10
 
 
 def demean(
     df: DataFrame, columns: Sequence[str], entity: str, time: str, method: str = "one_pass"
 ) -> DataFrame:
     """Replace ``columns`` by their two-way within transform (rows with a null are left out)."""
+    return _demeaned(df, columns, entity, time, method)[0]
+
+
+def _demeaned(df, columns, entity, time, method):
     columns = list(columns)
     data = df.dropna(subset=[entity, time, *columns])
     per_entity = cut(
@@ -41,52 +49,55 @@ def demean(
         new = {
             c: F.col(c) - F.col(f"_e_{c}") - F.col(f"_t_{c}") + F.lit(grand[c]) for c in columns
         }
-        return out.withColumns(new).drop(*[f"_{s}_{c}" for s in "et" for c in columns])
+        return out.withColumns(new).drop(*[f"_{s}_{c}" for s in "et" for c in columns]), {}
     if method != "exact":
         raise ValueError(f"unknown demeaning method: {method}")
     return _exact(data, joined, columns, entity, time)
 
 
 def _exact(data, joined, columns, entity, time):
+    """The within transform and ``{"rounds", "patterns"}`` of the solution."""
+    spark = data.sparkSession
     counts = cut(data.groupBy(entity, time).agg(F.count("*").cast("double").alias("c")))
     per_time = counts.groupBy(time).agg(F.sum("c").alias("n")).limit(MAX_PERIODS + 1).collect()
     if len(per_time) > MAX_PERIODS:
         raise ValueError("too many periods for two-way effects")
-    periods = sorted(r[time] for r in per_time)
+    held = {r[time]: r["n"] for r in per_time}
+    periods = sorted(held)
     at = {t: i for i, t in enumerate(periods)}
-    a = np.zeros((len(periods), len(periods)))
-    for r in per_time:
-        a[at[r[time]], at[r[time]]] += r["n"]
+    time_type = data.schema[time].dataType.simpleString()
+    named = F.broadcast(spark.createDataFrame(list(at.items()), f"`{time}` {time_type}, _i int"))  # at most MAX_PERIODS rows
     # entities with the same presence pattern are one row; a pattern has at most one entry a period
-    patterns = (
-        counts.groupBy(entity)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), "c"))).alias("p"), F.sum("c").alias("n"))
+    patterns = cut(
+        counts.join(named, time).groupBy(entity)
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("t"), "c"))).alias("p"), F.sum("c").alias("n"))
         .groupBy("p").agg(F.sum(F.lit(1.0) / F.col("n")).alias("w"))
     )
-    overlap = (
-        patterns.select("w", "p", F.explode("p").alias("one"))
-        .select("w", "one", F.explode("p").alias("two"))
-        .groupBy(F.col("one.t").alias("t"), F.col("two.t").alias("s"))
-        .agg(F.sum(F.col("w") * F.col("one.c") * F.col("two.c")).alias("v"))
-        .collect()
-    )
-    for r in overlap:
-        a[at[r["t"]], at[r["s"]]] -= r["v"]
-    inv = np.linalg.pinv(a, rcond=1e-10)
-
-    sums = joined.groupBy(time).agg(
-        *[F.sum(F.col(c) - F.col(f"_e_{c}")).alias(c) for c in columns]
-    ).collect()
-    effects = {}
-    for c in columns:
-        b = np.zeros(len(periods))
-        for r in sums:
-            b[at[r[time]]] = r[c]
-        effects[c] = inv @ b
-    time_type = data.schema[time].dataType.simpleString()
-    table = data.sparkSession.createDataFrame(
-        [(t, *[float(effects[c][i]) for c in columns]) for t, i in at.items()],
-        f"{time} {time_type}, " + ", ".join(f"`_f_{c}` double" for c in columns),
+    sums = joined.groupBy(time).agg(*[F.sum(F.col(c) - F.col(f"_e_{c}")).alias(c) for c in columns]).collect()
+    target = np.zeros((len(periods), len(columns)))
+    for r in sums:
+        target[at[r[time]]] = [r[c] for c in columns]
+    own = np.array([held[t] for t in periods])
+
+    def applied(v: np.ndarray) -> np.ndarray:
+        """Period sums of what is left of period effects ``v`` when entity means are taken off."""
+        one = spark.createDataFrame([(1, v.T.tolist())], "one int, v array<array<double>>")
+
+        def mean(j: int):
+            return F.aggregate("p", F.lit(0.0), lambda s, x: s + x["c"] * F.col("v")[j][x["t"]]) * F.col("w")
+
+        means = [mean(j) for j in range(v.shape[1])]
+        rows = patterns.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").select("p", F.array(*means).alias("m"))
+        parts = rows.select(F.explode("p").alias("x"), "m").groupBy("x.t").agg(*[F.sum(F.col("x.c") * F.col("m")[j]).alias(f"s{j}") for j in range(v.shape[1])])
+        out = own[:, None] * v
+        for r in parts.collect():
+            out[r[0]] -= r[1:]
+        return out
+
+    effects, rounds = conjugate_gradients(applied, target, own, 4 * len(periods) + 50)
+    table = spark.createDataFrame(
+        [(t, *map(float, effects[i])) for t, i in at.items()],
+        f"`{time}` {time_type}, " + ", ".join(f"`_f_{c}` double" for c in columns),
     )
     with_effects = joined.join(F.broadcast(table), time)  # at most MAX_PERIODS rows
     mean_effects = (
@@ -97,34 +108,88 @@ def _exact(data, joined, columns, entity, time):
     new = {
         c: F.col(c) - F.col(f"_e_{c}") - F.col(f"_f_{c}") + F.col(f"_g_{c}") for c in columns
     }
-    return out.withColumns(new).drop(*[f"_{s}_{c}" for s in "efg" for c in columns])
+    return out.withColumns(new).drop(*[f"_{s}_{c}" for s in "efg" for c in columns]), {"rounds": rounds, "patterns": patterns.count()}
+
+
+def conjugate_gradients(applied, target: np.ndarray, diagonal: np.ndarray, most: int, tolerance: float = 1e-12) -> tuple[np.ndarray, int]:
+    """Solve ``applied(x) = target`` for a positive semidefinite map, column by column in common passes.
+
+    ``diagonal`` scales the residual. Returns the solution and the number of passes. A column that has converged
+    stands still; ``ValueError`` when one has not after ``most`` passes.
+    """
+    x, r = np.zeros_like(target), target.copy()
+    scale = np.maximum(np.abs(target).max(0, initial=0.0), np.finfo(float).tiny)
+    z = r / diagonal[:, None]
+    d, rz, passes = z.copy(), (r * z).sum(0), 0
+    while (active := np.abs(r).max(0, initial=0.0) > tolerance * scale).any():
+        if passes >= most:
+            if (np.abs(r).max(0) > 1e-8 * scale).any():
+                raise ValueError("period effects did not converge")
+            break
+        passes += 1
+        ad = applied(d)
+        curve = (d * ad).sum(0)
+        go = active & (curve > 0)
+        if not go.any():
+            break
+        step = np.where(go, rz / np.where(go, curve, 1.0), 0.0)
+        x, r = x + step * d, r - step * ad
+        z = r / diagonal[:, None]
+        now = (r * z).sum(0)
+        d = np.where(go, z + np.where(rz > 0, now / np.where(rz > 0, rz, 1.0), 0.0) * d, 0.0)
+        rz = now
+    return x, passes
+
+
+def kept_terms(moments: np.ndarray, raw: Sequence[float], tolerance: float = COLLINEAR) -> list[int]:
+    """Places of regressors that the earlier kept ones leave more than ``tolerance`` of their raw sum of squares."""
+    kept: list[int] = []
+    for j, size in enumerate(raw):
+        rest = moments[j, j]
+        if kept:
+            rest = rest - moments[j, kept] @ np.linalg.solve(moments[np.ix_(kept, kept)], moments[kept, j])
+        if rest > tolerance * size:
+            kept.append(j)
+    return kept
 
 
 def within_ols(
     df: DataFrame, y: str, xs: Sequence[str], entity: str, time: str, method: str = "exact"
 ) -> Fit:
-    """Two-way within regression with standard errors clustered by entity."""
+    """Two-way within regression with standard errors clustered by entity.
+
+    Regressors that the effects or earlier regressors explain have no coefficient (``extra["dropped"]``). ``extra``
+    also tells the passes and presence patterns of the exact form.
+    """
     xs = list(xs)
-    dm = cut(demean(df.select(entity, time, y, *xs), [y, *xs], entity, time, method))
+    data = df.select(entity, time, y, *xs)
+    within, solved = _demeaned(data, [y, *xs], entity, time, method)
+    dm = cut(within)
     m = cross_moments(dm, [*xs, y])
-    inv = np.linalg.pinv(m[:-1, :-1])
-    beta = inv @ m[:-1, -1]
-    resid = F.col(y) - linear_index(xs, beta)
-    scores = dm.withColumn("_r", resid).groupBy(entity).agg(
-        *[F.sum(F.col(x) * F.col("_r")).alias(x) for x in xs]
-    )
-    meat = cross_moments(scores, xs)
+    raw = data.dropna().agg(*[F.coalesce(F.sum(F.col(x) * F.col(x)), F.lit(0.0)).cast("double") for x in xs]).first()
+    kept = kept_terms(m[:-1, :-1], raw)
+    names = [xs[i] for i in kept]
+    inv = np.linalg.inv(m[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
+    beta = inv @ m[kept, -1]
+    resid = F.col(y) - linear_index(names, beta)
+    meat = np.zeros((0, 0))
+    if kept:
+        scores = dm.withColumn("_r", resid).groupBy(entity).agg(*[F.sum(F.col(x) * F.col("_r")).alias(x) for x in names])
+        meat = cross_moments(scores, names)
     row = dm.withColumn("_r", resid).agg(
         F.count("*").alias("n"), F.sum(F.col("_r") * F.col("_r")).alias("rss"), F.var_pop(y).alias("v")
     ).first()
     size = dm.agg(F.countDistinct(entity).alias("g"), F.countDistinct(time).alias("t")).first()
-    n, k, g = row["n"], len(xs), size["g"]
+    n, k, g = row["n"], len(kept), size["g"]
     adjust = (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
     cov = inv @ meat @ inv * adjust
     tss = (row["v"] or 0.0) * n
+    coefs, errors = np.full(len(xs), np.nan), np.full(len(xs), np.nan)
+    coefs[kept], errors[kept] = beta, np.sqrt(np.maximum(np.diag(cov), 0))
     return Fit(
-        xs, beta, np.sqrt(np.maximum(np.diag(cov), 0)), n, max(g - 1, 1),
-        {"n_entities": g, "n_times": size["t"], "r2_within": 1 - row["rss"] / tss if tss else None},
+        xs, coefs, errors, n, max(g - 1, 1),
+        {"n_entities": g, "n_times": size["t"], "r2_within": 1 - row["rss"] / tss if tss else None,
+         "dropped": [x for x in xs if x not in names], **solved},
     )
 
 
@@ -164,7 +229,7 @@ def event_study(panel: DataFrame, rate: str, entity: str, time: str, method: str
             rows.append((r, 0.0, 0.0, 1.0))
             continue
         b, s = fit.coef(names[r]), fit.std_err(names[r])
-        t = b / s if s > 0 else None
+        t = b / s if s else None
         rows.append((r, b, s, two_sided(t, fit.dof)))
         if r < 0 and t is not None:
             worst = max(worst, abs(t))
@@ -173,7 +238,7 @@ def event_study(panel: DataFrame, rate: str, entity: str, time: str, method: str
 
 def ring_sensitivity(panel: DataFrame, rate: str, entity: str, time: str,
                      strengths: dict[str, str], method: str = "exact") -> tuple[list[dict], dict]:
-    """Refit under several strength definitions and compare slopes on a common scale."""
+    """Refit under several strength definitions and compare slopes on a common scale; dropped terms are null."""
     rows = []
     for name, column in strengths.items():
         fit = twfe(panel, rate, entity, time, column, method)
@@ -181,14 +246,14 @@ def ring_sensitivity(panel: DataFrame, rate: str, entity: str, time: str,
         b, p = fit.coef("post_x_strength"), fit.coef("post")
         rows.append({
             "variant": name, "coef": b, "se": fit.std_err("post_x_strength"), "post_coef": p,
-            "strength_mean_treated": mean, "slope_per_relative_exposure": b * mean,
-            "effect_at_treated_mean": p + b * mean, "n_obs": fit.n,
+            "strength_mean_treated": mean, "slope_per_relative_exposure": None if None in (b, mean) else b * mean,
+            "effect_at_treated_mean": None if None in (b, p, mean) else p + b * mean, "n_obs": fit.n,
         })
-    slopes = [r["slope_per_relative_exposure"] for r in rows]
-    effects = [r["effect_at_treated_mean"] for r in rows]
+    slopes = [r["slope_per_relative_exposure"] for r in rows if r["slope_per_relative_exposure"] is not None]
+    effects = [r["effect_at_treated_mean"] for r in rows if r["effect_at_treated_mean"] is not None]
     spread = {
-        "slope_spread_pct": (max(slopes) - min(slopes)) / max(slopes) * 100 if max(slopes) else None,
-        "effect_at_mean_spread_pp": (max(effects) - min(effects)) * 100,
+        "slope_spread_pct": (max(slopes) - min(slopes)) / max(slopes) * 100 if slopes and max(slopes) else None,
+        "effect_at_mean_spread_pp": (max(effects) - min(effects)) * 100 if effects else None,
     }
     return rows, spread
 

@@ -32,27 +32,23 @@ def group_demean_exact(spark, sf):
 
 
 _dm = lambda c: f"{c} - AVG({c}) OVER (PARTITION BY entity) - AVG({c}) OVER (PARTITION BY year) + AVG({c}) OVER ()"
-TWFE = f"""{DID}, sm AS (SELECT entity, year, LEAST(GREATEST(chg_rate, -0.5), 0.5) AS y, post * s AS x1, post * 1.0 AS x2 FROM dp WHERE chg_rate IS NOT NULL AND (fe <= 0 OR year - fe BETWEEN -3 AND 4)),
-dmn AS (SELECT entity, year, {_dm('y')} AS y, {_dm('x1')} AS x1, {_dm('x2')} AS x2 FROM sm),
-mm AS (SELECT SUM(x1 * x1) AS a, SUM(x1 * x2) AS b, SUM(x2 * x2) AS c, SUM(x1 * y) AS p, SUM(x2 * y) AS q, COUNT(*) AS n, COUNT(DISTINCT entity) AS g FROM dmn),
-bt AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2, c / (a * c - b * b) AS i11, -b / (a * c - b * b) AS i12, a / (a * c - b * b) AS i22 FROM mm),
-sc AS (SELECT entity, SUM(x1 * (y - b1 * x1 - b2 * x2)) AS u1, SUM(x2 * (y - b1 * x1 - b2 * x2)) AS u2 FROM dmn, bt GROUP BY entity),
-mt AS (SELECT SUM(u1 * u1) AS m11, SUM(u1 * u2) AS m12, SUM(u2 * u2) AS m22 FROM sc),
-se AS (SELECT b1, b2, n, g, SQRT((g / (g - 1.0)) * ((n - 1.0) / (n - 2.0)) * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22)) AS s1,
-  SQRT((g / (g - 1.0)) * ((n - 1.0) / (n - 2.0)) * (i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22)) AS s2 FROM bt, mt)"""
+SAMPLE = "sm AS (SELECT entity, year, LEAST(GREATEST(chg_rate, -0.5), 0.5) AS y, post * s AS x1, post * 1.0 AS x2, year - fe AS tau, fe FROM dp WHERE chg_rate IS NOT NULL AND (fe <= 0 OR year - fe BETWEEN -3 AND 4))"
+_TERM = "CASE gj.i WHEN 0 THEN 'post_x_strength' ELSE 'post' END AS term"
+
 
+def _one_pass(source, xs):
+    return f"dx AS MATERIALIZED (SELECT entity, year, {', '.join(f'{_dm(c)} AS {c}' for c in ['y', *xs])} FROM {source})"
 
-@query("twfe", f"WITH {TWFE} SELECT 'post_x_strength' AS term, {R('b1')} AS coef, {R('s1')} AS std_err, {R('b1 / s1', 4)} AS t FROM se UNION ALL SELECT 'post', {R('b2')}, {R('s2')}, {R('b2 / s2', 4)} FROM se")
+
+@query("twfe", f"""WITH {DID}, {SAMPLE}, {_one_pass('sm', ['x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'], 'sm')}
+SELECT {_TERM}, {R('coef')} AS coef, {R('std_err')} AS std_err, {R('coef / std_err', 4)} AS t FROM gj JOIN ce ON ce.i = gj.i""")
 def twfe(spark, sf):
     fit = T.twfe(cut(did(spark, sf)), "chg_rate", "entity", "year", method="one_pass")
     return plain(fit.table(spark).select("term", "coef", "std_err", F.round("t", 4).alias("t")))
 
 
-SAMPLE = "sm AS (SELECT entity, year, LEAST(GREATEST(chg_rate, -0.5), 0.5) AS y, post * s AS x1, post * 1.0 AS x2, year - fe AS tau, fe FROM dp WHERE chg_rate IS NOT NULL AND (fe <= 0 OR year - fe BETWEEN -3 AND 4))"
-
-
-@query("twfe_exact", f"""WITH {DID}, {SAMPLE}, {demean_steps('sm', ['y', 'x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'])}
-SELECT CASE gj.i WHEN 0 THEN 'post_x_strength' ELSE 'post' END AS term, {R('coef')} AS coef, {R('std_err')} AS std_err FROM gj JOIN ce ON ce.i = gj.i""")
+@query("twfe_exact", f"""WITH {DID}, {SAMPLE}, {demean_steps('sm', ['y', 'x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'], 'sm')}
+SELECT {_TERM}, {R('coef')} AS coef, {R('std_err')} AS std_err FROM gj JOIN ce ON ce.i = gj.i""")
 def twfe_exact(spark, sf):
     fit = T.twfe(cut(did(spark, sf)), "chg_rate", "entity", "year", method="exact")
     return plain(fit.table(spark).select("term", "coef", "std_err"))
@@ -65,22 +61,18 @@ def _event_sql(steps):
     xs = [f"d{j}" for j in range(len(TAUS))]
     dummies = ", ".join(f"CASE WHEN fe > 0 AND tau = {t} THEN 1.0 ELSE 0.0 END AS {x}" for t, x in zip(TAUS, xs))
     case = "CASE gj.i " + " ".join(f"WHEN {j} THEN {t}" for j, t in enumerate(TAUS)) + " END"
-    return f"""WITH {DID}, {SAMPLE}, ed AS (SELECT entity, year, y, {dummies} FROM sm), {steps(xs)}, {clustered_ols('dx', 'y', xs)},
+    return f"""WITH {DID}, {SAMPLE}, ed AS (SELECT entity, year, y, {dummies} FROM sm), {steps(xs)}, {clustered_ols('dx', 'y', xs, 'ed')},
 rt AS (SELECT {case} AS tau, coef, std_err FROM gj JOIN ce ON ce.i = gj.i UNION ALL SELECT -1, 0, 0)
 SELECT {L('tau')} AS tau, {R('coef')} AS effect, {R('std_err')} AS se, (SELECT {R('MAX(ABS(coef / std_err))', 4)} FROM rt WHERE tau < -1) AS pre_trend_max_abs_t FROM rt"""
 
 
-def _one_pass(xs):
-    return f"dx AS MATERIALIZED (SELECT entity, year, {', '.join(f'{_dm(c)} AS {c}' for c in ['y', *xs])} FROM ed)"
-
-
 def _event_rows(spark, sf, method):
     rows, stats = T.event_study(cut(did(spark, sf)), "chg_rate", "entity", "year", method)
     out = spark.createDataFrame(rows, "tau long, effect double, se double, p double").drop("p")
     return plain(out.withColumn("pre_trend_max_abs_t", F.round(F.lit(stats["pre_trend_max_abs_t"]), 4)))
 
 
-@query("event_study", _event_sql(_one_pass))
+@query("event_study", _event_sql(lambda xs: _one_pass("ed", xs)))
 def event_study(spark, sf):
     return _event_rows(spark, sf, "one_pass")
 
@@ -92,7 +84,7 @@ def event_study_exact(spark, sf):
 
 def _variant_sql(name, weights):
     """Two-way effects under other ring weights, one row."""
-    return f"""SELECT * FROM (WITH {DID.replace(RING_W, weights)}, {SAMPLE}, {demean_steps('sm', ['y', 'x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'])},
+    return f"""SELECT * FROM (WITH {DID.replace(RING_W, weights)}, {SAMPLE}, {demean_steps('sm', ['y', 'x1', 'x2'])}, {clustered_ols('dx', 'y', ['x1', 'x2'], 'sm')},
 fin AS (SELECT (SELECT coef FROM gj WHERE i = 0) AS b, (SELECT std_err FROM ce WHERE i = 0) AS s, (SELECT coef FROM gj WHERE i = 1) AS p, (SELECT AVG(s) FROM dp WHERE fe > 0) AS m, (SELECT COUNT(*) FROM sm) AS n)
 SELECT '{name}' AS variant, {R('b')} AS coef, {R('s')} AS se, {R('p')} AS post_coef, {R('m')} AS strength_mean_treated, {R('b * m')} AS slope_per_relative_exposure, {R('p + b * m')} AS effect_at_treated_mean, {L('n')} AS n_obs FROM fin)"""
 

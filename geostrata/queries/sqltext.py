@@ -3,6 +3,7 @@
 import math
 
 from geostrata.functions.columns import EARTH_RADIUS_KM, HEX_EDGE_KM
+from geostrata.operators.twfe import COLLINEAR
 
 
 def haversine(lat1, lng1, lat2, lng2):
@@ -66,10 +67,11 @@ def demean_steps(source, columns, rounds=30, entity="entity", time="year"):
     return ",\n".join(ctes)
 
 
-def clustered_ols(source, y, xs, entity="entity"):
+def clustered_ols(source, y, xs, raw, entity="entity"):
     """CTEs for least squares with clustered errors: ``gj`` (i, coef) and ``ce`` (i, std_err).
 
-    Gauss-Jordan elimination on the moment matrix in long form (row, column, value).
+    Gauss-Jordan elimination on the moment matrix in long form (row, column, value). A regressor of which the earlier
+    ones leave too little of its sum of squares in ``raw`` is passed over: coefficient and error are null.
     """
     k = len(xs)
     names = [*xs, y]
@@ -79,23 +81,26 @@ def clustered_ols(source, y, xs, entity="entity"):
     eye = " UNION ALL ".join(f"SELECT {i}, {k + 1 + j}, {1.0 if i == j else 0.0}" for i in range(k) for j in range(k))
     steps, prev = [f"g0 AS MATERIALIZED ({moments} UNION ALL {eye})"], "g0"
     for p in range(k):
-        pivot = f"(SELECT v FROM {prev} WHERE i = {p} AND j = {p})"
+        left = f"(SELECT v FROM {prev} WHERE i = {p} AND j = {p})"
+        steps.append(f"kp{p} AS MATERIALIZED (SELECT {p} AS i, {left} AS pivot, {left} > {COLLINEAR!r} * (SELECT SUM({xs[p]} * {xs[p]}) FROM {raw}) AS kept)")
         steps.append(
-            f"g{p + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {p} THEN a.v / {pivot} ELSE a.v - f.v * r.v / {pivot} END AS v FROM {prev} a "
-            f"JOIN {prev} r ON r.i = {p} AND r.j = a.j JOIN {prev} f ON f.i = a.i AND f.j = {p})"
+            f"g{p + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN NOT q.kept THEN a.v WHEN a.i = {p} THEN a.v / q.pivot ELSE a.v - f.v * r.v / q.pivot END AS v FROM {prev} a "
+            f"JOIN {prev} r ON r.i = {p} AND r.j = a.j JOIN {prev} f ON f.i = a.i AND f.j = {p}, kp{p} q)"
         )
         prev = f"g{p + 1}"
-    fitted = " + ".join(f"{x} * (SELECT v FROM {prev} WHERE i = {i} AND j = {k})" for i, x in enumerate(xs))
-    steps.append(f"gj AS (SELECT i, v AS coef FROM {prev} WHERE j = {k})")
-    steps.append(f"iv AS (SELECT i, j - {k + 1} AS j, v FROM {prev} WHERE j > {k})")
+    steps.append("kp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT i, kept FROM kp{p}" for p in range(k)) + ")")
+    steps.append(f"gj AS MATERIALIZED (SELECT g.i, CASE WHEN kept THEN v END AS coef FROM {prev} g JOIN kp ON kp.i = g.i WHERE j = {k})")
+    fitted = " + ".join(f"{x} * (SELECT COALESCE(coef, 0) FROM gj WHERE i = {i})" for i, x in enumerate(xs))
+    steps.append(f"iv AS (SELECT g.i, g.j - {k + 1} AS j, v FROM {prev} g JOIN kp a ON a.i = g.i JOIN kp b ON b.i = g.j - {k + 1} WHERE a.kept AND b.kept)")
     steps.append(f"rs AS MATERIALIZED (SELECT *, {y} - ({fitted}) AS r FROM {source})")
     score = ", ".join(f"SUM({x} * r) AS u{i}" for i, x in enumerate(xs))
     steps.append(f"us AS MATERIALIZED (SELECT {entity}, {score} FROM rs GROUP BY {entity})")
     meat = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, SUM(u{i} * u{j}) AS v FROM us" for i in range(k) for j in range(k))
     steps.append(f"mt AS MATERIALIZED ({meat})")
-    steps.append(f"sz AS (SELECT COUNT(*) * 1.0 AS n, COUNT(DISTINCT {entity}) * 1.0 AS g FROM {source})")
+    steps.append(f"sz AS (SELECT COUNT(*) * 1.0 AS n, COUNT(DISTINCT {entity}) * 1.0 AS g, (SELECT COUNT(*) FROM kp WHERE kept) AS k FROM {source})")
     steps.append(
-        f"ce AS (SELECT a.i, SQRT(SUM(a.v * m.v * b.v) * ANY_VALUE((g / (g - 1)) * ((n - 1) / (n - {k})))) AS std_err "
+        "cv AS (SELECT a.i, SQRT(SUM(a.v * m.v * b.v) * ANY_VALUE((g / (g - 1)) * ((n - 1) / (n - k)))) AS std_err "
         "FROM iv a JOIN mt m ON m.i = a.j JOIN iv b ON b.i = m.j AND b.j = a.i, sz GROUP BY a.i)"
     )
+    steps.append("ce AS (SELECT kp.i, std_err FROM kp LEFT JOIN cv ON cv.i = kp.i)")
     return ",\n".join(steps)
