@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.functions.columns import is_numeric
+from geostrata.functions.tails import normal_two_sided
 from geostrata.operators.evaluate import auc, brier_of, log_loss_of
 from geostrata.operators.ranks import _order_statistics, distinct_counts, quantiles
+from geostrata.operators.twfe import kept_terms
 from geostrata.session import cut
 
 MAX_LEVELS = 1000
@@ -23,8 +23,9 @@ COEFS = "term string, kind string, level string, coef double, se double, p doubl
 
 
 def hash_unit(columns: Sequence[str], seed: int) -> Column:
-    """A reproducible 53-bit number per row: the same rows draw the same number on any cluster."""
-    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11).cast("double")
+    """A reproducible 52-bit number per row: the same rows draw the same number on any cluster and in other engines."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
 
 
 def keep_events(df: DataFrame, event: str, key: Sequence[str], times: float | None = 2.0, cap: int | None = None,
@@ -50,7 +51,7 @@ def keep_events(df: DataFrame, event: str, key: Sequence[str], times: float | No
 
 def split_rows(df: DataFrame, key: Sequence[str], test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by hash, evenly inside every class."""
-    test = hash_unit(key, seed) < test_share * float(1 << 53)
+    test = hash_unit(key, seed) < test_share * float(1 << 52)
     return df.filter(~test), df.filter(test)
 
 
@@ -84,10 +85,17 @@ class Design:
             out = out & F.coalesce(F.col(c).cast("string").isin(vs), F.lit(False))
         return out
 
-    def assembled(self, df: DataFrame, keep: Sequence[str | Column]) -> DataFrame:
-        names = [f"_f{i}" for i in range(len(self.terms()))]
-        wide = df.select(*keep, *[c.cast("double").alias(n) for c, n in zip(self.columns(), names)])
-        return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
+    def cells(self, df: DataFrame, event: str) -> DataFrame:
+        """``(x array<double>, f array<int>, n, e)``: every distinct row of regressors with its trials and events.
+
+        A binomial likelihood depends on nothing else, so a fit reads these rows instead of the data. ``f`` holds the
+        places of the factors' levels, 0 for the base and for a null.
+        """
+        x = F.array(*self.columns()[:len(self.numeric)]) if self.numeric else F.array().cast("array<double>")
+        at = [F.greatest(F.lit(0), F.coalesce(F.array_position(F.array(*map(F.lit, vs)), F.col(c).cast("string")), F.lit(0)) - 1) for c, vs in self.levels.items() if vs]
+        f = F.array(*at).cast("array<int>") if at else F.array().cast("array<int>")
+        rows = df.filter(F.col(event).isNotNull()).select(x.alias("x"), f.alias("f"), (F.col(event) == 1).cast("double").alias("e"))
+        return rows.groupBy("x", "f").agg(F.count("*").cast("double").alias("n"), F.sum("e").alias("e"))
 
 
 def make_design(df: DataFrame, numeric: Sequence[str], factors: Sequence[str] = (), scaled: bool = False) -> Design:
@@ -131,56 +139,139 @@ class HazardFit:
         return df.withColumn(name, p)
 
 
+def _moments(cells: DataFrame, design: Design, link: str, beta: np.ndarray, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fisher information, score and log likelihood at ``beta``, in one aggregation: a task sums its cells' products."""
+    starts = np.cumsum([1 + len(design.numeric)] + [len(v) - 1 for v in design.levels.values() if v])[:-1]
+    sizes = [len(v) - 1 for v in design.levels.values() if v]
+    k, plain, (zero, one) = len(beta), 1 + len(design.numeric), weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info, score, like = np.zeros((k, k)), np.zeros(k), 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.zeros((batch.num_rows, k))
+            x[:, 0] = 1.0
+            x[:, 1:plain] = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            level = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for j, (start, size) in enumerate(zip(starts, sizes)):
+                rows = np.flatnonzero(level[:, j])
+                x[rows, start + level[rows, j] - 1] = 1.0
+            n, e = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            hits, misses = one * e, zero * (n - e)
+            eta = np.clip(x @ beta, -700, 700)
+            if link == "logit":
+                p = 1 / (1 + np.exp(-eta))
+                slope = p * (1 - p)
+            else:
+                grown = np.exp(np.minimum(eta, 30))
+                p, slope = -np.expm1(-grown), np.exp(np.minimum(eta, 30) - grown)
+            p = np.clip(p, 1e-15, 1 - 1e-15)
+            spread = p * (1 - p)
+            w = (hits + misses) * slope * slope / spread
+            info += (x * w[:, None]).T @ x
+            score += x.T @ ((hits - (hits + misses) * p) * slope / spread)
+            like += float(hits @ np.log(p) + misses @ np.log1p(-p))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([info.ravel(), score, [like]])], pa.list_(pa.float64()))], ["m"])
+
+    parts = cells.select("x", "f", "n", "e").mapInArrow(run, "m array<double>")
+    rows = parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(k * k + k + 1)
+    for i, v in rows:
+        flat[i] = v
+    return flat[:k * k].reshape(k, k), flat[k * k:-1], float(flat[-1])
+
+
+def _inverse(info: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Terms with information of their own, and the inverse for them, solved on a common scale."""
+    kept = kept_terms(info, np.diag(info))
+    size = np.sqrt(np.diag(info)[kept])
+    return kept, np.linalg.inv(info[np.ix_(kept, kept)] / np.outer(size, size)) / np.outer(size, size)
+
+
+def fisher_scoring(cells: DataFrame, design: Design, link: str, ridge: float = 0.0, weights: tuple[float, float] = (1.0, 1.0),
+                   max_iter: int = 50, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Coefficients (intercept first), their standard errors and ``{n, events, loglik, null_loglik, iterations}``.
+
+    Each step is one pass over the cells. A step that lowers the penalised likelihood is halved. Terms that earlier
+    ones explain, or on which the data say nothing (any more, where a level has no events), stand still; their error
+    is null. ``weights`` are those of rows without and with the event;
+    ``ridge`` is a penalty per unit of weight on all but the intercept.
+    """
+    size = cells.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("e"), F.lit(0.0))).first()
+    n, events, k = size[0], size[1], 1 + len(design.terms())
+    hits, misses = weights[1] * events, weights[0] * (n - events)
+    total = hits + misses
+    if not (hits and misses):
+        raise ValueError("events and non-events are needed")
+    rate = hits / total
+    null = hits * math.log(rate) + misses * math.log(1 - rate)
+    free = np.r_[0.0, np.ones(k - 1)] * ridge * total
+    beta = np.zeros(k)
+    beta[0] = math.log(rate / (1 - rate)) if link == "logit" else math.log(-math.log(1 - rate))
+    if start is not None and len(start) == k:
+        beta = start.copy()
+    info, score, like = _moments(cells, design, link, beta, weights)
+    goal, steps = like - free @ (beta * beta) / 2, 0
+    for steps in range(1, max_iter + 1):
+        move, kept, inverse = np.zeros(k), *_inverse(info + np.diag(free))
+        move[kept] = inverse @ (score - free * beta)[kept]
+        for half in range(30):
+            trial = beta + move / 2 ** half
+            info, score, like = _moments(cells, design, link, trial, weights)
+            reached = like - free @ (trial * trial) / 2
+            if reached >= goal - 1e-9 * (1 + abs(goal)):
+                break
+        moved = np.abs(trial - beta).max()
+        done = moved <= 1e-9 * (1 + np.abs(trial).max()) or abs(reached - goal) <= 1e-13 * (1 + abs(goal))
+        beta, goal = trial, reached
+        if done:
+            break
+    errors, (kept, inverse) = np.full(k, np.nan), _inverse(info + np.diag(free))
+    errors[kept] = np.sqrt(np.diag(inverse))
+    return beta, errors, {"n": int(n), "events": int(events), "loglik": like, "null_loglik": null, "iterations": steps, "rank": len(kept)}
+
+
+def _coefficient_rows(design: Design, beta: np.ndarray, errors: np.ndarray) -> list[tuple]:
+    terms = [*design.terms(), ("Intercept", "intercept", "Intercept")]
+    rows = []
+    for (term, kind, level), b, e in zip(terms, [*beta[1:], beta[0]], [*errors[1:], errors[0]]):
+        if math.isnan(e):
+            rows.append((term, kind, level, float(b), None, None, None, None))
+        else:
+            b, e = float(b), float(e)
+            rows.append((term, kind, level, b, e, normal_two_sided(b / e), b - 1.959963984540054 * e, b + 1.959963984540054 * e))
+    return rows
+
+
 def fit_cloglog(df: DataFrame, event: str, numeric: Sequence[str], factors: Sequence[str] = (), max_iter: int = 50,
-                ridge: float = 0.0) -> HazardFit:
-    """Binomial GLM with a complementary log-log link: coefficients, errors, p, CI, AIC, pseudo-R2."""
+                ridge: float = 0.0, start: np.ndarray | None = None) -> HazardFit:
+    """Binomial GLM with a complementary log-log link: coefficients, Fisher errors, p, CI, AIC, pseudo-R2."""
     design = make_design(df, numeric, factors)
-    data = design.assembled(df.filter(F.col(event).isNotNull()), [F.col(event).cast("double").alias("label")]).persist()
-    try:
-        glm = GeneralizedLinearRegression(family="binomial", link="cloglog", maxIter=max_iter, tol=1e-10, regParam=ridge)
-        model = glm.fit(data)
-        s = model.summary
-        n = s.numInstances
-        beta = [float(v) for v in model.coefficients]
-        try:
-            errors, ps = list(s.coefficientStandardErrors), list(s.pValues)
-        except Exception:  # errors are undefined for a regularised or singular fit
-            errors = ps = [None] * (len(beta) + 1)
-        terms = [*design.terms(), ("Intercept", "intercept", "Intercept")]
-        rows = []
-        for (term, kind, level), b, e, p in zip(terms, [*beta, model.intercept], errors, ps):
-            lo, hi = (b - 1.959963984540054 * e, b + 1.959963984540054 * e) if e is not None else (None, None)
-            rows.append((term, kind, level, float(b), e, p, lo, hi))
-        stats = {
-            "link": "cloglog", "n": int(n), "aic": s.aic, "deviance": s.deviance, "null_deviance": s.nullDeviance,
-            "pseudo_r2": 1 - s.deviance / s.nullDeviance if s.nullDeviance else None,
-            "significant_positive": sum(1 for r in rows if r[5] is not None and r[5] < 0.05 and r[3] > 0),
-            "significant_negative": sum(1 for r in rows if r[5] is not None and r[5] < 0.05 and r[3] < 0),
-        }
-        return HazardFit(design, float(model.intercept), beta, rows, stats)
-    finally:
-        data.unpersist()
+    beta, errors, got = fisher_scoring(cut(design.cells(df, event)), design, "cloglog", ridge, max_iter=max_iter, start=start)
+    rows = _coefficient_rows(design, beta, errors)
+    deviance, null = -2 * got["loglik"], -2 * got["null_loglik"]
+    stats = {
+        "link": "cloglog", "n": got["n"], "aic": deviance + 2 * got["rank"], "deviance": deviance, "null_deviance": null,
+        "pseudo_r2": 1 - deviance / null if null else None, "iterations": got["iterations"],
+        "significant_positive": sum(1 for r in rows if r[5] is not None and r[5] < 0.05 and r[3] > 0),
+        "significant_negative": sum(1 for r in rows if r[5] is not None and r[5] < 0.05 and r[3] < 0),
+    }
+    return HazardFit(design, float(beta[0]), [float(b) for b in beta[1:]], rows, stats)
 
 
 def fit_logit(df: DataFrame, event: str, numeric: Sequence[str], factors: Sequence[str] = (), l2: float = 1e-4,
               max_iter: int = 200) -> HazardFit:
-    """Balanced, L2-penalised logit on median-filled, spread-scaled numbers and level dummies."""
+    """Balanced, L2-penalised logit on median-filled, spread-scaled numbers and level dummies, with the errors of the
+    penalised information of the weighted rows."""
     design = make_design(df, numeric, factors, scaled=True)
-    n = df.agg(F.count("*").alias("n"), F.sum(F.col(event).cast("double")).alias("e")).first()
-    weight = F.when(F.col(event) == 1, n["n"] / (2 * n["e"])).otherwise(n["n"] / (2 * (n["n"] - n["e"])))
-    data = design.assembled(df, [F.col(event).cast("double").alias("label"), weight.alias("w")]).persist()
-    try:
-        model = LogisticRegression(weightCol="w", regParam=l2, maxIter=max_iter, standardization=False).fit(data)
-        beta = [float(v) for v in model.coefficients]
-        rows = [(t, k, v, b, None, None, None, None) for (t, k, v), b in zip(design.terms(), beta)]
-        rows.append(("Intercept", "intercept", "Intercept", float(model.intercept), None, None, None, None))
-        return HazardFit(design, float(model.intercept), beta, rows, {"link": "logit", "n": n["n"], "events": n["e"]})
-    finally:
-        data.unpersist()
-
-
-def probability(df: DataFrame, vector: str = "probability") -> Column:
-    return vector_to_array(vector)[1]
+    cells = cut(design.cells(df, event))
+    n, e = cells.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("e"), F.lit(0.0))).first()
+    if not e or e == n:
+        raise ValueError("events and non-events are needed")
+    beta, errors, got = fisher_scoring(cells, design, "logit", l2, (n / (2 * (n - e)), n / (2 * e)), max_iter)
+    rows = _coefficient_rows(design, beta, errors)
+    return HazardFit(design, float(beta[0]), [float(b) for b in beta[1:]], rows, {"link": "logit", "n": got["n"], "events": got["events"], "iterations": got["iterations"]})
 
 
 def risk_design(df: DataFrame, target: str, exclude: Sequence[str], group: str | None = None, time: str | None = None,
@@ -303,23 +394,26 @@ def metrics(df: DataFrame, event: str, score: str = "risk") -> dict:
     return {**row, "auc": auc(df, event, score).first()[0]}
 
 
-def _window(train: DataFrame, test: DataFrame, event, key, numeric, factors, seed):
-    fit = fit_cloglog(keep_events(train, event, key, seed=seed), event, numeric, factors)
+def _window(train: DataFrame, test: DataFrame, event, key, numeric, factors, seed, start=None):
+    fit = fit_cloglog(cut(keep_events(train, event, key, seed=seed)), event, numeric, factors, start=start)
     scored = cut(fit.predict(test.filter(fit.design.known())).select(event, "risk"))
     out = metrics(scored, event)
     out["n_dropped_unseen_level"] = test.count() - out["n"]
-    return out
+    return out, np.array([fit.intercept, *fit.coefs])
 
 
 def rolling_out_of_time(panel: DataFrame, event: str, year: str, key: Sequence[str], numeric: Sequence[str], factors: Sequence[str] = (),
                         min_train_events: int = 200, min_test_events: int = 20, seed: int = 42) -> tuple[list[dict], dict]:
-    """For each year: train on all earlier years, test on the whole year; and the aggregate."""
+    """For each year: train on all earlier years, test on the whole year; and the aggregate.
+
+    A window's search starts from the last window's coefficients.
+    """
     panel = cut(panel)
     per = panel.groupBy(F.col(year).alias("y")).agg(F.sum(event).alias("e")).orderBy("y").collect()
-    rows, before = [], 0
+    rows, before, at = [], 0, None
     for r in per:
         if before >= min_train_events and r["e"] >= min_test_events:
-            got = _window(panel.filter(F.col(year) < r["y"]), panel.filter(F.col(year) == r["y"]), event, key, numeric, factors, seed)
+            got, at = _window(panel.filter(F.col(year) < r["y"]), panel.filter(F.col(year) == r["y"]), event, key, numeric, factors, seed, at)
             if got["n"]:
                 rows.append({"year": r["y"], **got})
         before += r["e"]
@@ -336,4 +430,4 @@ def rolling_out_of_time(panel: DataFrame, event: str, year: str, key: Sequence[s
 def holdout(panel: DataFrame, event: str, year: str, split_year: int, key: Sequence[str], numeric: Sequence[str],
             factors: Sequence[str] = (), seed: int = 42) -> dict:
     """Train up to a year, test on everything after it."""
-    return _window(panel.filter(F.col(year) <= split_year), panel.filter(F.col(year) > split_year), event, key, numeric, factors, seed)
+    return _window(panel.filter(F.col(year) <= split_year), panel.filter(F.col(year) > split_year), event, key, numeric, factors, seed)[0]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from geostrata.operators import evaluate as E
 from geostrata.operators import hazard as H
 from geostrata.queries.registry import L, R, plain, query, table, view
+from geostrata.queries.sqltext import kept_sample
 
 
 def _score(spark, sf):
@@ -180,11 +181,10 @@ def health_checks(spark, sf):
 
 
 @query("sample_keep_events", f"""
-WITH n AS (SELECT SUM(event) AS e, COUNT(*) - SUM(event) AS o FROM fx_score)
-SELECT CAST(1 AS BIGINT) AS event, {L('e')} AS n FROM n UNION ALL SELECT CAST(0 AS BIGINT), {L('LEAST(2 * e, o)')} FROM n""")
+WITH {kept_sample('fx_score', 'event', ['entity'])}
+SELECT {L('entity')} AS entity, {L('event')} AS event FROM ks""")
 def sample_keep_events(spark, sf):
-    got = H.keep_events(_score(spark, sf), "event", ["entity"], 2)
-    return plain(got.groupBy("event").agg(F.count("*").alias("n")))
+    return plain(H.keep_events(_score(spark, sf), "event", ["entity"], 2).select("entity", "event"))
 
 
 COEF_SQL = """ct AS (SELECT 'year_' || CAST(year AS VARCHAR) AS term, 'year' AS kind, AVG(risk) - 0.5 AS coef, STDDEV_SAMP(risk) * 40 AS se, AVG(event) / 6 AS p FROM fx_score GROUP BY year

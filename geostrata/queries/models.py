@@ -15,7 +15,7 @@ from geostrata.plans import jobs as J
 from geostrata.queries.panels import CELLS, DID, PERSON, TREATED, _treated, cross_section, did, did_inputs
 from geostrata.queries.registry import L, R, plain, query, table, view
 from geostrata.queries.spatial import _knn_sql
-from geostrata.queries.sqltext import RING_W, clustered_ols, demean_steps
+from geostrata.queries.sqltext import RING_W, clustered_ols, demean_steps, fisher_steps, hash_draw, kept_sample
 from geostrata.session import cut
 
 
@@ -276,18 +276,49 @@ def risk_panel(spark, sf):
     return N.person_period(view(spark, sf, "fx_dim"), keep=["class", "region", "bank", "lat", "lng"])
 
 
-@query("cloglog_glm")
-def cloglog_glm(spark, sf):
-    fit = H.fit_cloglog(cut(H.keep_events(risk_panel(spark, sf), "event", ["entity", "year"])), "event", ["age", "lat"], ["class"])
-    return plain(fit.table(spark).withColumns({"aic": F.lit(fit.stats["aic"]), "pseudo_r2": F.lit(fit.stats["pseudo_r2"])}), 5)
+LEVELS = ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")  # after the base level
+_DUMMIES = ", ".join(f"CASE WHEN class = '{v}' THEN 1.0 ELSE 0.0 END AS x{{{i}}}" for i, v in enumerate(LEVELS))
+_CLASS = lambda first: _DUMMIES.format(*range(first, first + len(LEVELS)))
+_CLOGLOG = f"""{PERSON}, {kept_sample('pp', 'event', ['entity', 'year'])},
+md AS (SELECT MEDIAN(age) AS age, MEDIAN(lat) AS lat FROM ks),
+ds AS MATERIALIZED (SELECT 0 AS w, 1.0 AS wt, event * 1.0 AS e, 1.0 AS x0, CAST(COALESCE(k.age, md.age) AS DOUBLE) AS x1, COALESCE(k.lat, md.lat) AS x2, {_CLASS(3)} FROM ks k, md),
+{fisher_steps('ds', 7, 'cloglog')},
+ll AS (SELECT SUM(CASE WHEN e = 1 THEN LN(p) ELSE LN(1 - p) END) AS ll, SUM(e) AS ev, COUNT(*) AS n FROM (SELECT e, 1 - EXP(-EXP({' + '.join(f'b{i} * x{i}' for i in range(7))})) AS p FROM ds, bt)),
+st AS (SELECT -2 * ll + 14 AS aic, 1 - ll / (ev * LN(ev / n) + (n - ev) * LN(1 - ev / n)) AS r2 FROM ll)"""
+_TERMS = [("age", "numeric", "age", 1), ("lat", "numeric", "lat", 2), *[(f"class_{v}", "class", v, 3 + i) for i, v in enumerate(LEVELS)], ("Intercept", "intercept", "Intercept", 0)]
 
 
-@query("logit_hazard")
+@query("cloglog_glm", f"WITH {_CLOGLOG} " + " UNION ALL ".join(
+    f"""SELECT '{t}' AS term, '{k}' AS kind, '{v}' AS level, {R(f'b{i}', 5)} AS coef, {R(f's{i}', 5)} AS se,
+{R(f'b{i} - 1.959963984540054 * s{i}', 5)} AS lo, {R(f'b{i} + 1.959963984540054 * s{i}', 5)} AS hi, {R('aic', 4)} AS aic, {R('r2', 5)} AS pseudo_r2 FROM bt, st""" for t, k, v, i in _TERMS))
+def cloglog_glm(spark, sf):
+    fit = H.fit_cloglog(cut(H.keep_events(risk_panel(spark, sf), "event", ["entity", "year"])), "event", ["age", "lat"], ["class"])
+    out = fit.table(spark).drop("p").withColumns({"aic": F.round(F.lit(fit.stats["aic"]), 4), "pseudo_r2": F.lit(fit.stats["pseudo_r2"])})
+    return plain(out, 5)
+
+
+_TEST = f"{hash_draw('entity', 'year')} < 0.2 * CAST({1 << 52} AS DOUBLE)"
+_FILLED = ", ".join(f"COALESCE(CAST(tt.{c} AS DOUBLE), md.{c}) AS {c}" for c in ("age", "lat", "lng"))
+_LOGIT = f"""{PERSON}, tt AS MATERIALIZED (SELECT *, {_TEST} AS test FROM pp),
+md AS (SELECT MEDIAN(age) AS age, MEDIAN(lat) AS lat, MEDIAN(lng) AS lng FROM tt WHERE NOT test),
+fl AS (SELECT test, event, class, {_FILLED} FROM tt, md),
+sc AS (SELECT STDDEV_POP(age) AS a, STDDEV_POP(lat) AS b, STDDEV_POP(lng) AS c, COUNT(*) * 1.0 AS n, SUM(event) * 1.0 AS ev FROM fl WHERE NOT test),
+al AS MATERIALIZED (SELECT 0 AS w, test, CASE WHEN event = 1 THEN n / (2 * ev) ELSE n / (2 * (n - ev)) END AS wt, event * 1.0 AS e, 1.0 AS x0, age / a AS x1, lat / b AS x2, lng / c AS x3, {_CLASS(4)} FROM fl, sc),
+ds AS MATERIALIZED (SELECT * FROM al WHERE NOT test),
+{fisher_steps('ds', 8, 'logit', ridge=0.0001)},
+sr AS MATERIALIZED (SELECT e, 1 / (1 + EXP(-({' + '.join(f'b{i} * x{i}' for i in range(8))}))) AS risk FROM al, bt WHERE test),
+rk AS (SELECT e, RANK() OVER (ORDER BY risk) + (COUNT(*) OVER (PARTITION BY risk) - 1) / 2.0 AS r FROM sr),
+au AS (SELECT (SUM(e * r) - SUM(e) * (SUM(e) + 1) / 2) / (SUM(e) * (COUNT(*) - SUM(e))) AS auc, (SELECT AVG(POW(risk - e, 2)) FROM sr) AS brier FROM rk)"""
+_LOGIT_TERMS = [("age", "numeric", "age", 1), ("lat", "numeric", "lat", 2), ("lng", "numeric", "lng", 3), *[(f"class_{v}", "class", v, 4 + i) for i, v in enumerate(LEVELS)], ("Intercept", "intercept", "Intercept", 0)]
+
+
+@query("logit_hazard", f"WITH {_LOGIT} " + " UNION ALL ".join(
+    f"""SELECT '{t}' AS term, '{k}' AS kind, '{v}' AS level, {R(f'b{i}', 4)} AS coef, {R(f's{i}', 4)} AS se, {R('auc', 4)} AS test_auc, {R('brier', 4)} AS test_brier FROM bt, au""" for t, k, v, i in _LOGIT_TERMS))
 def logit_hazard(spark, sf):
     train, test = H.split_rows(cut(risk_panel(spark, sf)), ["entity", "year"])
     fit = H.fit_logit(train, "event", ["age", "lat", "lng"], ["class"])
     got = H.metrics(cut(fit.predict(test)), "event")
-    return plain(fit.table(spark).select("term", "kind", "level", "coef", F.lit(got["auc"]).alias("test_auc"), F.lit(got["brier"]).alias("test_brier")), 4)
+    return plain(fit.table(spark).select("term", "kind", "level", "coef", "se", F.lit(got["auc"]).alias("test_auc"), F.lit(got["brier"]).alias("test_brier")), 4)
 
 
 @query("risk_design", f"""WITH {PERSON} SELECT * FROM (VALUES ('age', 'numeric'), ('bank', 'numeric'), ('lat', 'numeric'), ('lng', 'numeric'), ('class', 'factor'), ('year', 'factor')) v(term, kind), (SELECT {L('COUNT(*)')} AS rows FROM pp)""")
@@ -299,12 +330,35 @@ def risk_design(spark, sf):
     return plain(spark.createDataFrame(terms, "term string, kind string").withColumn("_one", F.lit(1)).join(rows, "_one").drop("_one"))
 
 
-@query("rolling_oot")
+_ROLLING = f"""{PERSON}, ye AS (SELECT year, SUM(event) AS e, SUM(SUM(event)) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pp GROUP BY year),
+wi AS (SELECT year AS w FROM ye WHERE {{windows}}),
+tr AS (SELECT wi.w, pp.* FROM pp JOIN wi ON {{train}}), {kept_sample('tr', 'event', ['entity', 'year'], 'w')},
+md AS (SELECT w, MEDIAN(age) AS age, MEDIAN(lat) AS lat FROM ks GROUP BY w),
+dx AS (SELECT k.w, 1.0 AS wt, event * 1.0 AS e, 1.0 AS x0, CAST(COALESCE(k.age, md.age) AS DOUBLE) AS x1, COALESCE(k.lat, md.lat) AS x2, {_CLASS(3)} FROM ks k JOIN md ON md.w = k.w),
+ds AS MATERIALIZED (SELECT * FROM dx),
+{fisher_steps('ds', 7, 'cloglog', rounds=14)},
+te AS (SELECT md.w, event * 1.0 AS e, 1.0 AS x0, CAST(COALESCE(pp.age, md.age) AS DOUBLE) AS x1, COALESCE(pp.lat, md.lat) AS x2, {_CLASS(3)} FROM md JOIN pp ON {{test}}),
+sr AS MATERIALIZED (SELECT te.w, e, 1 - EXP(-EXP({' + '.join(f'b{i} * x{i}' for i in range(7))})) AS risk FROM te JOIN bt ON bt.w = te.w),
+rk AS (SELECT w, e, risk, LEAST(GREATEST(risk, 1e-6), 1 - 1e-6) AS p, RANK() OVER (PARTITION BY w ORDER BY risk) + (COUNT(*) OVER (PARTITION BY w, risk) - 1) / 2.0 AS r FROM sr)
+SELECT {L('w')} AS year, {L('COUNT(*)')} AS n, {L('SUM(e)')} AS events, {R('(SUM(e * r) - SUM(e) * (SUM(e) + 1) / 2) / (SUM(e) * (COUNT(*) - SUM(e)))', 4)} AS auc, {R('AVG(POW(risk - e, 2))', 4)} AS brier,
+  {R('AVG(CASE WHEN e = 1 THEN -LN(p) ELSE -LN(1 - p) END)', 4)} AS log_loss, CAST(0 AS BIGINT) AS n_dropped_unseen_level FROM rk GROUP BY w"""
+_OOT = "year long, n long, events long, auc double, brier double, log_loss double, n_dropped_unseen_level long"
+
+
+def _oot_rows(spark, rows):
+    return plain(spark.createDataFrame([(int(r["year"]), int(r["n"]), int(r["events"]), r["auc"], r["brier"], r["log_loss"], int(r["n_dropped_unseen_level"])) for r in rows], _OOT), 4)
+
+
+@query("rolling_oot", "WITH " + _ROLLING.format(windows="before >= 12 AND e >= 5", train="pp.year < wi.w", test="pp.year = md.w"))
 def rolling_oot(spark, sf):
-    p = risk_panel(spark, sf).join(view(spark, sf, "fx_dim").select("entity", "first_year"), "entity")
-    rows, _ = H.rolling_out_of_time(p, "event", "year", ["entity", "year"], ["age", "lat"], ["class"], 10, 5)
-    out = [(int(r["year"]), int(r["n"]), int(r["events"]), r["auc"], r["brier"], r["log_loss"], int(r["n_dropped_unseen_level"])) for r in rows]
-    return plain(spark.createDataFrame(out, "year long, n long, events long, auc double, brier double, log_loss double, n_dropped_unseen_level long"), 4)
+    rows, _ = H.rolling_out_of_time(risk_panel(spark, sf), "event", "year", ["entity", "year"], ["age", "lat"], ["class"], 12, 5)
+    return _oot_rows(spark, rows)
+
+
+@query("holdout_oot", "WITH " + _ROLLING.format(windows="year = 2000", train="pp.year <= wi.w", test="pp.year > md.w"))
+def holdout_oot(spark, sf):
+    got = H.holdout(risk_panel(spark, sf), "event", "year", 2000, ["entity", "year"], ["age", "lat"], ["class"])
+    return _oot_rows(spark, [{"year": 2000, **got}])
 
 
 # --- jobs --------------------------------------------------------------------------------------

@@ -104,3 +104,51 @@ def clustered_ols(source, y, xs, raw, entity="entity"):
     )
     steps.append("ce AS (SELECT kp.i, std_err FROM kp LEFT JOIN cv ON cv.i = kp.i)")
     return ",\n".join(steps)
+
+
+def hash_draw(*columns, seed=42):
+    """The 52-bit number that a row draws."""
+    text = " || '|' || ".join([f"COALESCE(CAST({c} AS VARCHAR), '')" for c in columns] + [f"'{seed}'"])
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE)"
+
+
+def kept_sample(source, event, key, by=None, times=2, name="ks"):
+    """A CTE with all event rows and ``times`` as many others, those that draw the smallest numbers (per ``by``)."""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""{name}_h AS (SELECT *, {hash_draw(*key)} AS draw FROM {source}),
+{name}_r AS (SELECT *, RANK() OVER (PARTITION BY {by + ', ' if by else ''}{event} ORDER BY draw) AS rk, SUM({event}) OVER ({part}) AS all_events FROM {name}_h),
+{name} AS MATERIALIZED (SELECT * FROM {name}_r WHERE {event} = 1 OR rk <= {times} * all_events)"""
+
+
+def fisher_steps(source, k, link, by="w", rounds=12, ridge=None):
+    """CTEs of Fisher scoring for every group ``by``; the last is ``bt`` (by, b0.., s0..): coefficients and errors.
+
+    ``source`` has a row per observation: ``by``, weight ``wt``, event ``e`` and ``x0`` .. with ``x0`` = 1. ``ridge`` is a
+    penalty per unit of weight on all but the first. Every round solves the normal equations by elimination.
+    """
+    span, pen = range(k), (lambda i: f" + {ridge!r} * tw" if ridge and i else "")
+    ctes, prev = [f"b_0 AS (SELECT {by}, " + ", ".join(
+        (f"LN(SUM(wt * e) / (SUM(wt) - SUM(wt * e)))" if link == "logit" else "LN(-LN(1 - SUM(wt * e) / SUM(wt)))") + " AS b0" if i == 0 else f"CAST(0 AS DOUBLE) AS b{i}" for i in span
+    ) + f" FROM {source} GROUP BY {by})"], "b_0"
+    prob = "1 / (1 + EXP(-eta))" if link == "logit" else "1 - EXP(-EXP(eta))"
+    slope = "p * (1 - p)" if link == "logit" else "EXP(eta - EXP(eta))"
+    for t in range(1, rounds + 1):
+        eta = " + ".join(f"b{i} * x{i}" for i in span)
+        ctes.append(f"""q_{t} AS (SELECT {by}, wt, e, {', '.join(f'x{i}' for i in span)}, p, {slope} AS d FROM (SELECT *, GREATEST(1e-15, LEAST(1 - 1e-15, {prob})) AS p FROM (SELECT s.*, {eta} AS eta FROM {source} s JOIN {prev} b ON b.{by} = s.{by})))""")
+        sums = [f"SUM(wt * d * d / (p * (1 - p)) * x{i} * x{j}) AS h{i}_{j}" for i in span for j in range(i, k)]
+        sums += [f"SUM(wt * (e - p) * d / (p * (1 - p)) * x{i}) AS g{i}" for i in span] + ["SUM(wt) AS tw"]
+        ctes.append(f"m_{t} AS MATERIALIZED (SELECT {by}, {', '.join(sums)} FROM q_{t} GROUP BY {by})")
+        full = [f"h{min(i, j)}_{max(i, j)}{pen(i) if i == j else ''} AS a{i}_{j}" for i in span for j in span]
+        full += [f"g{i}" + (f" - {ridge!r} * tw * b{i}" if ridge and i else "") + f" AS a{i}_{k}" for i in span]
+        last, width = t == rounds, k + 1
+        if last:
+            full += [f"CAST({1.0 if i == j else 0.0} AS DOUBLE) AS a{i}_{k + 1 + j}" for i in span for j in span]
+            width = 2 * k + 1
+        ctes.append(f"e_{t}_0 AS MATERIALIZED (SELECT m.{by}, {', '.join(f'b{i}' for i in span)}, {', '.join(full)} FROM m_{t} m JOIN {prev} b ON b.{by} = m.{by})")
+        for c in span:
+            new = [f"a{i}_{j} - a{i}_{c} * a{c}_{j} / a{c}_{c} AS a{i}_{j}" if i != c else f"a{c}_{j} / a{c}_{c} AS a{c}_{j}" for i in span for j in range(c + 1, width)]
+            ctes.append(f"e_{t}_{c + 1} AS MATERIALIZED (SELECT {by}, {', '.join(f'b{i}' for i in span)}, {', '.join(new)} FROM e_{t}_{c})")
+        done = [f"b{i} + a{i}_{k} AS b{i}" for i in span] + ([f"SQRT(a{i}_{k + 1 + i}) AS s{i}" for i in span] if last else [])
+        prev = "bt" if last else f"b_{t}"
+        ctes.append(f"{prev} AS MATERIALIZED (SELECT {by}, {', '.join(done)} FROM e_{t}_{k})")
+    return ",\n".join(ctes)
