@@ -223,7 +223,8 @@ def fisher_scoring(cells: DataFrame, design: Design, link: str, ridge: float = 0
             if reached >= goal - 1e-9 * (1 + abs(goal)):
                 break
         moved = np.abs(trial - beta).max()
-        done = moved <= 1e-9 * (1 + np.abs(trial).max()) or abs(reached - goal) <= 1e-13 * (1 + abs(goal))
+        away = moved > 0.05 and abs(reached - goal) <= 1e-12 * (1 + abs(goal))  # a level without events runs off for ever
+        done = away or moved <= 1e-9 * (1 + np.abs(trial).max())
         beta, goal = trial, reached
         if done:
             break

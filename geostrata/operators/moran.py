@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.functions.columns import ratio
@@ -76,64 +79,144 @@ def _inference(m, w):
     return tuple(out)
 
 
+PRIME, SPREAD = (1 << 31) - 1, 48_271
+KEYS = (7_919, 104_729, 15_485_863)  # by replicate, round and seed
+ROUNDS = 4
+BROADCAST_NODES = 2_000_000  # 16 MB of values in every task
+AT_ONCE = 64  # replicates that travel together beyond that
+
+
+def bijection(n: int, seed: int = 0):
+    """``slots(ranks, replicate)``: where each rank 0 .. n-1 goes, a different one-to-one map for every replicate.
+
+    A rank is a pair of digits (base a, base b, with a * b just above n); each round moves one digit by a keyed function
+    of the other, which can be undone, so all pairs are met once. What leaves 0 .. n-1 goes through again until it
+    is inside. The map is plain arithmetic below 2**62 and the same in every engine.
+    """
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = -(-n // a)
+    prime, spread, keys, rounds = PRIME, SPREAD, KEYS, ROUNDS
+
+    def moved(x, key):
+        t = (x * spread + key) % prime
+        return ((t * t) % prime * t + key) % prime
+
+    def slots(ranks: np.ndarray, replicate: int) -> np.ndarray:
+        out, todo = ranks.astype(np.int64), np.arange(len(ranks))
+        while len(todo):
+            left, right = out[todo] // b, out[todo] % b
+            for q in range(rounds):
+                key = (replicate * keys[0] + q * keys[1] + seed * keys[2] + 1) * spread % prime
+                if q % 2 == 0:
+                    left = (left + moved(right, key)) % a
+                else:
+                    right = (right + moved(left, key)) % b
+            out[todo] = left * b + right
+            todo = todo[out[todo] >= n]
+        return out
+
+    return slots
+
+
+def in_order(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """Consecutive numbers from 0 in the order of ``key``: the number in the own range and the sizes of ranges before."""
+    placed = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = sorted(placed.groupBy(part.alias("p")).count().collect())  # a row per range
+    starts, at = [], 0
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    table = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    return placed.join(F.broadcast(table), part == F.col("_p")).withColumn(name, F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_start")
+
+
 def moran_permutation(
     nodes: DataFrame, weights: DataFrame, value: str, node: str = "id",
-    permutations: int = 199, seed: int = 0, min_nodes: int = 3, parts: int = 64,
+    permutations: int = 199, seed: int = 0, min_nodes: int = 3, broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """One-sided permutation p: ``(#{I* >= I} + 1) / (R + 1)``.
 
-    Replicate r reorders the values by a hash of (id, r, seed). A hash is evenly spread, so its
-    rank is the size of the lower hash ranges plus the rank inside the own range: no replicate is
-    ever sorted in one task. Values then travel as one array per node, and the edges are read once.
+    Replicate r gives the value of the node with rank k (by id) to the node with rank ``bijection(k, r)``, so no replicate
+    is drawn, sorted or stored. Edges carry the ranks of their ends and are read once; up to ``broadcast_nodes`` values
+    go to every task, which reorders them in memory and adds up its edges. Beyond that the reordered values travel as
+    arrays of ``AT_ONCE`` replicates per node.
     """
-    z = cut(centred(nodes.filter(F.col(value).isNotNull()), value, node))
-    n = z.count()
+    z = centred(nodes.filter(F.col(value).isNotNull()), value, node)
     schema = "n long, moran_i double, p_value double, permutations long"
+    ranked = cut(in_order(z, "id"))
+    n = ranked.count()
     if n < min_nodes:
         return nodes.sparkSession.createDataFrame([(n, None, None, permutations)], schema)
-
-    def ranked(df, replicate, by):
-        part = F.pmod(F.shiftright(F.col("_h"), 40), F.lit(parts))
-        inside = df.withColumn("_h", by).withColumn("_part", part)
-        sizes = inside.groupBy(*replicate, "_part").agg(F.count("*").alias("_m"))
-        before = Window.partitionBy(*replicate, F.lit(0)).orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        starts = sizes.select(*replicate, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-        w = Window.partitionBy(*replicate, "_part").orderBy("_h", "id")
-        return inside.join(F.broadcast(starts), [*replicate, "_part"]).withColumn(
-            "rank", F.col("_start") + F.row_number().over(w)
-        ).drop("_h", "_part", "_start")
-
-    base = ranked(z, [], F.xxhash64("id", F.lit(seed)))
-    draws = base.select("id", "z").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = ranked(draws, ["r"], F.xxhash64("id", "r", F.lit(seed))).select("r", "rank", "z")
-    slots = (
-        base.select("id", "rank").join(drawn, "rank")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("r", "z"))).alias("draws"))  # exactly R entries
-        .select("id", F.col("draws.z").alias("zs"))
-    )
-    real = z.select("id", F.array("z").alias("own"))
-    values = cut(real.join(slots, "id").select("id", F.concat("own", "zs").alias("zs")))
-
+    square = ranked.agg(F.sum(F.pow("z", F.lit(2)))).first()[0]
     indegree = weights.groupBy("dst").agg(F.count("*").alias("_n"))
-    ends = spread_join(weights, values.withColumnRenamed("id", "dst"), ["dst"], indegree, "_n").withColumnRenamed("zs", "zd").join(values.withColumnRenamed("id", "src"), "src")
-    # sum over edges of w z_src z_dst, for all replicates at once; partial sums leave each task
-    products = F.zip_with("zs", "zd", lambda x, y: x * y * F.col("w"))
-    square = values.agg(F.sum(F.pow(F.element_at("zs", 1), F.lit(2)))).first()[0]
-    stats = (
-        ends.select(F.posexplode(products).alias("r", "t")).groupBy("r")
-        .agg(ratio(F.sum("t"), F.lit(square)).alias("i"))
-    )
-    observed = F.max(F.when(F.col("r") == 0, F.col("i")))
-    got = stats.agg(observed.alias("obs"), F.collect_list("i").alias("all")).first()
-    if got["obs"] is None:
+    here = ranked.select("id", "rank")
+    ends = spread_join(weights.select("src", "dst", "w"), here.select(F.col("id").alias("dst"), F.col("rank").alias("_d")), ["dst"], indegree, "_n")
+    ends = ends.join(here.select(F.col("id").alias("src"), F.col("rank").alias("_s")), "src").select("_s", "_d", F.col("w").cast("double").alias("w"))
+    sums = _by_task(ends, ranked, n, permutations, seed) if n <= broadcast_nodes else _by_shuffle(cut(ends), ranked, n, permutations, seed)
+    got = dict(sums.collect())  # a row per replicate
+    if not square or 0 not in got:
         return nodes.sparkSession.createDataFrame([(n, None, None, permutations)], schema)
-    as_high = sum(1 for v in got["all"] if v >= got["obs"] - 1e-12) - 1
-    return nodes.sparkSession.createDataFrame(
-        [(n, got["obs"], (as_high + 1) / (permutations + 1), permutations)], schema
-    )
+    observed = got.pop(0) / square
+    as_high = sum(v / square >= observed - 1e-12 for v in got.values())
+    return nodes.sparkSession.createDataFrame([(n, observed, (as_high + 1) / (permutations + 1), permutations)], schema)
+
+
+def _by_task(ends: DataFrame, ranked: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """``(r, t)``: the sum over edges of w z_src z_dst for the values as they are (r = 0) and every replicate."""
+    spark, slots = ends.sparkSession, bijection(n, seed)
+    table = ranked.select("rank", "z").toArrow()  # at most broadcast_nodes rows
+    values = np.empty(n)
+    values[table.column("rank").to_numpy()] = table.column("z").to_numpy()
+    shared = spark.sparkContext.broadcast(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, every, sums, held, rows = shared.value, np.arange(n), np.zeros(permutations + 1), [], 0
+
+        def add() -> None:
+            s, d, w = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            for r in range(permutations + 1):
+                now = z
+                if r:
+                    now = np.empty(n)
+                    now[slots(every, r)] = z
+                sums[r] += float(np.sum(w * now[s] * now[d]))
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1_000_000:
+                add()
+                rows = 0
+        if held:
+            add()
+            yield pa.RecordBatch.from_arrays([pa.array(range(permutations + 1), pa.int32()), pa.array(sums)], ["r", "t"])
+
+    return ends.mapInArrow(run, "r int, t double").groupBy("r").agg(F.sum("t").alias("t"))
+
+
+def _by_shuffle(ends: DataFrame, ranked: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """As ``_by_task``, with the values of ``AT_ONCE`` replicates at a time as an array at each node."""
+    slots, out = bijection(n, seed), None
+
+    for first in range(0, permutations + 1, AT_ONCE):
+        block = list(range(first, min(first + AT_ONCE, permutations + 1)))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k, z = batch.column(0).to_numpy(), batch.column(1)
+                for r in block:
+                    yield pa.RecordBatch.from_arrays([pa.array(slots(k, r) if r else k), pa.array([r] * len(k), pa.int32()), z], ["slot", "r", "z"])
+
+        drawn = ranked.select("rank", "z").mapInArrow(run, "slot long, r int, z double")
+        zs = cut(drawn.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("r", "z"))).alias("a")).select("slot", F.col("a.z").alias("zs")))
+        met = ends.join(zs.select(F.col("slot").alias("_s"), "zs"), "_s").join(zs.select(F.col("slot").alias("_d"), F.col("zs").alias("zd")), "_d")
+        products = F.zip_with("zs", "zd", lambda x, y: x * y * F.col("w"))
+        part = cut(met.select(F.posexplode(products).alias("r", "t")).groupBy("r").agg(F.sum("t").alias("t")))
+        part = part.select((F.col("r") + first).alias("r"), "t")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def robustness(points: DataFrame, lat: str, lng: str, value: str, decimals=(1, 2), ks=(4, 8)) -> DataFrame:

@@ -9,7 +9,7 @@ from geostrata.operators import rings as G
 from geostrata.operators import weights as W
 from geostrata.operators.distance import knn_edges
 from geostrata.queries.registry import L, R, plain, query, view
-from geostrata.queries.sqltext import FIRST_EXPOSURE, HEX_DISK, PAIRS, RING_W, haversine, hex_axial, hex_cell as hex_sql, hex_disk
+from geostrata.queries.sqltext import bijected, FIRST_EXPOSURE, HEX_DISK, PAIRS, RING_W, haversine, hex_axial, hex_cell as hex_sql, hex_disk
 
 
 @query("haversine", f"SELECT {L('id')} AS id, {R(haversine('lat', 'lng', '36.25', '-99.75'))} AS km FROM fx_points")
@@ -191,7 +191,14 @@ def moran_inference(spark, sf):
     return plain(out, 8)
 
 
-@query("moran_perm")
+_RANKED = "rn AS MATERIALIZED (SELECT entity AS id, ROW_NUMBER() OVER (ORDER BY entity) - 1 AS k, (last_year - first_year + lat) - AVG(last_year - first_year + lat) OVER () AS z FROM fx_dim WHERE lat IS NOT NULL)"
+
+
+@query("moran_perm", f"""WITH {_knn_sql('plane', 8)}, {_RANKED}, {bijected('rn', 199)},
+ed AS MATERIALIZED (SELECT a.k AS s, b.k AS d FROM kn JOIN rn a ON a.id = kn.src JOIN rn b ON b.id = kn.dst),
+ir AS (SELECT x.r, SUM(x.z * y.z) / 8 / (SELECT SUM(z * z) FROM rn) AS i FROM ed JOIN sl x ON x.slot = ed.s JOIN sl y ON y.slot = ed.d AND y.r = x.r GROUP BY x.r),
+ob AS (SELECT i AS o FROM ir WHERE r = 0)
+SELECT (SELECT {L('COUNT(*)')} FROM rn) AS n, {R('o')} AS moran_i, {R('(COUNT(*) FILTER (r > 0 AND i >= o - 1e-12) + 1) / 200.0')} AS p_value, CAST(199 AS BIGINT) AS permutations FROM ir, ob GROUP BY o""")
 def moran_perm(spark, sf):
     nodes = _value_nodes(spark, sf)
     return plain(M.moran_permutation(nodes, W.knn_weights(nodes, 8), "value", permutations=199, min_nodes=10))

@@ -3,6 +3,7 @@
 import math
 
 from geostrata.functions.columns import EARTH_RADIUS_KM, HEX_EDGE_KM
+from geostrata.operators.moran import KEYS, PRIME, ROUNDS, SPREAD
 from geostrata.operators.twfe import COLLINEAR
 
 
@@ -152,3 +153,24 @@ def fisher_steps(source, k, link, by="w", rounds=12, ridge=None):
         prev = "bt" if last else f"b_{t}"
         ctes.append(f"{prev} AS MATERIALIZED (SELECT {by}, {', '.join(done)} FROM e_{t}_{k})")
     return ",\n".join(ctes)
+
+
+def bijected(source, replicates, seed=0, walks=10):
+    """CTEs that send rank ``k`` of ``source (id, k, z)`` to a slot in every replicate; the last is ``sl`` (r, slot, z)."""
+    def moved(x, key):
+        t = f"(({x} * {SPREAD} + {key}) % {PRIME})"
+        return f"((({t} * {t}) % {PRIME} * {t} + {key}) % {PRIME})"
+
+    ctes = [f"ab AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(CEIL(SQRT(n)) AS BIGINT) AS a FROM (SELECT COUNT(*) AS n FROM {source})))",
+            f"wk0 AS MATERIALIZED (SELECT g.r, s.z, s.k + ab.n AS v, ab.* FROM {source} s, (SELECT UNNEST(RANGE(1, {replicates + 1})) AS r) g, ab)"]
+    for w in range(walks):
+        at = "v - n" if w == 0 else "v"  # every rank goes through once, then what left 0 .. n-1
+        ctes.append(f"wk{w + 1}_0 AS MATERIALIZED (SELECT r, z, n, a, b, ({at}) // b AS lo, ({at}) % b AS ro FROM wk{w} WHERE v >= n)")
+        for q in range(ROUNDS):
+            key = f"((r * {KEYS[0]} + {q * KEYS[1] + seed * KEYS[2] + 1}) * {SPREAD} % {PRIME})"
+            new = f"(lo + {moved('ro', key)}) % a AS lo, ro" if q % 2 == 0 else f"lo, (ro + {moved('lo', key)}) % b AS ro"
+            ctes.append(f"wk{w + 1}_{q + 1} AS MATERIALIZED (SELECT r, z, n, a, b, {new} FROM wk{w + 1}_{q})")
+        ctes.append(f"wk{w + 1} AS MATERIALIZED (SELECT r, z, n, a, b, lo * b + ro AS v FROM wk{w + 1}_{ROUNDS})")
+    slots = " UNION ALL ".join(f"SELECT r, v AS slot, z FROM wk{w + 1} WHERE v < n" for w in range(walks))
+    ctes.append(f"sl AS MATERIALIZED ({slots} UNION ALL SELECT 0, k, z FROM {source})")
+    return ",\n".join(ctes)

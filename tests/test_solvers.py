@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from geostrata.operators import hazard as H
+from geostrata.operators import moran as M
 from geostrata.operators import twfe as T
 from geostrata.operators.distance import knn_edges
 
@@ -91,3 +94,69 @@ def test_fewer_points_than_neighbours(spark, n):
     p = pd.DataFrame({"id": np.arange(n), "lng": np.arange(n) * 1.5, "lat": np.zeros(n)})
     df = spark.createDataFrame(p) if n else spark.createDataFrame([], "id long, lng double, lat double")
     assert {(r.src, r.dst, r["rank"]) for r in knn_edges(df, 6).collect()} == neighbours(p, 6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_every_replicate_is_one_to_one(n):
+    slots = M.bijection(n, 3)
+    seen = [tuple(slots(np.arange(n), r).tolist()) for r in range(1, 40)]
+    assert all(sorted(s) == list(range(n)) for s in seen)
+    assert n < 10 or len(set(seen)) == 39
+    assert n < 97 or abs(np.mean(seen, axis=0) - (n - 1) / 2).max() < n / 2 / np.sqrt(3 * 39) * 6  # each rank goes everywhere
+
+
+def test_permutation_moran_is_the_same_by_task_by_shuffle_and_by_hand(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 120
+    p = pd.DataFrame({"id": rng.permutation(1000)[:n], "v": rng.normal(size=n)})
+    edges = pd.DataFrame([(i, int(j), 0.25) for i in p["id"] for j in rng.choice(p["id"], 4, replace=False) if i != j], columns=["src", "dst", "w"])
+    nodes, w = spark.createDataFrame(p), spark.createDataFrame(edges)
+    monkeypatch.setattr(M, "AT_ONCE", 16)
+    got = [M.moran_permutation(nodes, w, "v", permutations=39, seed=5, broadcast_nodes=b).first() for b in (1000, 10)]
+    order = p.sort_values("id").reset_index(drop=True)
+    at, z = {i: k for k, i in enumerate(order["id"])}, (order["v"] - order["v"].mean()).to_numpy()
+    s, d = edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy()
+
+    def index(now):
+        return (edges["w"].to_numpy() * now[s] * now[d]).sum() / (z @ z)
+
+    slots, drawn = M.bijection(n, 5), []
+    for r in range(1, 40):
+        now = np.empty(n)
+        now[slots(np.arange(n), r)] = z
+        drawn.append(index(now))
+    for g in got:
+        assert g["moran_i"] == pytest.approx(index(z)) and g["p_value"] == (sum(x >= index(z) - 1e-12 for x in drawn) + 1) / 40
+
+
+def hazard_table(n=4000, seed=6):
+    rng = np.random.default_rng(seed)
+    d = pd.DataFrame({"x": rng.integers(0, 9, n).astype(float), "g": rng.choice(["a", "b", "c"], n)})
+    d.loc[rng.random(n) < 0.1, "x"] = np.nan
+    eta = -2 + 0.2 * d["x"].fillna(4) + d["g"].map({"a": 0.0, "b": 0.5, "c": -0.4})
+    return d.assign(event=(rng.random(n) < 1 - np.exp(-np.exp(eta))).astype(int))
+
+
+def test_cells_replace_rows_and_scores_vanish_at_the_fit(spark):
+    d = hazard_table()
+    df = spark.createDataFrame(d).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    fit = H.fit_cloglog(df, "event", ["x"], ["g"])
+    cells = fit.design.cells(df, "event")
+    assert cells.count() <= 9 * 3 and tuple(cells.agg(F.sum("n"), F.sum("e")).first()) == (len(d), d["event"].sum())
+    x = np.column_stack([np.ones(len(d)), d["x"].fillna(d["x"].median()), d["g"] == "b", d["g"] == "c"]).astype(float)
+    b = np.array([fit.intercept, *fit.coefs])
+    p, slope = 1 - np.exp(-np.exp(x @ b)), np.exp(x @ b - np.exp(x @ b))
+    assert np.abs(x.T @ ((d["event"] - p) * slope / (p * (1 - p)))).max() < 1e-6
+    info = (x * (slope ** 2 / (p * (1 - p)))[:, None]).T @ x
+    errors = [r[4] for r in fit.rows]
+    np.testing.assert_allclose([errors[-1], *errors[:-1]], np.sqrt(np.diag(np.linalg.inv(info))), rtol=1e-7)
+
+
+def test_levels_without_events_and_repeated_regressors_have_no_error(spark):
+    d = hazard_table().fillna(4.0).assign(event=lambda t: np.where(t["g"] == "c", 0, t["event"]), again=lambda t: t["x"] * 2)
+    df = spark.createDataFrame(d)
+    rows = {r[0]: r for r in H.fit_cloglog(df, "event", ["x", "again"], ["g"]).rows}
+    assert rows["again"][4] is None and rows["x"][4] > 0
+    assert rows["g_c"][3] < -10 and rows["g_b"][4] < 1
+    with pytest.raises(ValueError):
+        H.fit_cloglog(df.withColumn("event", F.lit(0)), "event", ["x"])
