@@ -60,7 +60,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40, folder=scratch_path(spark, "slot-maps"), begun_with=32)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")

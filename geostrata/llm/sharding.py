@@ -1,6 +1,7 @@
 """Sharding over fixed virtual slots.
 
-A record's hash puts it into one of a few thousand virtual slots, for good. Bytes are summed per virtual slot, and
+A record's hash puts it into one of a few thousand virtual slots, for good. Equal records have one hash; where very many
+of them overload a virtual slot they are dealt over all of them. Bytes are summed per virtual slot, and
 a versioned map gives every virtual slot a shard. Growing, shrinking or evening out means editing the map: a
 record moves only when its virtual slot does. The map has one row per virtual slot, whatever the data's size.
 """
@@ -17,21 +18,41 @@ from geostrata.session import cut
 
 SLOTS = 4096
 OVERHEAD = 16
+MANY = 64
 MAP = "version int, vslot int, shard int, bytes long, records long"
 
 
-def slot_of(slots: int = SLOTS) -> Column:
-    """The virtual slot of a record, by id and text, so that repeated or null ids spread."""
-    return F.pmod(F.xxhash64("doc_id", text_of()), F.lit(slots)).cast("int")
-
-
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``(doc_id, size, text_crc32, vslot)`` of every row; a null text has no bytes and the checksum of none."""
+    """``(doc_id, size, text_crc32, mark, vslot)`` of every row; a null text has no bytes and the checksum of none.
+
+    ``mark`` is the record's hash by id and text, so repeated or null ids spread; it gives the virtual slot.
+    """
     text = text_of()
-    return docs.select(
+    rows = docs.select(
         "doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(slots).alias("vslot"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("doc_id", text).alias("mark"),
     )
+    return rows.withColumn("vslot", F.pmod("mark", F.lit(slots)).cast("int"))
+
+
+def spread_copies(rows: DataFrame, slots: int = SLOTS, many: int = MANY) -> DataFrame:
+    """Measured rows with equal records of overloaded virtual slots dealt over all virtual slots by their place in the table.
+
+    A virtual slot is overloaded above twice the mean; there, records that occur more than ``many`` times are dealt.
+    Only rows of such slots are counted by record, and their names are bounded: no more than ``slots`` records can each
+    stand for a slot's mean, so the broadcast is of at most that many rows.
+    """
+    load = cut(rows.groupBy("vslot").agg(F.count("*").alias("n")))
+    mean = (load.agg(F.sum("n")).first()[0] or 0) / slots
+    heavy = load.where(F.col("n") > 2 * mean + many).select("vslot")  # at most half of all virtual slots
+    least = max(many, mean / 2)
+    inside = rows.join(F.broadcast(heavy), "vslot", "left_semi").groupBy("mark").count()
+    crowds = cut(inside.where(F.col("count") > least).select("mark", F.lit(True).alias("crowd")))  # at most 2 * slots rows
+    if crowds.isEmpty():
+        return rows
+    dealt = F.pmod(F.xxhash64("mark", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    told = rows.withColumn("deal", dealt).join(F.broadcast(crowds), "mark", "left")
+    return cut(told.withColumn("vslot", F.when(F.col("crowd"), F.col("deal")).otherwise(F.col("vslot"))).drop("deal", "crowd"))
 
 
 def loads(rows: DataFrame) -> DataFrame:
@@ -114,16 +135,25 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
         "doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("place")).alias("slot"), "vslot")
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None, begun_with: int | None = None) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot, vslot, map_version)`` of every row, shards near equal in bytes.
 
     The law that holds is ``bytes``: as equal as whole virtual slots allow, a virtual slot being a few documents
-    or a 4096th of the corpus. With ``folder`` the map is stored there as version 1. A null text counts as empty,
-    null and repeated ids and repeated rows are placed like any other, columns beside id and text are not read,
-    and an empty table gives no rows.
+    or a 4096th of the corpus. With ``folder`` the map is stored there as version 1. With ``begun_with``, version 1 is
+    for that many shards and is then rebalanced into version 2 for ``shards``; rows are placed from what was read
+    back. A null text counts as empty, null and repeated ids are placed like any other, and so are repeated rows, which
+    are dealt over all shards where they are many. Columns beside id and text are not read, and an empty table
+    gives no rows.
     """
-    rows = cut(measured(docs, slots))
-    slot_map = cut(new_map(loads(rows), shards))
+    rows = spread_copies(cut(measured(docs, slots)), slots)
+    load = cut(loads(rows))
+    slot_map, version = cut(new_map(load, begun_with or shards)), 1
     if folder:
         store_map(slot_map, folder)
-    return placed(rows, slot_map).withColumn("map_version", F.lit(1))
+    if begun_with:
+        slot_map = load_map(docs.sparkSession, folder, 1) if folder and not load.isEmpty() else slot_map
+        slot_map, version = cut(rebalanced(slot_map, load, shards, 2)), 2
+        if folder:
+            store_map(slot_map, folder)
+            slot_map = load_map(docs.sparkSession, folder, 2) if not load.isEmpty() else slot_map
+    return placed(rows, slot_map).withColumn("map_version", F.lit(version))

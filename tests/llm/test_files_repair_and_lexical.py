@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geostrata.llm import lexical_search, token_files, turn_repair
+from geostrata.llm import embedding_dedup, lexical_search, sharding, token_files, turn_repair
 from geostrata.llm.wavelet import WaveletFile, encode
 
 DOCS = "doc_id long, text string, file string, n long, terms string, pos string"  # names that operators use themselves
@@ -274,3 +274,59 @@ def test_bounds_hold_for_every_document_below():
         seen += node is not trie.root and node.children is not None and len(begin) == 1
         todo += node.children or []
     assert seen
+
+
+@pytest.mark.parametrize("begun_with", [None, 3])
+def test_shards_of_half_equal_rows_are_even(spark, tmp_path, begun_with):
+    rows = [(None, PHRASE)] * 3000 + [(i, f"{PHRASE} {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    folder = str(tmp_path / "maps")
+    got = sharding.shard(df, shards=4, folder=folder, begun_with=begun_with).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    assert len(got) == 6000 and len(sums) == 4
+    assert max(sums.values()) - min(sums.values()) <= max(r.size for r in got) + sum(sums.values()) / 400
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in sums)
+    last = 2 if begun_with else 1
+    stored = {r.vslot: r.shard for r in sharding.load_map(spark, folder, last).collect()}
+    assert all(stored[r.vslot] == r.shard and r.map_version == last for r in got)
+
+
+PHRASE = "a text that very many rows hold"
+
+
+@pytest.mark.parametrize("kind, scale", [("float", 1.0), ("double", 1.0), ("double", 1e200), ("double", 1e-200)])
+def test_vectors_of_any_element_type_and_size(spark, kind, scale):
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(1, 8)) + rng.normal(size=(40, 8)) * 0.05
+    x = np.vstack([near, rng.normal(size=(60, 8)), np.zeros((2, 8))]) * scale
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, 0.98).collect()}
+    y = (x.astype(np.float32) if kind == "float" else x) / scale
+    u = y.astype(float) / np.maximum(np.linalg.norm(y.astype(float), axis=1, keepdims=True), 1e-12)
+    want = (u @ u.T >= 0.98) & ((np.arange(len(x))[:, None] - np.arange(len(x))) % 2 == 0)
+    np.fill_diagonal(want, False)
+    assert got == dict(enumerate(want.sum(1).tolist()))
+
+
+def test_links_seen_from_one_end_count_at_both(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, 300)] + rng.normal(size=(300, 12)) * 0.08
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    whole = embedding_dedup.links_in
+
+    def careless(graph, x, q, least, whole=False, all_links=whole):
+        """Misses every link of every third query, unless all are compared."""
+        for i, near in all_links(graph, x, q, least, whole=True):
+            if whole or i % 3:
+                yield i, near
+
+    u = embedding_dedup.unit(x)
+    want = {i: n - 1 for i, n in enumerate((u @ u.T >= 0.98).sum(1).tolist())}
+    told = embedding_dedup.near_duplicates(df, 0.98, shard_rows=100)
+    assert {r.vec_id: r.n_links for r in told.collect()} == want
+    monkeypatch.setattr(embedding_dedup, "links_in", careless)
+    for shard_rows in (100, 1000):
+        found = embedding_dedup.near_duplicates(df, 0.98, shard_rows=shard_rows)
+        assert {r.vec_id: r.n_links for r in found.collect()} == want
