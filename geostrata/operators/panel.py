@@ -14,8 +14,12 @@ from geostrata.session import cut
 
 
 def previous(value: str, entity: str, time: str) -> Column:
-    """Value of the entity's previous row. Panels hold one row per period, so groups are short."""
-    return F.lag(value).over(Window.partitionBy(entity).orderBy(time))
+    """Value of the entity's previous row. Panels hold one row per period, so groups are short.
+
+    Rows without an entity have no previous row and are spread.
+    """
+    loose = F.when(F.col(entity).isNull(), F.xxhash64(time, value))
+    return F.when(F.col(entity).isNotNull(), F.lag(value).over(Window.partitionBy(entity, loose).orderBy(time)))
 
 
 def growth(panel: DataFrame, value: str, entity: str, time: str) -> DataFrame:

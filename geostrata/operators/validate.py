@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.functions.columns import as_number, count_where, ratio, share_where
+from geostrata.session import cut
 
 REPORT = (
     "name string, check string, severity string, passed boolean, status string, actual double, "
@@ -265,13 +267,40 @@ def fact_drift(stored: DataFrame, current: DataFrame, key: str, value: str) -> D
     return a.join(b, key, "full_outer").filter(~F.col("stored").eqNullSafe(F.col("current")))
 
 
+BUCKETS = 4096
+
+
+def _bucket_sums(df: DataFrame, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """Rows, two checksums of keys and numbers, and values per number, by bucket of the key."""
+    row = [F.col(k) for k in keys] + [F.col(c).cast("double") for c in numbers]
+    marks = [F.sum(F.xxhash64(*row, F.lit(s)).cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
+    return df.groupBy(_bucket(keys).alias("bucket")).agg(F.count("*").alias("n"), *marks, *[F.count(c).alias(f"v_{c}") for c in numbers])
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    """A bucket by key; none for a row without a whole key, which matches nothing."""
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return F.when(whole, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], numbers: Sequence[str],
-              tolerance: float = 1e-9, relative: bool = False) -> DataFrame:
-    """Row counts, matched rows, null mismatches and largest difference per number, with a verdict."""
-    keys = list(keys)
+              tolerance: float = 1e-9, relative: bool = False, unique_keys: bool = True) -> DataFrame:
+    """Row counts, matched rows, null mismatches and largest difference per number, with a verdict.
+
+    Checksums of ``BUCKETS`` key ranges are compared first, and only rows of unequal buckets are joined; so equal tables
+    shuffle a row per bucket and task. That needs ``keys`` to name a row; with ``unique_keys=False`` all rows are joined.
+    """
+    keys, same = list(keys), None
+    if unique_keys:
+        a, b = _bucket_sums(left, keys, numbers), _bucket_sums(right, keys, numbers)
+        equal = a.alias("a").join(b.alias("b"), F.col("a.bucket") == F.col("b.bucket")).where("a.n = b.n AND a.s1 = b.s1 AND a.s2 = b.s2")
+        same = cut(equal.select("a.*").drop("s1", "s2"))  # at most BUCKETS rows
+        names = F.broadcast(same.select("bucket"))
+        left, right = (d.withColumn("bucket", _bucket(keys)).join(names, "bucket", "left_anti") for d in (left, right))
     a = left.select(*keys, F.lit(1).alias("_l"), *[F.col(c).cast("double").alias(f"l_{c}") for c in numbers])
     b = right.select(*keys, F.lit(1).alias("_r"), *[F.col(c).cast("double").alias(f"r_{c}") for c in numbers])
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    counts = ["rows_left", "rows_right", "rows_both"]
     aggs = [count_where(F.col("_l").isNotNull()).alias("rows_left"), count_where(F.col("_r").isNotNull()).alias("rows_right"),
             count_where(both).alias("rows_both")]
     for c in numbers:
@@ -283,12 +312,17 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], numbers: S
             F.max(gap).alias(f"gap_{c}"),
         ]
     wide = a.join(b, keys, "full_outer").agg(*aggs)
-    same = (F.col("rows_left") == F.col("rows_both")) & (F.col("rows_right") == F.col("rows_both"))
+    if same is not None:
+        settled = same.agg(*[F.coalesce(F.sum("n"), F.lit(0)).alias(c) for c in counts], *[F.lit(0).cast("long").alias(f"nulls_{c}") for c in numbers],
+                           *[F.max(F.when(F.col(f"v_{c}") > 0, 0.0)).alias(f"gap_{c}") for c in numbers])
+        wide = wide.unionByName(settled).agg(
+            *[F.sum(c).alias(c) for c in counts], *[F.sum(f"nulls_{c}").alias(f"nulls_{c}") for c in numbers], *[F.max(f"gap_{c}").alias(f"gap_{c}") for c in numbers])
+    whole = (F.col("rows_left") == F.col("rows_both")) & (F.col("rows_right") == F.col("rows_both"))
     lines = F.array(*[
         F.struct(
-            F.lit(c).alias("field"), "rows_left", "rows_right", "rows_both", F.col(f"nulls_{c}").alias("null_mismatch"),
+            F.lit(c).alias("field"), *counts, F.col(f"nulls_{c}").alias("null_mismatch"),
             F.col(f"gap_{c}").alias("max_diff"),
-            (same & (F.col(f"nulls_{c}") == 0) & (F.coalesce(F.col(f"gap_{c}"), F.lit(0.0)) <= tolerance)).alias("ok"),
+            (whole & (F.col(f"nulls_{c}") == 0) & (F.coalesce(F.col(f"gap_{c}"), F.lit(0.0)) <= tolerance)).alias("ok"),
         )
         for c in numbers
     ])

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from geostrata.operators import profile as P
+from geostrata.operators import sketches as S
 from geostrata.operators.schema import FieldSpec, Rule, violations
 from geostrata.queries.registry import L, R, plain, query, table, view
+from geostrata.session import scratch_path
 
 NUMERIC_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS field, {R(f'MIN({c})')} AS min, {R(f'MAX({c})')} AS max, {R(f'AVG({c})')} AS mean,
@@ -39,6 +41,21 @@ def prof_topn(spark, sf):
     return plain(P.top_values(view(spark, sf, "fx_dirty"), ["cat", "num_text"], 10))
 
 
+@query("prof_sketch", " UNION ALL ".join(
+    f"""SELECT '{c}' AS field, {L('COUNT(*)')} AS rows, {L(f'COUNT({c})')} AS non_null, {L(f'COUNT(*) - COUNT({c})')} AS null_count, {R(f'MIN({c})')} AS min, {R(f'MAX({c})')} AS max,
+    {R(f'AVG({c})', 3)} AS mean, {R(f'STDDEV_POP({c})', 3)} AS std, {d} AS "distinct" FROM fx_dirty"""
+    for c, d in (("amount", L("0")), ("lat", L("COUNT(DISTINCT lat)")), ("year", L("COUNT(DISTINCT year)")))))
+def prof_sketch(spark, sf):
+    """Years arrive in two lots; the second lot's profile is merged with the stored one of the first."""
+    d = view(spark, sf, "fx_dirty").select("amount", "lat", "year", F.col("year").alias("part"))
+    store, names = scratch_path(spark, "sketches"), sorted(str(r[0]) for r in d.select("part").distinct().collect())
+    read = lambda some: d.filter(F.col("part").cast("string").isin(some))
+    for lot in (names[:len(names) // 2], names):
+        S.update(spark, store, lot, read, "part")
+    got = S.summary(S.merged(S.stored(spark, store))).withColumn("distinct", F.when(F.col("field") != "amount", F.col("distinct")).otherwise(0))  # exact for few values only
+    return plain(got.select("field", "rows", "non_null", "null_count", "min", "max", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), "distinct"))
+
+
 COUNT_COLS = ("id", "entity", "year", "amount", "cat", "lat", "num_text")
 
 

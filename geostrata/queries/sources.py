@@ -1,9 +1,11 @@
 """Readers, writers and discovery, each on files that Spark writes from the tables."""
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
 
+from geostrata.operators.panel import growth
 from geostrata.queries.registry import L, R, plain, query, table, view
 from geostrata.session import scratch_path
 from geostrata.sources import discover as D
@@ -33,7 +35,43 @@ _round_trip("src_csv", "csv", CUSTOMER, lambda s, p: I.read_csv(s, _files(s, p))
 _round_trip("src_dispatch", "tsv", CUSTOMER, lambda s, p: I.union_all([I.read(s, f, sep="\t") for f in _files(s, p)]))
 _round_trip("src_json", "json", CUSTOMER, lambda s, p: I.read_json(s, _files(s, p)))
 _round_trip("src_csv_sniff", "tsv", CUSTOMER, lambda s, p: I.read_delimited(s, _files(s, p)))
-_round_trip("sink_table", "json", CUSTOMER, lambda s, p: s.read.json(p))
+_round_trip("sink_table", "json", CUSTOMER, lambda s, p: s.read.option("multiLine", True).json(p))
+_round_trip("sink_jsonl", "jsonl", CUSTOMER, lambda s, p: s.read.json(p))
+
+
+@query("src_json_mixed", f"{CUSTOMER} UNION ALL {CUSTOMER}")
+def src_json_mixed(spark, sf):
+    """Arrays and lines in one folder listing."""
+    path = scratch_path(spark, "json-forms")
+    for fmt in ("json", "jsonl"):
+        K.write(_customer(spark, sf), f"{path}/{fmt}", fmt)
+    files = _files(spark, f"{path}/json") + _files(spark, f"{path}/jsonl")
+    return plain(I.read_json(spark, files).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+
+
+@query("sink_bom", f"SELECT {L('c_custkey')} AS c_custkey, c_name, {R('c_acctbal')} AS c_acctbal, c_mktsegment, CAST(1 AS BIGINT) AS marked FROM customer")
+def sink_bom(spark, sf):
+    path = scratch_path(spark, "bom")
+    K.write(_customer(spark, sf), path, "csv", bom=True)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).filter("left(value, 1) = '\ufeff'")
+    marked = lines.agg((F.count("*") == F.countDistinct("file")).cast("long").alias("marked"))
+    back = I.read_delimited(spark, _files(spark, path)).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").withColumn("one", F.lit(1))
+    return plain(back.join(marked.withColumn("one", F.lit(1)), "one").drop("one"))
+
+
+@query("src_broken_rows", f"""
+SELECT CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS file, {L('COUNT(*)')} AS rows, {L('SUM(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END)')} AS broken FROM orders GROUP BY 1""")
+def src_broken_rows(spark, sf):
+    path = scratch_path(spark, "ragged")
+    o = table(spark, sf, "orders")
+    cells = F.concat_ws(",", "o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 14 == 0, F.lit("x,y,z")).when(F.col("o_orderkey") % 7 != 0, F.lit("x")))
+    for i, name in enumerate(("even", "odd")):
+        K._framed(o.filter(F.col("o_custkey") % 2 == i).select(cells.alias("value")), f"{path}/{name}", "errorifexists", "id,price,mark", None, "")
+    got = I.load_sources(spark, [f"{path}/even/*.txt", f"{path}/odd/*.txt"])
+    name = F.regexp_extract("path", "/(even|odd)/", 1).alias("file")
+    rows = got.data.groupBy("__source_file").count()
+    per = got.sources.select(name, "broken", F.element_at(F.split("path", "/"), -1).alias("__source_file")).join(rows, "__source_file", "left")
+    return plain(per.groupBy("file").agg(F.sum("count").alias("rows"), F.sum("broken").alias("broken")))
 _round_trip("sink_csv_table", "csv", CUSTOMER, lambda s, p: s.read.csv(p, header=True, inferSchema=True))
 
 
@@ -144,12 +182,18 @@ def src_parquet_cache(spark, sf):
     return plain(I.cached_stage(spark, path, lambda: build().limit(0)))
 
 
-@query("sink_parquet", f"SELECT {L('o_orderkey')} AS o_orderkey, {R('o_totalprice')} AS o_totalprice, {L('year(o_orderdate)')} AS yr FROM orders WHERE year(o_orderdate) = 1997")
+@query("sink_parquet", f"SELECT {L('o_orderkey')} AS o_orderkey, {R('o_totalprice')} AS o_totalprice, {L('year(o_orderdate)')} AS yr FROM orders")
 def sink_parquet(spark, sf):
     path = scratch_path(spark, "parquet")
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
     K.write(o, path, "parquet", ["yr"])
-    return plain(spark.read.parquet(path).filter("yr = 1997"))
+    return plain(spark.read.parquet(path))
+
+
+@query("sink_bucketed", f"""SELECT {L('entity')} AS entity, {L('year')} AS year, {R('value - LAG(value) OVER (PARTITION BY entity ORDER BY year)')} AS chg FROM fx_panel""")
+def sink_bucketed(spark, sf):
+    stored = K.write_bucketed(view(spark, sf, "fx_panel"), "panel_by_entity_" + uuid.uuid4().hex[:8], scratch_path(spark, "bucketed"), "entity", ["year"], 16)
+    return plain(growth(stored, "value", "entity", "year").select("entity", "year", "chg"))
 
 
 @query("sink_report", f"SELECT 'cat' AS field, {L('COUNT(*) - COUNT(cat)')} AS null_count FROM fx_dirty UNION ALL SELECT 'amount', {L('COUNT(*) - COUNT(amount)')} FROM fx_dirty")
@@ -158,7 +202,7 @@ def sink_report(spark, sf):
 
     path = scratch_path(spark, "report")
     K.write_report({"nulls": null_table(view(spark, sf, "fx_dirty").select("cat", "amount"))}, path)
-    return plain(spark.read.json(f"{path}/nulls").select("field", "null_count"))
+    return plain(spark.read.option("multiLine", True).json(f"{path}/nulls").select("field", "null_count"))
 
 
 # --- discovery ---------------------------------------------------------------------------------
@@ -188,7 +232,8 @@ def disc_line_count(spark, sf):
 @query("disc_peek_columns", """SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS year,
   CASE WHEN year(o_orderdate) < 1998 THEN 'o_orderkey,o_custkey,o_totalprice' ELSE 'o_orderkey,o_custkey,o_totalprice,o_orderpriority' END AS columns FROM orders""")
 def disc_peek_columns(spark, sf):
-    return _listing(spark, sf).select("year", F.array_join("columns", ",").alias("columns")).distinct()
+    heads = D.peek_columns(D.first_lines(spark, _files(spark, yearly(spark, sf))))
+    return heads.select(F.regexp_extract("path", r"yr=(\d+)", 1).alias("year"), F.array_join("columns", ",").alias("columns")).distinct()
 
 
 @query("disc_group", r"SELECT regexp_replace(regexp_replace(regexp_replace(c_name || '_' || (c_custkey % 7) || '.csv.gz', '\.gz$', ''), '\.csv$', ''), '\d+', '#', 'g') AS grp, CAST(COUNT(*) AS BIGINT) AS n FROM customer GROUP BY 1")

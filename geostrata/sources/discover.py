@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions.columns import ratio
+from geostrata.session import cut
+from geostrata.sources.first_block import first_blocks, reachable
 from geostrata.sources.formats import EXTENSIONS
 
 TEXT_FORMATS = ("csv", "tsv", "txt", "json", "jsonl", "nt")
@@ -82,6 +84,27 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.min_by("value", F.struct("_at", "_id")).alias("first_line"), F.count("*").alias("lines"))
 
 
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(path, first_line, sep)`` of every text file, from its first block; the separator is the most frequent one there.
+
+    Files in a store that only Spark reaches, and first lines longer than a block, are read by Spark.
+    """
+    paths = list(paths)
+    if not (paths and reachable(paths)):
+        return text_facts(spark, paths).select("path", "first_line", separator_of("first_line").alias("sep"))
+    head = F.regexp_replace("head", "^\ufeff", "")
+    line = F.regexp_extract(head, r"^([^\r\n]*)", 1)
+    ended = F.col("whole") | head.rlike(r"[\r\n]")
+    sample = F.when(F.col("whole"), head).otherwise(F.regexp_extract(head, r"(?s)^(.*)[\r\n]", 1))
+    blocks = cut(first_blocks(spark, paths).filter("size > 0").select("path", ended.alias("ended"), line.alias("first_line"), separator_of(sample).alias("sep")))
+    long = [r[0] for r in blocks.filter("NOT ended").select("path").collect()]
+    known = blocks.filter("ended").drop("ended")
+    if not long:
+        return known
+    rest = text_facts(spark, long)
+    return known.union(rest.select("path", "first_line", separator_of("first_line")))
+
+
 def separator_of(line: Column | str) -> Column:
     """Most frequent of comma, tab, semicolon and bar; comma when none occurs."""
     c = F.col(line) if isinstance(line, str) else line
@@ -97,7 +120,7 @@ def separator_of(line: Column | str) -> Column:
 def peek_columns(facts: DataFrame, separator: str | None = None) -> DataFrame:
     """Header names per file from its first line (a byte-order mark is removed)."""
     line = F.regexp_replace("first_line", "^﻿", "")
-    sep = F.lit(separator) if separator else separator_of(line)
+    sep = F.lit(separator) if separator else F.col("sep") if "sep" in facts.columns else separator_of(line)
     pattern = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
     names = F.transform(F.split(line, pattern), lambda n: F.trim(F.regexp_replace(n, '^"|"$', "")))
     return facts.withColumn("columns", names)

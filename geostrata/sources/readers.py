@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from geostrata.functions.columns import as_number, nan_to_null
 from geostrata.operators.infer import SOURCE_FILE
-from geostrata.sources.discover import expand, peek_columns, separator_of, text_facts
+from geostrata.session import cut
+from geostrata.sources.discover import expand, first_lines, peek_columns
+from geostrata.sources.first_block import first_blocks, reachable
 from geostrata.sources.formats import UnsupportedFormat, detect_format
 
 ENCODINGS = ("utf-8", "gb18030", "latin-1")  # tried in this order
@@ -74,43 +76,45 @@ def headerless(names: Sequence[str]) -> bool:
     return bool(names) and sum(map(_looks_like_data, names)) >= max(1, 0.6 * len(names))
 
 
-def _first_lines(spark: SparkSession, path: str, n: int = 200) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
-
-
 def sniff(spark: SparkSession, path: str) -> tuple[str, list[str]]:
-    """Separator and header cells from the first lines of one file."""
-    head = _first_lines(spark, path)
-    sample = "\n".join(head)
-    counts = {s: sample.count(s) for s in (",", "\t", ";", "|")}
-    sep = max(counts, key=counts.get) if any(counts.values()) else ","
-    names = [c.strip().strip('"') for c in head[0].lstrip("﻿").split(sep)] if head else []
-    return sep, names
+    """Separator and header cells of one file, as they are found in a set of files."""
+    found = peek_columns(first_lines(spark, [path])).first()
+    return (found["sep"], found["columns"]) if found else (",", [])
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], infer: bool = True) -> DataFrame:
-    """Any delimited text: separator, encoding and a missing header are found out.
+    """Any delimited text: separator, encoding and a missing header are found out, for each file by itself.
 
     Files without a header get the names ``c0 .. cn``.
     """
-    paths = _paths(path)
-    if len(paths) > 1:  # each file has a separator and a header of its own
-        return union_all(_by_header(spark, paths, infer))
-    sep, names = sniff(spark, paths[0])
-    if headerless(names):
-        raw = read_csv(spark, paths, sep=sep, header=False, infer=infer)
-        return raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
-    return read_csv(spark, paths, sep=sep, infer=infer)
+    return union_all(_by_header(spark, _paths(path), infer))
+
+
+def _json_form(spark: SparkSession, paths: Sequence[str]) -> dict[bool, list[str]]:
+    """Files of JSON Lines (their first mark opens an object) and others."""
+    mark = F.substring(F.regexp_replace("head", "^[\ufeff\\s]+", ""), 1, 1)
+    marks = {}
+    if reachable(paths):
+        marks = {r["path"]: r["mark"] for r in first_blocks(spark, paths).select("path", mark.alias("mark")).collect()}
+    out: dict[bool, list[str]] = {}
+    for p in paths:
+        first = marks.get(p)
+        if not first:  # blank for a whole block, or out of Python's reach
+            row = spark.read.text(p).filter(F.trim("value") != "").first()
+            first = row[0].lstrip("\ufeff \t")[:1] if row else ""
+        out.setdefault(first == "{", []).append(p)
+    return out
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], lines: bool | None = None, schema=None) -> DataFrame:
-    """A JSON array, or JSON Lines when the first non-blank line opens an object."""
+    """JSON arrays and JSON Lines, told apart file by file; one read for each form."""
     paths = _paths(path)
-    if lines is None:
-        first = spark.read.text(paths[0]).filter(F.trim("value") != "").first()
-        lines = first is not None and first[0].lstrip("\ufeff \t").startswith("{")
-    reader = spark.read.option("multiLine", not lines)
-    return (reader.schema(schema) if schema is not None else reader).json(paths)
+    forms = {lines: paths} if lines is not None else _json_form(spark, paths)
+    parts = []
+    for form, files in sorted(forms.items()):
+        reader = spark.read.option("multiLine", not form)
+        parts.append((reader.schema(schema) if schema is not None else reader).json(files))
+    return union_all(parts)
 
 
 def record_tag(spark: SparkSession, path: str) -> str:
@@ -305,7 +309,7 @@ def read_group(spark: SparkSession, catalog: DataFrame, group: str, max_files: i
 
 def _by_header(spark: SparkSession, files: Sequence[str], infer: bool, source: bool = False) -> list[DataFrame]:
     """One scan per distinct header instead of one per file."""
-    heads = peek_columns(text_facts(spark, files)).withColumn("sep", separator_of("first_line"))
+    heads = peek_columns(first_lines(spark, files))
     sets = heads.groupBy("columns", "sep").agg(F.collect_list("path").alias("paths")).collect()  # file names only
     parts = []
     for s in sorted(sets, key=lambda r: min(r["paths"])):
@@ -321,6 +325,22 @@ def _tagged(df: DataFrame) -> DataFrame:
     return df.withColumn(SOURCE_FILE, F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def broken_rows(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """``(path, broken, example)`` of delimited files that hold rows with more or fewer cells than their header."""
+    heads = peek_columns(first_lines(spark, files))
+    sets = heads.groupBy("columns", "sep").agg(F.collect_list("path").alias("paths")).collect()  # file names only
+    out = None
+    for s in sets:
+        names = [f"c{i}" for i in range(len(s["columns"]))]
+        reader = spark.read.schema(", ".join(f"{n} string" for n in names) + ", _broken string")
+        rows = reader.options(sep=s["sep"], header=not headerless(s["columns"]), quote='"', escape='"', columnNameOfCorruptRecord="_broken", columnPruning=False, enforceSchema=True).csv(s["paths"])
+        bad = rows.select(F.input_file_name().alias("path"), *names, "_broken").filter("_broken IS NOT NULL")
+        per = bad.groupBy("path").agg(F.count("*").alias("broken"), F.min(F.struct("_broken", names[0])).alias("one")).select("path", "broken", F.col("one._broken").alias("example"))
+        per = cut(per)  # all columns at once: a scan for the broken row alone is refused
+        out = per if out is None else out.union(per)
+    return out if out is not None else spark.createDataFrame([], "path string, broken long, example string")
+
+
 @dataclass
 class Bundle:
     """Union of several files with what was read from where."""
@@ -331,7 +351,11 @@ class Bundle:
 
 
 def load_sources(spark: SparkSession, paths: Sequence[str], limit: int | None = None, infer: bool = True) -> Bundle:
-    """Union files by column name; broken files are recorded, and only all of them failing raises."""
+    """Union files by column name; broken files are recorded, and only all of them failing raises.
+
+    ``sources`` has a row per file with its state and, for delimited text, its rows of the wrong number of cells: how many,
+    and one of them. Such rows stay in ``data``, missing cells null and surplus ones left out.
+    """
     files, notes = expand(spark, paths, limit)
     if not files:
         raise FileNotFoundError("no readable files: " + "; ".join(notes))
@@ -339,7 +363,7 @@ def load_sources(spark: SparkSession, paths: Sequence[str], limit: int | None =
     text = [f for f in files if detect_format(f) in ("csv", "tsv", "txt")]
     parts, records = [], []
     if text:
-        facts = {r["path"]: r for r in peek_columns(text_facts(spark, text)).collect()}
+        facts = {r["path"] for r in first_lines(spark, text).select("path").collect()}
         usable = [f for f in text if any(f.endswith(k.split(":", 1)[-1].lstrip("/")) for k in facts)]
         parts += _by_header(spark, usable, infer, several)
         records += [(f, "text", f in usable, None if f in usable else "empty file") for f in text]
@@ -357,6 +381,10 @@ def load_sources(spark: SparkSession, paths: Sequence[str], limit: int | None =
     if not parts:
         raise RuntimeError("all files failed: " + "; ".join(notes[:3]))
     sources = spark.createDataFrame(records, "path string, format string, ok boolean, error string")
+    ragged = broken_rows(spark, usable) if text and usable else spark.createDataFrame([], "path string, broken long, example string")
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  (Spark writes a path's scheme in two ways)
+    ragged = ragged.select(bare("path").alias("_p"), "broken", "example")
+    sources = sources.join(F.broadcast(ragged), bare("path") == F.col("_p"), "left").drop("_p").withColumn("broken", F.coalesce("broken", F.lit(0)))  # a row per file
     return Bundle(union_all(parts), sources, notes)
 
 

@@ -198,3 +198,84 @@ def test_refit_reports_what_is_missing(spark):
     assert got["capabilities"] == {"panel": True, "twfe": True, "event_study": True, "support": True, "spatial": False, "risk": False}
     assert len(got["notes"]) == 2 and got["twfe"].terms == ["post"]
     assert J.run_refit(d, {"entity": "k1"})["capabilities"]["panel"] is False
+
+
+def test_first_blocks_read_no_more_than_a_block(spark, tmp_path):
+    from geostrata.sources.first_block import first_blocks
+
+    (tmp_path / "long.csv").write_text("a;b\n" + "1;2\n" * 200_000)
+    (tmp_path / "wide.csv").write_text("x" * 200_000 + ",y\n1,2\n")
+    (tmp_path / "short.csv").write_text("﻿p\tq\n1\t2")
+    files = [str(p) for p in sorted(tmp_path.iterdir())]
+    got = {r.path.rsplit("/", 1)[-1]: r for r in first_blocks(spark, files, 1000).collect()}
+    assert {n: (r.read, r.whole) for n, r in got.items()} == {"long.csv": (1000, False), "wide.csv": (1000, False), "short.csv": (10, True)}
+    heads = {r.path.rsplit("/", 1)[-1]: (r.sep, len(r.columns)) for r in D.peek_columns(D.first_lines(spark, files)).collect()}
+    assert heads == {"long.csv": (";", 2), "wide.csv": (",", 2), "short.csv": ("\t", 2)}
+
+
+def test_ragged_rows_are_counted_with_an_example(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3\n4,5,6\n7,8\n")
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n")
+    rows = {r.path.rsplit("/", 1)[-1]: (r.broken, r.example) for r in I.load_sources(spark, [str(tmp_path)]).sources.collect()}
+    assert rows == {"a.csv": (2, "3"), "b.csv": (0, None)}
+
+
+def test_json_forms_are_told_apart_by_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"k": 1},\n {"k": 2}]')
+    (tmp_path / "b.json").write_text('\n\n{"k": 3}\n{"k": 4}\n')
+    assert sorted(r.k for r in I.read_json(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")]).collect()) == [1, 2, 3, 4]
+
+
+def test_written_arrays_marks_and_buckets(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "q", b', None), (2, None, 2.5)], "k long, t string, v double").repartition(3)
+    K.write(df, str(tmp_path / "j"), "json")
+    import json
+
+    assert sorted(r["k"] for p in (tmp_path / "j").glob("part-*") for r in json.loads(p.read_text())) == [1, 2]
+    K.write(df, str(tmp_path / "c"), "csv", bom=True)
+    assert all(p.read_text().startswith("﻿k,t,v\n") for p in (tmp_path / "c").glob("part-*"))
+    back = I.read_csv(spark, str(tmp_path / "c"), sep=",")
+    assert sorted(map(tuple, back.select(F.col(back.columns[1]).alias("t"), "v").collect()), key=str) == sorted([('a "q", b', None), (None, 2.5)], key=str)
+    from geostrata.operators.panel import growth
+
+    p = spark.createDataFrame([(e, t, float(e * t)) for e in range(9) for t in range(4)], "e long, t long, v double")
+    stored = K.write_bucketed(p, "bucketed_for_a_test", str(tmp_path / "b"), "e", ["t"], 4)
+    plan = growth(stored, "v", "e", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    assert sorted(map(tuple, growth(stored, "v", "e", "t").collect()), key=str) == sorted(map(tuple, growth(p, "v", "e", "t").collect()), key=str)
+    spark.sql("DROP TABLE bucketed_for_a_test")
+
+
+def test_stored_profiles_grow_by_new_sources_only(spark, tmp_path):
+    import numpy as np
+
+    from geostrata.operators import sketches as S
+
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i % 4}", float(x), int(x * 10) % 3000) for i, x in enumerate(rng.lognormal(3, 1, 40_000))]
+    df, seen = spark.createDataFrame(rows, "src string, v double, k int"), []
+
+    def read(names):
+        seen.append(names)
+        return df.filter(F.col("src").isin(names))
+
+    store = str(tmp_path / "store")
+    assert S.update(spark, store, ["s0", "s1"], read, "src") == ["s0", "s1"]
+    assert S.update(spark, store, ["s0", "s1", "s2", "s3"], read, "src") == ["s2", "s3"]
+    assert S.update(spark, store, ["s3"], read, "src") == [] and seen == [["s0", "s1"], ["s2", "s3"]]
+    got = {r.field: r for r in S.summary(S.merged(S.stored(spark, store)), (0.25, 0.5, 0.99)).collect()}
+    v = np.array([r[1] for r in rows])
+    assert got["v"].rows == len(v) and got["v"].mean == pytest.approx(v.mean()) and got["v"].std == pytest.approx(v.std())
+    for q, name in ((0.25, "q25"), (0.5, "q50"), (0.99, "q99")):
+        assert abs((v <= got["v"][name]).mean() - q) < 0.02
+    assert abs(got["k"].distinct / len({r[2] for r in rows}) - 1) < 0.05
+
+
+def test_equal_buckets_are_not_joined(spark):
+    from geostrata.operators import validate as V
+
+    a = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    b = a.withColumn("v", F.when(F.col("k") == 77, 100.0).when(F.col("k") != 78, F.col("v"))).filter("k <> 79").union(spark.sql("SELECT CAST(NULL AS long), 1D"))
+    tree, whole = (V.reconcile(a, b, ["k"], ["v"], unique_keys=u).first() for u in (True, False))
+    assert tree == whole and (tree.rows_left, tree.rows_right, tree.rows_both, tree.null_mismatch, tree.max_diff) == (5000, 5000, 4999, 1, 100.0)
+    assert V.reconcile(a, a, ["k"], ["v"]).first().ok
