@@ -6,6 +6,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,10 +187,13 @@ def run_analyze(spark: SparkSession, source: DataFrame | Sequence[str], override
 
 
 def run_refit(df: DataFrame, roles: Mapping[str, str | None], y_col: str | None = None, treat_year: str | None = None, mark: str | None = None,
-              strength: str | None = None, exit_col: str | None = None, k: int = 6, method: str = "one_pass") -> dict[str, Any]:
+              strength: str | None = None, exit_col: str | None = None, k: int = 6, method: str = "exact",
+              max_group: int | None = None, max_time: int | None = None) -> dict[str, Any]:
     """Panel, two-way effects, event study, support, spatial and risk models on any table.
 
-    A part that cannot be computed is None with a note; the others still run.
+    A part that cannot be computed is None with a note; the others still run. Failures of the cluster are not caught.
+    Group and period effects of the risk model are left out above ``max_group`` and ``max_time`` levels only where
+    these are given.
     """
     ent, tim, val = roles.get("entity"), roles.get("time"), roles.get("value")
     out: dict[str, Any] = {"notes": [], "capabilities": {}}
@@ -196,7 +201,7 @@ def run_refit(df: DataFrame, roles: Mapping[str, str | None], y_col: str | None
     def attempt(name, fn):
         try:
             out[name] = fn()
-        except Exception as exc:
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError, AnalysisException) as exc:
             out[name] = None
             out["notes"].append(f"{name}: {type(exc).__name__}: {exc}")
         out["capabilities"][name] = out[name] is not None
@@ -244,9 +249,9 @@ def run_refit(df: DataFrame, roles: Mapping[str, str | None], y_col: str | None
             target = "_exit"
         d = d.withColumn(target, F.when(as_number(target).isNotNull(), (as_number(target) > 0).cast("int"))).filter(F.col(target).isNotNull())
         skip = [c for c in (ent, tim, roles.get("lat"), roles.get("lon"), val) if c]
-        numeric, factors, dropped = H.risk_design(d, target, skip, roles.get("group"), tim, max_group=30, max_time=60)
+        numeric, factors, dropped = H.risk_design(d, target, skip, roles.get("group"), tim, max_group=max_group, max_time=max_time)
         if dropped:
-            out["risk_dropped"] = dropped  # a factor with more levels has no usable estimate per level
+            out["risk_dropped"] = dropped
         if not numeric:
             raise ValueError("no usable regressors")
         return H.fit_cloglog(d, target, numeric, factors)

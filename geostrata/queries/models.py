@@ -365,7 +365,8 @@ def holdout_oot(spark, sf):
 
 
 @query("job_workflow", f"""
-SELECT {L('COUNT(*)')} AS before_rows, {L('COUNT(amount)')} AS after_rows, {L('COUNT(*) - COUNT(amount)')} AS removed_rows, CAST(1 AS BIGINT) AS failed,
+SELECT {L('COUNT(*)')} AS before_rows, {L('COUNT(amount)')} AS after_rows, {L('COUNT(*) - COUNT(amount)')} AS removed_rows,
+  (SELECT {L('CASE WHEN COUNT(*) > COUNT(DISTINCT id) THEN 1 ELSE 0 END + CASE WHEN MIN(GREATEST(amount, 0)) < 0 THEN 1 ELSE 0 END')} FROM fx_dirty WHERE amount IS NOT NULL) AS failed,
   (SELECT {L('COUNT(DISTINCT year)')} FROM fx_dirty) AS years FROM fx_dirty""")
 def job_workflow(spark, sf):
     from geostrata.operators.clean import CleanPlan

@@ -253,6 +253,25 @@ def parallel_trend_prep(spark, sf):
     return plain(parallel_trend(view(spark, sf, "fx_panel"), dim, "entity", "year", "value"))
 
 
+@query("chk_custom", f"""
+SELECT 'late_years' AS name, CASE WHEN COUNT(*) = 0 THEN 'pass' ELSE 'fail' END AS status, COUNT(*) || ' rows' AS message FROM fx_dirty WHERE year > 2000
+UNION ALL SELECT 'more_prices_than_gaps', CASE WHEN COUNT(amount) > COUNT(*) - COUNT(amount) THEN 'pass' ELSE 'fail' END, COUNT(amount) || ' of ' || COUNT(*) FROM fx_dirty
+UNION ALL SELECT 'broken', 'fail', 'no such table for ' || COUNT(DISTINCT cat) || ' categories' FROM fx_dirty""")
+def chk_custom(spark, sf):
+    def late_years(df):
+        n = df.filter("year > 2000").count()
+        return n == 0, f"{n} rows"
+
+    def more_prices_than_gaps(df):
+        held, n = df.agg(F.count("amount"), F.count("*")).first()
+        return held > n - held, f"{held} of {n}"
+
+    def broken(df):
+        raise ValueError(f"no such table for {df.select('cat').filter('cat is not null').distinct().count()} categories")
+
+    return V.validate(view(spark, sf, "fx_dirty"), [late_years, more_prices_than_gaps, broken]).select("name", "status", "message")
+
+
 @query("reconcile", f"""
 WITH l AS (SELECT entity, year, value, n_orders FROM fx_panel),
 r AS (SELECT entity, year, CASE WHEN entity % 97 = 0 THEN NULL ELSE value + CASE WHEN entity % 89 = 0 THEN 0.5 ELSE 0 END END AS value, n_orders FROM fx_panel WHERE year > 1995),

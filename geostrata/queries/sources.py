@@ -277,7 +277,26 @@ def disc_schema_coverage(spark, sf):
     return plain(D.schema_coverage(files))
 
 
-@query("disc_fingerprint", f"SELECT {L('COUNT(DISTINCT year(o_orderdate))')} AS folders, CAST(1 AS BIGINT) AS all_hashed FROM orders")
+def _lines_by_year(spark, sf):
+    """One file per year, its lines in order, so that its bytes are known."""
+    path = scratch_path(spark, "lines")
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("yr"), "o_orderkey", F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"))
+    o.repartition(1).sortWithinPartitions("yr", "o_orderkey").select("yr", "value").write.partitionBy("yr").text(path)
+    return _files(spark, path)
+
+
+_BYTES = "WITH b AS (SELECT year(o_orderdate) AS year, string_agg(o_orderkey || ',' || o_custkey || chr(10), '' ORDER BY o_orderkey) AS t FROM orders GROUP BY 1)"
+
+
+@query("disc_fingerprint", f"{_BYTES} SELECT {L('year')} AS year, {L('length(t)')} AS size, md5(t) AS digest FROM b")
 def disc_fingerprint(spark, sf):
-    f = D.fingerprints(spark, _files(spark, yearly(spark, sf)))
-    return plain(f.agg(F.countDistinct(F.regexp_extract("path", r"yr=(\d+)", 1)).alias("folders"), F.bool_and(F.length("digest") == 32).alias("all_hashed")))
+    f = D.fingerprints(spark, _lines_by_year(spark, sf))
+    return plain(f.select(F.regexp_extract("path", r"yr=(\d+)", 1).cast("long").alias("year"), "size", "digest"))
+
+
+@query("disc_fingerprint_blocks", f"""{_BYTES}, p AS (SELECT year, i, md5(substr(t, CAST(i * 10000 + 1 AS BIGINT), 10000)) AS d FROM b, (SELECT UNNEST(RANGE(0, 10000)) AS i) WHERE i * 10000 < length(t))
+SELECT {L('year')} AS year, md5(string_agg(d, '' ORDER BY i)) AS digest FROM p GROUP BY year""")
+def disc_fingerprint_blocks(spark, sf):
+    f = D.fingerprints(spark, _lines_by_year(spark, sf), block_bytes=10_000)
+    return plain(f.select(F.regexp_extract("path", r"yr=(\d+)", 1).cast("long").alias("year"), "digest"))
+

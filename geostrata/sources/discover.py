@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.columns import ratio
 from geostrata.session import cut
-from geostrata.sources.first_block import first_blocks, reachable
+from geostrata.sources.first_block import first_blocks, range_digests, reachable
 from geostrata.sources.formats import EXTENSIONS
 
 TEXT_FORMATS = ("csv", "tsv", "txt", "json", "jsonl", "nt")
@@ -126,9 +126,19 @@ def peek_columns(facts: DataFrame, separator: str | None = None) -> DataFrame:
     return facts.withColumn("columns", names)
 
 
-def fingerprints(spark: SparkSession, paths: Sequence[str], max_bytes: int | None = None, truncate_sha: int | None = None) -> DataFrame:
-    """MD5 (or a shortened SHA-256) of each file with its size and time; null above ``max_bytes``."""
+def fingerprints(spark: SparkSession, paths: Sequence[str], max_bytes: int | None = None, truncate_sha: int | None = None,
+                 block_bytes: int | None = None) -> DataFrame:
+    """MD5 (or a shortened SHA-256) of each file with its size and time; null above ``max_bytes``.
+
+    A whole file is one cell, so this form ends at 2 GB. With ``block_bytes`` the digest is the MD5 of the MD5s of the
+    file's successive ranges of that size, read by as many tasks: for files of any size, in stores that Python reaches.
+    """
     files = spark.read.format("binaryFile").load(list(paths))
+    if block_bytes:
+        facts = cut(files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
+        sizes = [(r["path"], r["size"]) for r in facts.collect() if max_bytes is None or r["size"] <= max_bytes]  # a listing
+        parts = range_digests(spark, sizes, block_bytes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", "digest"))).alias("d"))
+        return facts.join(parts.select("path", F.md5(F.array_join("d.digest", "").cast("binary")).alias("digest")), "path", "left")
     small = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
     digest = F.md5("content") if truncate_sha is None else F.substring(F.sha2("content", 256), 1, truncate_sha)
     hashed = small.select("path", digest.alias("digest"))

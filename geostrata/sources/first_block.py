@@ -8,9 +8,12 @@ Spark reaches, the caller falls back to Spark's reader.
 from __future__ import annotations
 
 import gzip
+import hashlib
+import sys
 import zlib
 from collections.abc import Iterator, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -63,6 +66,51 @@ class FirstBlock(DataSource):
         return FirstBlockReader(self.options)
 
 
+class Range(InputPartition):
+    def __init__(self, path: str, number: int, start: int, length: int):
+        self.path, self.number, self.start, self.length = path, number, start, length
+
+
+class RangeDigestReader(DataSourceReader):
+    def __init__(self, options):
+        self.files = [line.split("\t") for line in options["files"].split("\n")] if options["files"] else []
+        self.block = int(options["block"])
+
+    def partitions(self) -> list[Range]:
+        return [Range(p, i, at, min(self.block, int(size) - at)) for p, size in self.files for i, at in enumerate(range(0, max(int(size), 1), self.block))]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        path, digest, left = partition.path, hashlib.md5(), partition.length
+        plain = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+        store, name = fs.FileSystem.from_uri(plain)
+        with store.open_input_file(name) as f:
+            f.seek(partition.start)
+            while left > 0 and (part := f.read(min(left, 1 << 20))):
+                digest.update(part)
+                left -= len(part)
+        yield path, partition.number, digest.hexdigest()
+
+
+class RangeDigest(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "range_digest"
+
+    def schema(self) -> str:
+        return "path string, number int, digest string"
+
+    def reader(self, schema) -> RangeDigestReader:
+        return RangeDigestReader(self.options)
+
+
+def range_digests(spark: SparkSession, sizes: Sequence[tuple[str, int]], block: int) -> DataFrame:
+    """``(path, number, digest)``: the MD5 of every ``block`` bytes of each file, a task per range, a megabyte in memory."""
+    _by_value(spark, RangeDigest)
+    return spark.read.format("range_digest").option("files", "\n".join(f"{p}\t{n}" for p, n in sizes)).option("block", block).load()
+
+
 def reachable(paths: Sequence[str]) -> bool:
     """Does Python know how to open these paths' store?"""
     from pyarrow import fs
@@ -78,11 +126,13 @@ def reachable(paths: Sequence[str]) -> bool:
     return True
 
 
+def _by_value(spark: SparkSession, source: type[DataSource]) -> None:
+    """Register a source so that workers need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(source)
+
+
 def first_blocks(spark: SparkSession, paths: Sequence[str], block: int = BLOCK) -> DataFrame:
     """``(path, size, read, whole, head)`` of each file; ``read`` bytes were read, ``whole`` tells whether that is all of it."""
-    from pyspark import cloudpickle
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers need not have this package
-    spark.dataSource.register(FirstBlock)
+    _by_value(spark, FirstBlock)
     return spark.read.format("first_block").option("paths", "\n".join(paths)).option("block", block).load()

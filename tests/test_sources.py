@@ -279,3 +279,21 @@ def test_equal_buckets_are_not_joined(spark):
     tree, whole = (V.reconcile(a, b, ["k"], ["v"], unique_keys=u).first() for u in (True, False))
     assert tree == whole and (tree.rows_left, tree.rows_right, tree.rows_both, tree.null_mismatch, tree.max_diff) == (5000, 5000, 4999, 1, 100.0)
     assert V.reconcile(a, a, ["k"], ["v"]).first().ok
+
+
+def test_a_file_above_two_gigabytes_has_a_digest(spark, tmp_path):
+    import hashlib
+
+    big, block = tmp_path / "big.csv", 1 << 29
+    with open(big, "wb") as f:
+        f.truncate(3 * (1 << 30) - 7)  # sparse
+        f.seek(1 << 31)
+        f.write(b"mark")
+    got = D.fingerprints(spark, [str(big)], block_bytes=block).first()
+    zeros, parts = hashlib.md5(bytes(block)).hexdigest(), []
+    for start in range(0, got["size"], block):
+        data = bytearray(min(block, got["size"] - start))
+        if start == 1 << 31:
+            data[:4] = b"mark"
+        parts.append(zeros if len(data) == block and start != 1 << 31 else hashlib.md5(data).hexdigest())
+    assert got["digest"] == hashlib.md5("".join(parts).encode()).hexdigest()
