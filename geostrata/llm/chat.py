@@ -153,23 +153,32 @@ def segmented(rows: DataFrame) -> DataFrame:
     """Rows with ``cid`` (never null: a row without conversation is one of its own), ``seg`` and an order in it.
 
     A segment is a stretch of turns; a crowded stretch is split by turn, and rows of one turn by their hash, which
-    orders them.
+    orders them; more than ``SEGMENT_ROWS`` equal rows of a turn are dealt over segments of their own. Written once, so
+    that a row keeps its number.
     """
     mark = F.xxhash64(F.col("turn"), F.col("text"), F.col("role"))
-    cid = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("r"), F.hex(mark), F.lit("-"), F.coalesce(F.col("turn").cast("string"), F.lit(""))))
+    alone = F.concat(F.lit("r"), F.hex(mark), F.lit("-"), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    named = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    number = F.monotonically_increasing_id()
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    base = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), cid.alias("cid"), turn.alias("t"), mark.alias("mark"))
+    base = cut(rows.select(
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), turn.alias("t"), mark.alias("mark"), number.alias("number"),
+        F.coalesce(named, F.concat(alone, F.lit("-"), number.cast("string"))).alias("cid"), F.xxhash64(F.coalesce(named, alone)).alias("fold")))
     base = base.withColumn("stretch", F.floor(F.col("t") / SEGMENT_TURNS))
     sizes = base.groupBy(F.col("cid").alias("c"), F.col("stretch").alias("s")).agg(F.count("*").alias("n"))
-    full = sizes.where(F.col("n") > SEGMENT_ROWS).withColumn("parts", F.ceil(F.col("n") / SEGMENT_ROWS))
-    base = base.join(full, (F.col("cid") == F.col("c")) & (F.col("stretch") == F.col("s")), "left").drop("c", "s", "n")
+    full = cut(sizes.where(F.col("n") > SEGMENT_ROWS).withColumn("parts", F.ceil(F.col("n") / SEGMENT_ROWS)).drop("n"))
+    base = base.join(full, (F.col("cid") == F.col("c")) & (F.col("stretch") == F.col("s")), "left").drop("c", "s")
+    equal = base.where("parts IS NOT NULL").groupBy(F.col("cid").alias("c"), F.col("t").alias("e_t"), F.col("mark").alias("e_mark")).agg(F.count("*").alias("n"))
+    crowds = cut(equal.where(F.col("n") > SEGMENT_ROWS).withColumn("subs", F.ceil(F.col("n") / SEGMENT_ROWS)).drop("n"))
+    base = base.join(crowds, (F.col("cid") == F.col("c")) & (F.col("t") == F.col("e_t")) & (F.col("mark") == F.col("e_mark")), "left").drop("c", "e_t", "e_mark")
     part = F.floor(F.shiftrightunsigned(F.col("mark"), 33) * F.col("parts") / F.lit(float(1 << 31)))
     split = F.col("parts").isNotNull()
-    seg = F.struct("stretch", F.when(split, F.col("t")).otherwise(0).alias("turn"), F.when(split, part).otherwise(0).alias("part"))
-    return base.withColumn("seg", seg).withColumn("place", F.shiftrightunsigned(F.col("mark"), 33)).drop("parts")
+    sub = F.coalesce(F.pmod(F.xxhash64("number"), F.col("subs")) + 1, F.lit(0))  # equal rows come behind the others of their part
+    seg = F.struct("stretch", F.when(split, F.col("t")).otherwise(0).alias("turn"), F.when(split, part).otherwise(0).alias("part"), sub.alias("sub"))
+    return base.withColumn("seg", seg).withColumn("place", F.shiftrightunsigned(F.col("mark"), 33)).drop("parts", "subs")
 
 
-ORDER = ("cid", "seg", "t", "place", "mark")
+ORDER = ("cid", "seg", "t", "place", "mark", "number")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]):
@@ -184,14 +193,14 @@ def _segments(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]):
 
 
 def _key():
-    return F.concat_ws("/", "cid", "seg.stretch", "seg.turn", "seg.part").alias("key")
+    return F.concat_ws("/", "cid", "seg.stretch", "seg.turn", "seg.part", "seg.sub").alias("key")
 
 
 def fit(rows: DataFrame) -> Model:
     """Counts over rows with a known role, without every fifth conversation; only the sums reach the driver."""
     roles = F.create_map(*[x for n, r in NAMES.items() for x in (F.lit(n), F.lit(r))])
-    known = rows.select("cid", "seg", "t", "place", "mark", "text", F.get(F.array(roles[F.lower("role")]), F.lit(0)).alias("known"))
-    known = known.where(F.col("known").isNotNull() & (F.pmod(F.xxhash64("cid"), F.lit(5)) != 0))
+    known = rows.select("cid", "seg", "t", "place", "mark", "number", "fold", "text", F.get(F.array(roles[F.lower("role")]), F.lit(0)).alias("known"))
+    known = known.where(F.col("known").isNotNull() & (F.pmod("fold", F.lit(5)) != 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = no_counts()
@@ -213,7 +222,7 @@ def fit(rows: DataFrame) -> Model:
 
 def _borders(rows: pa.Table) -> pa.Table:
     """Entering and leaving state of each segment of one conversation, from the segments' matrices."""
-    rows = rows.sort_by([("stretch", "ascending"), ("turn", "ascending"), ("part", "ascending")])
+    rows = rows.sort_by([(c, "ascending") for c in ("stretch", "turn", "part", "sub")])
     mats = np.array(rows["matrix"].to_pylist()).reshape(-1, K + 1, K)
     best, ways = mats[0][K], []
     for m in mats[1:]:
@@ -242,18 +251,18 @@ def formatted(conversations: DataFrame) -> DataFrame:
     model = fit(rows)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment in _segments(batches, ("cid", "stretch", "turn", "part", "text")):
+        for segment in _segments(batches, ("cid", "stretch", "turn", "part", "sub", "text")):
             seen = np.vstack([observe(s[-1].split("\n")) for s in segment])
             first = segment[0]
             yield pa.RecordBatch.from_pydict({
                 "key": [first[0]], "cid": [first[1]], "stretch": pa.array([first[2]], pa.int64()), "turn": pa.array([first[3]], pa.int64()),
-                "part": pa.array([first[4]], pa.int64()), "matrix": pa.array([model.matrix(seen).ravel().tolist()], pa.list_(pa.float64()))})
+                "part": pa.array([first[4]], pa.int64()), "sub": pa.array([first[5]], pa.int64()), "matrix": pa.array([model.matrix(seen).ravel().tolist()], pa.list_(pa.float64()))})
 
     # only conversations of several segments need their borders
     several = rows.groupBy("cid").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo <> hi").select(F.col("cid").alias("long_cid"))
     long_rows = rows.join(several, F.col("cid") == F.col("long_cid"), "left_semi").repartition("cid", "seg").sortWithinPartitions(*ORDER)
-    parts = long_rows.select(_key(), "cid", "seg.stretch", "seg.turn", "seg.part", "text").mapInArrow(
-        summed, "key string, cid string, stretch long, turn long, part long, matrix array<double>")
+    parts = long_rows.select(_key(), "cid", "seg.stretch", "seg.turn", "seg.part", "seg.sub", "text").mapInArrow(
+        summed, "key string, cid string, stretch long, turn long, part long, sub long, matrix array<double>")
     borders = cut(parts.groupBy("cid").applyInArrow(_borders, "b_key string, enter long, leave long"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

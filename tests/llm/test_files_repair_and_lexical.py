@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geostrata.llm import embedding_dedup, lexical_search, sharding, token_files, turn_repair
+from geostrata.llm import chat, embedding_dedup, lexical_search, sharding, token_files, turn_repair
 from geostrata.llm.wavelet import WaveletFile, encode
 
 DOCS = "doc_id long, text string, file string, n long, terms string, pos string"  # names that operators use themselves
@@ -330,3 +330,20 @@ def test_links_seen_from_one_end_count_at_both(spark, monkeypatch):
     for shard_rows in (100, 1000):
         found = embedding_dedup.near_duplicates(df, 0.98, shard_rows=shard_rows)
         assert {r.vec_id: r.n_links for r in found.collect()} == want
+
+
+def test_crowds_of_equal_turns_and_rows_without_conversation(spark, monkeypatch):
+    talk_ = [(c, t, ("user", "assistant")[t % 2], "What is this?" if t % 2 == 0 else "It is. " * 40) for c in range(20) for t in range(6)]
+    rows = talk_ + [(1000, 3, "user", "What is this?")] * 90 + [(1000, 3, "assistant", "It is. " * 40)] * 7 + [(None, 1, "assistant", "It is. " * 40)] * 30
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    whole = Counter(map(str, chat.formatted(df).collect()))
+    monkeypatch.setattr(chat, "SEGMENT_ROWS", 16)
+    sizes = chat.segmented(df).groupBy("cid", "seg").count().agg(F.max("count")).first()[0]
+    assert sizes <= 3 * 16
+    assert chat.segmented(df).where("conv_id IS NULL").select("cid").distinct().count() == 30
+    model = chat.fit(chat.segmented(df))
+    monkeypatch.setattr(chat, "fit", lambda r: model)
+    split = Counter(map(str, chat.formatted(df).collect()))
+    assert sum(split.values()) == sum(whole.values()) == len(rows)
+    alone = {r.role for r in chat.formatted(df).where("conv_id IS NULL").collect()}
+    assert len(alone) == 1  # each decoded by itself, so all alike
