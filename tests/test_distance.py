@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from geostrata.operators import distance
 from geostrata.operators.distance import knn_edges, ring_counts
 from geostrata.operators.rings import FINE, event_counts, first_exposure, ring_exposure
 
@@ -43,6 +44,31 @@ def test_ring_counts_equal_brute_force(spark, lat0, lng0, spread, budget, rows):
         assert (got[f"ring_{j}"].reindex(p["id"]).fillna(0).to_numpy() == want).all()
 
 
+def test_ring_counts_write_and_shuffle_locations_not_pairs(spark, monkeypatch):
+    rng, written, whole = np.random.default_rng(8), [], distance.cut
+    p = pd.DataFrame({"id": np.arange(1500), "lat": 40 + rng.random(1500) * 0.3, "lng": -100 + rng.random(1500) * 0.3, "year": rng.integers(0, 4, 1500)})
+    df = spark.createDataFrame(p)
+    lost = spark.createDataFrame([(-1, float("nan"), -100.0, 0)], df.schema)
+
+    def counting(rows):
+        out = whole(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(distance, "cut", counting)
+    edges = [0, 1, 3, 5, 10]
+    got = ring_counts(df.union(lost), df.union(lost), edges, ["id"], split=["year"], closed="right")
+    assert sum(written) <= 3 * len(p)  # box pairs were a hundred times as many
+    got = got.toPandas().set_index(["id", "year"])
+    d = haversine(p["lat"].to_numpy()[:, None], p["lng"].to_numpy()[:, None], p["lat"].to_numpy(), p["lng"].to_numpy())
+    for y in range(4):
+        there = got.xs(y, level="year").reindex(p["id"]).fillna(0)
+        for j, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            inside = (d <= b) & ((d > a) | (a == 0)) & (p["year"].to_numpy() == y)
+            assert (there[f"ring_{j}"].to_numpy() == inside.sum(axis=1)).all()
+    assert -1 not in got.index.get_level_values("id")
+
+
 def test_exposure_leaves_the_event_itself_out(spark):
     p = cloud(5).assign(acq_year=lambda x: np.where(x["id"] % 4 == 0, 2000.0, np.nan))
     p.loc[p["id"] % 31 == 7, "lat"] = np.nan
