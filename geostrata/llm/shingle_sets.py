@@ -1,7 +1,9 @@
 """Near-duplicates by the shingles they share: Jaccard similarity of the sets of word shingles.
 
-At a similarity of 0.8 two 64-bit SimHash fingerprints differ in ten bits on average and often in fifteen, where keys
-of exact segments and Golay codewords select nothing. So candidates come from min-wise hashes: ``BANDS`` keys of
+Candidates come from SimHash first: fingerprints over the same shingles, linked at two differing bits or fewer through keys
+of exact segments and Golay codewords (``simhash.linked``). Sets whose fingerprints hang together share a key.
+At a similarity of 0.8 two fingerprints differ in ten bits on average and often in fifteen, where those keys
+select nothing. So more candidates come from min-wise hashes: ``BANDS`` keys of
 ``ROWS`` minima each; a pair of similarity 0.8 shares none of them with probability 0.00007, a more similar one with
 less. Candidates are verified on their whole shingle sets, so every link is a true one. Equal sets are one node.
 
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.llm import simhash
 from geostrata.llm.common import components, ship, text_of
 from geostrata.operators.skew import hot_key_join
 from geostrata.session import cut
@@ -36,14 +39,19 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 262_144
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of ``size`` successive words; of all words where there are fewer; none without words."""
+def hashes(text: str, size: int = 5) -> np.ndarray:
+    """Hashes of ``size`` successive words, repeats included; of all words where there are fewer; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # as in simhash.fingerprint
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     last = max(1, len(words) - size + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i:i + size]), SEED) for i in range(last)), np.uint64, last))
+    return np.fromiter((digest(b" ".join(words[i:i + size]), SEED) for i in range(last)), np.uint64, last)
+
+
+def shingles(text: str, size: int = 5) -> np.ndarray:
+    """Sorted distinct ``hashes``."""
+    return np.unique(hashes(text, size))
 
 
 def mark(found: np.ndarray) -> int:
@@ -64,10 +72,12 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
+            every = [hashes(t.as_py(), size) for t in batch.column(1)]
+            sets = [np.unique(h) for h in every]
+            prints = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
             arrays = [batch.column(0), pa.array([mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                      pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "n", "keys"])
+                      pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "n", "keys", "sim"])
 
     return run
 
@@ -112,6 +122,14 @@ def _compared(least: float):
     return run
 
 
+def simhash_keys(rows: DataFrame, crowd: int = 64) -> DataFrame:
+    """``(fp, n, key)`` of sets ``(fp, n, sim)``: one key for all whose fingerprints hang together by links of at most two bits."""
+    marked = rows.where("n > 0").select("fp", "n", "sim").distinct()
+    groups = simhash.components(simhash.linked(marked.select(F.col("sim").alias("fp")).distinct(), crowd))
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("label", "sim"))
+    return marked.join(groups.withColumnRenamed("node", "sim"), "sim", "left").select("fp", "n", key.alias("key")).distinct()
+
+
 def _crowd_links(crowded: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links inside the crowds of ``crowded (key, fp)``, enough to keep every pair of similarity ``least`` connected."""
     hubs = crowded.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("_held"))
@@ -144,9 +162,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: i
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_of().alias("text"))
-    rows = cut(texts.mapInArrow(_sketched(size), f"doc_id {kind}, fp long, n long, keys array<long>"))
+    rows = cut(texts.mapInArrow(_sketched(size), f"doc_id {kind}, fp long, n long, keys array<long>, sim long"))
     marks = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = marks.select("fp", "n", F.explode("keys").alias("key"))
+    keyed = cut(simhash_keys(rows, crowd)).union(marks.select("fp", "n", F.explode("keys").alias("key")))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     shared = cut(hot_key_join(keyed, sizes, ["key"], "held"))
     few = shared.where(F.col("held") <= crowd).select("key", "fp", "n")

@@ -52,11 +52,16 @@ def fingerprint(text: str, size: int = 3) -> int:
     else:
         starts, ends = starts[: len(words) - size + 1], ends[size - 1:]
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set when it is in more than half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at:at + CHUNK], ends[at:at + CHUNK])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at:at + CHUNK].astype("<u8", copy=False)
+        counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

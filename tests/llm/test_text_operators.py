@@ -379,3 +379,25 @@ def test_many_random_edits_keep_the_tree_right():
         want = text[:start] + inserted + text[start + removed:]
         text, tree, _ = token_counts.edit(text, tree, start, removed, inserted, enc)
         assert text == want and tree.total.tolist() == [len(text), len(ids_of(text))]
+
+
+def test_near_copies_are_found_through_simhash_too(spark, monkeypatch):
+    rng, asked, found = np.random.default_rng(9), [], simhash.linked
+    texts = []
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 500, 400)]
+        texts += [" ".join(base), " ".join([*base, "tail"]), " ".join(base)]
+    texts += ["", None]
+
+    def seen(marks, crowd=64):
+        links = found(marks, crowd)
+        asked.append(links.count())
+        return links
+
+    monkeypatch.setattr(simhash, "linked", seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(df, size=5).collect())
+    assert kept == [*range(0, 24, 3), 24] and asked and asked[0] >= 1
+    rows = [(int(f), 3, int(s)) for f, s in ((1, 0b1000), (2, 0b1011), (3, 0b11111000), (4, 0b1000))] + [(0, 0, 0)]
+    keys = {r.fp: r.key for r in shingle_sets.simhash_keys(spark.createDataFrame(rows, "fp long, n long, sim long")).collect()}
+    assert keys[1] == keys[2] == keys[4] != keys[3] and 0 not in keys
