@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geostrata.operators import hazard as H
 from geostrata.operators import moran as M
 from geostrata.operators import twfe as T
+from geostrata.operators import distance as D
 from geostrata.operators.distance import knn_edges
 
 
@@ -89,6 +90,30 @@ def test_nearest_neighbours_of_a_city_a_desert_and_an_outlier(spark):
     assert told["rounds"] <= 14 and told["pairs"] < 400 * len(p)
 
 
+@pytest.mark.parametrize("tile", [40, 8192])
+def test_nearest_neighbours_over_many_tiles_take_two_rounds(spark, monkeypatch, tile):
+    monkeypatch.setattr(D, "TILE_PLACES", tile, raising=False)
+    monkeypatch.setattr(D, "TILE_SAMPLE", 10, raising=False)
+    monkeypatch.setattr(D, "TILE_ROWS", 7)  # asking places of a tile are dealt over tasks
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 0.001, (500, 2)), rng.uniform(-50, 50, (80, 2)), [[500, 500]], [[3, 3]] * 30, [[0.0, -0.0], [-0.0, 0.0]],
+                   [[7 + i * 1e-10, 7] for i in range(60)], [(20 + i / 10, 20 + j / 10) for i in range(9) for j in range(9)]])
+    p = pd.DataFrame({"id": rng.permutation(len(x)), "lng": x[:, 0], "lat": x[:, 1]})
+    odd = pd.DataFrame({"id": [9001, 9002], "lng": [np.inf, 1.0], "lat": [1.0, np.nan]})
+    told = {}
+    got = knn_edges(spark.createDataFrame(pd.concat([p, odd])), 6, report=told)
+    assert {(r.src, r.dst, r["rank"]) for r in got.collect()} == neighbours(p, 6)
+    assert told["rounds"] == (2 if tile == 40 else 1) and told["pairs"] < 400 * len(p)
+
+
+def test_distances_round_as_the_engine_does(spark):
+    gaps = [0.0000000005, 0.1000000005, 2.4999999995, 0.3, 1234.5678901235, 7.0000000015]
+    p = pd.DataFrame([(2 * i + j, 1e4 * i, g * j) for i, g in enumerate(gaps) for j in range(2)], columns=["id", "lat", "lng"])
+    got = {r.src // 2: r.d for r in knn_edges(spark.createDataFrame(p), 1).collect()}
+    want = spark.createDataFrame([(i, g) for i, g in enumerate(gaps)], "i long, g double").selectExpr("i", "round(g, 9) AS d").collect()
+    assert got == {r.i: r.d for r in want}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 6])
 def test_fewer_points_than_neighbours(spark, n):
     p = pd.DataFrame({"id": np.arange(n), "lng": np.arange(n) * 1.5, "lat": np.zeros(n)})
