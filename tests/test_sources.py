@@ -297,3 +297,21 @@ def test_a_file_above_two_gigabytes_has_a_digest(spark, tmp_path):
             data[:4] = b"mark"
         parts.append(zeros if len(data) == block and start != 1 << 31 else hashlib.md5(data).hexdigest())
     assert got["digest"] == hashlib.md5("".join(parts).encode()).hexdigest()
+
+
+def test_refit_computes_its_input_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(e, 1990 + t, float(100 + (e * 7 + t * 13) % 50 + t * e % 3), int((e * 5 + t) % 7 == 0), 40 + e % 9 / 10 + e / 1e4, -90 + e // 9 / 10, float(e * t % 11), "ab"[e % 2])
+            for e in range(40) for t in range(6)]
+    schema = "entity long, year long, value double, mark int, lat double, lng double, size double, grp string"
+    d = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    roles = {"entity": "entity", "time": "year", "value": "value", "lat": "lat", "lon": "lng", "group": "grp"}
+    got = J.run_refit(d, roles, mark="mark", exit_col="mark")
+    assert got["notes"] == [] and all(got["capabilities"].values())
+    assert seen.value == 2 * len(rows)  # once for the panel, once for the risk model
