@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geostrata.llm.common import ship, text_of
+from geostrata.llm.common import mapped, ship, text_of
 from geostrata.llm.tokens import default_tokenizer, encoder
 
 SLOTS = 1024
@@ -81,8 +81,8 @@ def pack(docs: DataFrame, longest: int = 1024, tokenizer: str | None = None, end
     ship(docs.sparkSession)
     ids = ", ids array<int>" if with_ids else ""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        _cutter(tokenizer or default_tokenizer(), longest, end_id, with_ids),
+    pieces = mapped(
+        docs.select("doc_id", text_of().alias("text")), _cutter(tokenizer or default_tokenizer(), longest, end_id, with_ids),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long{ids}",
     )
     pieces = pieces.withColumn("bucket", F.log2("length").cast("int")).withColumn(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geostrata.llm.common import ship, text_of
+from geostrata.llm.common import mapped, ship, text_of
 
 FEATURES = (
     "log_words", "log_word_length", "word_length_spread", "new_words", "upper", "digits", "marks", "odd_marks", "top_mark",
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, pooled: float = 0.6, ridge: float =
 
     known = F.broadcast(labelled(labels, fit_rows))  # at most fit_rows rows
     rows = docs.join(known, docs["doc_id"] == known["id"]).select(text_of().alias("text"), known["quality"])
-    added = rows.mapInArrow(run, "label long, place long, value double").groupBy("label", "place").agg(F.sum("value").alias("value"))
+    added = mapped(rows, run, "label long, place long, value double").groupBy("label", "place").agg(F.sum("value").alias("value"))
     sums = {c: np.zeros(wide * wide) for c in (0, 1)}
     for r in added.collect():  # 2 x 18 x 18 numbers
         sums[r["label"]][r["place"]] = r["value"]
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return mapped(docs.select("doc_id", text_of().alias("text")), run, f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
@@ -169,16 +169,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more; rows pass through the scoring, so nothing is joined."""
+    """The rows of ``docs`` that score ``threshold`` or more; rows pass through the scoring, so nothing is joined.
+
+    A text that is a string already goes to the tasks once, inside its row.
+    """
     model = fit(docs, labels, **how)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(whole, text_of().alias("text"))
+    inside = [i for i, f in enumerate(docs.schema) if f.name == "text" and f.dataType == T.StringType()]
+    rows = docs.select(whole, *([] if inside else [text_of().alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, len(FEATURES))
+            texts = batch.column(0).field(inside[0]) if inside else batch.column(1)
+            x = np.array([statistics(t.as_py() or "") for t in texts]).reshape(-1, len(FEATURES))
             kept = batch.column(0).filter(pa.array(model.scores(x) >= threshold))
             yield pa.RecordBatch.from_arrays([kept], ["row"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+    return mapped(rows, run, T.StructType([rows.schema["row"]])).select("row.*")
 

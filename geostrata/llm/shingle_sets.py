@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm import simhash
-from geostrata.llm.common import components, ship, text_of
+from geostrata.llm.common import components, mapped, ship, text_of
 from geostrata.operators.skew import hot_key_join
 from geostrata.session import cut
 
@@ -72,11 +72,13 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [hashes(t.as_py(), size) for t in batch.column(1)]
-            sets = [np.unique(h) for h in every]
-            prints = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
-            arrays = [batch.column(0), pa.array([mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                      pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)]
+            marks, counts, keys, prints = [], [], [], []
+            for text in batch.column(1):  # one text's hashes at a time
+                every = hashes(text.as_py(), size)
+                found = np.unique(every)
+                marks.append(mark(found)), counts.append(len(found)), keys.append(band_keys(found)), prints.append(simhash.majority(every))
+            arrays = [batch.column(0), pa.array(marks, pa.int64()), pa.array(counts, pa.int64()),
+                      pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "n", "keys", "sim"])
 
     return run
@@ -162,7 +164,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: i
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_of().alias("text"))
-    rows = cut(texts.mapInArrow(_sketched(size), f"doc_id {kind}, fp long, n long, keys array<long>, sim long"))
+    rows = cut(mapped(texts, _sketched(size), f"doc_id {kind}, fp long, n long, keys array<long>, sim long"))
     marks = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keyed = cut(simhash_keys(rows, crowd)).union(marks.select("fp", "n", F.explode("keys").alias("key")))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: i
     ids = marks.join(wanted, "fp").select(F.col("first").alias("id")).distinct()
     small = wanted.count() <= broadcast_rows
     near = texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = near.mapInArrow(_sets(size), "fp long, set array<long>").join(F.broadcast(wanted) if small else wanted, "fp", "left_semi")
+    sets = mapped(near, _sets(size), "fp long, set array<long>").join(F.broadcast(wanted) if small else wanted, "fp", "left_semi")
     sets = cut(sets.groupBy("fp").agg(F.first("set").alias("set")))
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geostrata.llm import shingle_sets
-from geostrata.llm.common import components, ship, text_of
+from geostrata.llm.common import components, mapped, ship, text_of
 from geostrata.session import cut
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return mapped(docs.select("doc_id", text_of().alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def linked(marks: DataFrame, crowd: int = 64) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``(fp)`` of at most two differing bits, enough to keep every
     pair connected: verified pairs under ordinary keys, chains of mutually linked ones under crowded keys."""
     ship(marks.sparkSession)
-    keys = cut(marks.select("fp").mapInArrow(_keyed, "fp long, key long"))
+    keys = cut(mapped(marks.select("fp"), _keyed, "fp long, key long"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(keys.join(sizes, "key"))
     few = shared.where(F.col("n") <= crowd)
@@ -190,4 +190,4 @@ def _with_rows(rows: DataFrame, size: int | None = None) -> DataFrame:
             marks = pa.array([name(t.as_py()) for t in batch.column(0)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1), marks], ["row", "fp"])
 
-    return rows.select(text_of().alias("text"), "row").mapInArrow(run, kind)
+    return mapped(rows.select(text_of().alias("text"), "row"), run, kind)

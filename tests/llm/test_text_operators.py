@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geostrata.llm import mixing, packing, quality, secret_scan, sharding, shingle_sets, simhash, token_counts
+from geostrata.llm import common, mixing, packing, quality, secret_scan, sharding, shingle_sets, simhash, token_counts
 from geostrata.llm.tokens import default_tokenizer, encoder
 
 DOCS = T.StructType([
@@ -286,6 +287,37 @@ def test_quality(spark, docs, nothing):
     assert quality.classify(nothing, labels).collect() == [] and quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_tasks_hold_few_texts_at_once(spark, docs):
+    big = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word and "), 12_000).alias("text"))  # 43 MB
+    before = spark.conf.get(common.BATCH_CONF)
+    try:
+        spark.conf.set(common.BATCH_CONF, common.BATCH_DEFAULT)
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+        got = common.mapped(big, sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 400 and max(r.size for r in got) <= common.BATCH_BYTES + 200_000
+        spark.conf.set(common.BATCH_CONF, "1m")  # a limit that was chosen stays
+        common.mapped(big, sizes, "n long, size long")
+        assert spark.conf.get(common.BATCH_CONF) == "1m"
+        spark.conf.set(common.BATCH_CONF, common.BATCH_DEFAULT)
+        labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+        for run in (lambda: quality.keep_good(docs, labels), lambda: simhash.fingerprints(docs), lambda: packing.pack(docs)):
+            spark.conf.set(common.BATCH_CONF, common.BATCH_DEFAULT)
+            run()
+            assert spark.conf.get(common.BATCH_CONF) == f"{common.BATCH_BYTES}b"
+    finally:
+        spark.conf.set(common.BATCH_CONF, before)
+
+
+def test_quality_keeps_what_it_predicts_with_any_kind_of_text(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    want = Counter(r.doc_id for r in quality.classify(docs, labels).where("predicted = 1").collect())
+    kept = quality.keep_good(docs, labels)
+    assert Counter(r.doc_id for r in kept.collect()) == want
+    binary = docs.withColumn("text", F.col("text").cast("binary"))
+    same = quality.keep_good(binary, labels)
+    assert same.schema == binary.schema and Counter(r.doc_id for r in same.collect()) == want
+
+
 def plain_spans(text, rules):
     found = []
     for order, rule in enumerate(rules):
